@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import hilbert_pack, rans_ids
+from msgloom.llm import hilbert_pack, rans_ids, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -20,6 +20,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc_fixity.audit(pages, warc_fixity.damaged(pages))
+
+
+def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.query_rules(spark))
+
+
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -33,8 +42,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_hilbert_packing, op8_rans_token_ids, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op4_url_bloom_filter, op6_hilbert_packing, op8_rans_token_ids, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc_merkle_fixity": warc_fixity.ORACLE_SQL, "op4_url_bloom_filter": url_filter.ORACLE_SQL}
