@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import hilbert_pack, rans_ids, url_filter, warc_fixity
+from msgloom.llm import ann_graph, hilbert_pack, langid_ppm, rans_ids, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -25,6 +25,11 @@ def op1_warc_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_fixity.audit(pages, warc_fixity.damaged(pages))
 
 
+def op2_ann_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ann_graph.usable(_table(spark, sf_dir, "embeddings"))
+    return ann_graph.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.query_rules(spark))
 
@@ -33,6 +38,10 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_langid_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_ppm.identify(_table(spark, sf_dir, "documents"))
+
+
 def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_ids.read_ids(*rans_ids.write_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
@@ -42,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_merkle_fixity, op4_url_bloom_filter, op6_hilbert_packing, op8_rans_token_ids, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
