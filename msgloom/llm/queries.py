@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import ann_graph, hilbert_pack, langid_ppm, rans_ids, url_filter, warc_fixity
+from msgloom.llm import ann_graph, hilbert_pack, langid_ppm, probminhash, rans_ids, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -46,12 +46,16 @@ def op8_rans_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_ids.read_ids(*rans_ids.write_ids(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_probminhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
