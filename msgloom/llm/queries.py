@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import ann_graph, hilbert_pack, langid_ppm, probminhash, rans_ids, url_filter, warc_fixity
+from msgloom.llm import ann_graph, decontaminate, hilbert_pack, langid_ppm, probminhash, rans_ids, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -34,6 +34,10 @@ def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.query_rules(spark))
 
 
+def op5_spaced_seed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_pack.pack(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -55,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op5_spaced_seed_overlaps, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
