@@ -109,7 +109,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(probminhash(items, weights, different, BANDS * ROWS))
             sizes = np.where(different > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[different > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(start, end - start), batch.column("_digest").slice(start, end - start), lists], ["_row", "_digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row").slice(start, end - start), batch.column("_digest").slice(start, end - start), lists], ["__row", "_digest", "bands"])
 
 
 def _verify(threshold: float):
@@ -172,15 +172,15 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long"), "near-links")
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """``df`` with ``class_id``, ``class_size`` and ``kept`` (one row of each class)."""
-    base = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "near-base")
+def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a row number, and each row number's class."""
+    base = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "near-base")
     lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    digest = F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.concat(F.lit("row "), F.col("_row").cast("string")))
-    signed = base.select("_row", digest.alias("_digest"), lower.alias("_text")).mapInArrow(_sign, "_row long, _digest string, bands array<long>")
+    digest = F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string")))
+    signed = base.select("__row", digest.alias("_digest"), lower.alias("_text")).mapInArrow(_sign, "__row long, _digest string, bands array<long>")
     signed = materialize(signed, "near-signatures")
-    nodes = materialize(signed.groupBy("_digest").agg(F.min("_row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
-    texts = base.select(F.col("_row").alias("node"), lower.alias("_text"))
+    nodes = materialize(signed.groupBy("_digest").agg(F.min("__row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
+    texts = base.select(F.col("__row").alias("node"), lower.alias("_text"))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     leaders = buckets.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1")
     shared = materialize(buckets.join(leaders, "band"), "near-buckets")  # only buckets of two nodes or more
@@ -205,12 +205,18 @@ def classes(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD)
                 comps = components(links)
         turn += 1
     of = nodes.select("_digest", "node").join(comps, "node", "left").select("_digest", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(signed.select("_row", "_digest").join(of, "_digest").join(base.select("_row", F.col(id_col).alias("_id")), "_row").select("_row", "comp", "_id"), "near-classes")
-    per = named.groupBy("comp").agg(F.min("_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))["_row"].alias("first"))
-    final = named.join(per, "comp").select("_row", "class_id", "class_size", (F.col("_row") == F.col("first")).alias("kept"))
-    return base.join(final, "_row").drop("_row")
+    named = materialize(signed.select("__row", "_digest").join(of, "_digest").join(base.select("__row", F.col(id_col).alias("__near_id")), "__row").select("__row", "comp", "__near_id"), "near-classes")
+    per = named.groupBy("comp").agg(F.min("__near_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("__near_id").isNull(), "__near_id", "__row"))["__row"].alias("first"))
+    return base, named.join(per, "comp").select("__row", "class_id", "class_size", (F.col("__row") == F.col("first")).alias("kept"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df``, all columns, that are kept: one of each class."""
+    base, final = _assigned(df, id_col, threshold)
+    return base.join(final.filter("kept").select("__row"), "__row", "left_semi").select(*df.columns)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, class_id, class_size, kept``: one row per row of ``df``."""
-    return classes(df.select(id_col, "text"), id_col, threshold).select(id_col, "class_id", "class_size", "kept")
+    base, final = _assigned(df.select(id_col, "text"), id_col, threshold)
+    return base.select("__row", id_col).join(final, "__row").drop("__row")

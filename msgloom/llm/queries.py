@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import ann_graph, decontaminate, hilbert_pack, langid_ppm, probminhash, rans_ids, url_filter, warc_fixity
+from msgloom.llm import ann_graph, decontaminate, hilbert_pack, langid_ppm, probminhash, rans_ids, suffix_dedup, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -30,6 +30,10 @@ def op2_ann_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_graph.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op3_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_url_bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.query_rules(spark))
 
@@ -59,7 +63,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op4_url_bloom_filter, op5_spaced_seed_overlaps, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op3_suffix_array_repeats, op4_url_bloom_filter, op5_spaced_seed_overlaps, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
