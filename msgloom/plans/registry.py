@@ -32,3 +32,10 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _QUERIES["flagship_label_imbalance"](spark, sf_dir)
+
+
+def _load() -> None:
+    from msgloom.plans import text_queries  # noqa: F401
+
+
+_load()
