@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from msgloom.plans import text_queries  # noqa: F401
+    from msgloom.plans import quality_queries, text_queries  # noqa: F401
 
 
 _load()
