@@ -35,7 +35,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from msgloom.plans import eval_queries, quality_queries, text_queries, traffic_queries  # noqa: F401
+    from msgloom.plans import augment_queries, eval_queries, io_queries, quality_queries, text_queries, traffic_queries  # noqa: F401
 
 
 _load()
