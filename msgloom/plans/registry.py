@@ -23,19 +23,20 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["flagship_label_imbalance"](spark, sf_dir)
+    return queries()["flagship_label_imbalance"](spark, sf_dir)
 
 
 def _load() -> None:
+    """Modules register their queries when they are imported."""
     from msgloom.plans import augment_queries, eval_queries, io_queries, quality_queries, text_queries, traffic_queries  # noqa: F401
 
-
-_load()

@@ -42,7 +42,7 @@ def read_labelled(spark: SparkSession, path: str, dialect: str = "lastcomma") ->
 
 
 def _dropped(c: Column) -> Column:
-    return F.replace(c, F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(c), F.lit("�"), F.lit(""))
 
 
 def read_eval_csv(spark: SparkSession, path: str) -> DataFrame:
