@@ -5,10 +5,11 @@
    with the probability Jaccard similarity of their weighted shingles. Arrivals are generated only up to a time by which
    all registers are expected to be filled (early termination), and further where some are not.
 2. Registers are banded (``BANDS`` of ``ROWS``): at a similarity of 0.8 a pair shares no band with probability 3e-6.
-3. Inside a bucket no pairs are listed: every member is compared with the bucket's first member. Links are verified on
-   the exact shingles. Buckets that still hold more than one class are then compared further, members of one class
-   never with each other: all pairs in buckets of up to ``SMALL``, and ``SMALL`` leaders at a time in larger ones, until
-   each bucket is one class or each member has led. No link between different texts that share a bucket is lost.
+3. Inside a bucket no pairs are listed: every member is compared with the bucket's leader, and links are verified on the
+   exact shingles. Where a bucket still holds more than one class, those outside its largest class are the query set:
+   in blocks, they are compared with all members of other classes by exact set overlaps (a product of 0/1 matrices per
+   block), which gives out one link for each of them and class. So no link between different texts that share a bucket
+   is lost, and a group of near copies costs its size, not its square, unless its members are really apart.
 4. Classes are the connected components of the links, found by alternating large-star and small-star steps.
 
 A pair is linked at ``threshold`` or more of the probability Jaccard similarity, or of the plain one (they differ only
@@ -29,12 +30,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from msgloom.llm._io import buffer_of, materialize, pieces_of
+from msgloom.llm._io import buffer_of, materialize, only_keys_of, pieces_of
 from msgloom.llm.words import mix, shingles, weighted, word_hashes
 
-SHINGLE, THRESHOLD, BANDS, ROWS, SMALL = 5, 0.8, 24, 4, 32
+SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
+LEADERS, OUT_BLOCK, IN_BLOCK, COLUMNS = 4, 256, 1024, 4096
 BATCH_BYTES = 1 << 20
 _STEP, _SPOT = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -150,7 +151,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).distinct()
         edges = materialize(small, name)
@@ -172,6 +173,70 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long"), "near-links")
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = buffer_of(batch.column("_text"))
+        for start, end in pieces_of(batch, "_text", BATCH_BYTES):
+            items, weights, sizes = weighted(*shingles(*word_hashes(data, offsets[start : end + 1]), SHINGLE))
+            ends = np.cumsum(sizes)
+            spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+            own = pa.array([items[a:b].astype("<u8").tobytes() for a, b in spans], pa.binary())
+            many = pa.array([weights[a:b].astype("<u4").tobytes() if (weights[a:b] > 1).any() else b"" for a, b in spans], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(start, end - start), own, many], ["node", "items", "weights"])
+
+
+def _compare_blocks(threshold: float):
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block of outsiders (``out``) with a block of members: the first for each outsider and class."""
+        items = [np.frombuffer(x, "<u8") for x in rows["items"]]
+        weights = [np.frombuffer(w, "<u4") if len(w) else np.ones(len(x), np.uint32) for w, x in zip(rows["weights"], items)]
+        node, comp, out = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["out"].to_numpy(bool)
+        a, b = np.flatnonzero(out), np.flatnonzero(~out)
+        none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        if not len(a) or not len(b):
+            return none
+        sizes = np.asarray([len(x) for x in items])
+        values, column, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(items)), sizes)
+        often = times > 1  # others overlap with nothing
+        column, owner = (np.cumsum(often) - 1)[column[often[column]]], owner[often[column]]
+        common = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, int(often.sum()), COLUMNS):
+            some = (column >= start) & (column < start + COLUMNS)
+            m = np.zeros((len(items), COLUMNS), np.float32)
+            m[owner[some], column[some] - start] = 1
+            common += m[a] @ m[b].T
+        near = common / (sizes[a][:, None] + sizes[b][None, :] - common)
+        other = comp[a][:, None] != comp[b][None, :]
+        hit = other & (near >= threshold - 1e-6)
+        repeats = np.asarray([len(w) > 0 for w in rows["weights"]])
+        weighed = other & ~hit & (repeats[a][:, None] | repeats[b][None, :]) & (common > 0)
+        for i, j in zip(*np.nonzero(weighed)):
+            hit[i, j] = similarity((items[a[i]], weights[a[i]]), (items[b[j]], weights[b[j]])) >= threshold - 1e-12
+        i, j = np.nonzero(hit)
+        if not len(i):
+            return none
+        found = pd.DataFrame({"a": node[a[i]], "b": node[b[j]], "c": comp[b[j]]})
+        return found.drop_duplicates(["a", "c"])[["a", "b"]]
+
+    return compare
+
+
+def _outside_links(shared: DataFrame, comps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links across classes inside buckets: members outside a bucket's largest class against all other members."""
+    named = shared.select("band", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = named.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).filter("classes > 1")
+    mixed = mixed.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("ins"), F.ceil((F.col("n") - F.col("top.c")) / OUT_BLOCK).cast("int").alias("outs"))
+    rows = materialize(named.join(mixed, "band"), "near-mixed")
+    items = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_items, "node long, items binary, weights binary")
+    spread = F.xxhash64("node")
+    out = rows.filter("comp <> top").select("band", "node", "comp", F.lit(True).alias("out"), F.pmod(spread, F.col("outs")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"))
+    own = rows.select("band", "node", "comp", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), F.pmod(spread, F.col("ins")).cast("int").alias("i"))
+    work = out.unionByName(own).join(materialize(items, "near-items"), "node")
+    return materialize(work.groupBy("band", "o", "i").applyInPandas(_compare_blocks(threshold), "a long, b long"), "near-more")
+
+
 def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``df`` with a row number, and each row number's class."""
     base = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "near-base")
@@ -180,30 +245,19 @@ def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame,
     signed = base.select("__row", digest.alias("_digest"), lower.alias("_text")).mapInArrow(_sign, "__row long, _digest string, bands array<long>")
     signed = materialize(signed, "near-signatures")
     nodes = materialize(signed.groupBy("_digest").agg(F.min("__row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
-    texts = base.select(F.col("__row").alias("node"), lower.alias("_text"))
     buckets = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = buckets.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("size")).filter("size > 1")
+    turn = F.xxhash64("node", F.pmod("band", F.lit(LEADERS)))
+    leaders = buckets.groupBy("band").agg(F.min_by("node", turn).alias("b"), F.count("*").alias("size")).filter("size > 1")
     shared = materialize(buckets.join(leaders, "band"), "near-buckets")  # only buckets of two nodes or more
-    pairs = shared.filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    known = materialize(shared.select("node").distinct(), "near-known")
+    texts = only_keys_of(base.select(F.col("__row").alias("node"), F.col("text")), "node", known).join(known, "node", "left_semi")
+    texts = materialize(texts.select("node", lower.alias("_text")), "near-texts")
+    pairs = shared.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     links = _links(pairs, texts, threshold)
     comps = components(links)
-    turn = 0
-    while True:
-        named = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = named.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band")
-        open_ = named.join(mixed, "band").select("band", "node", "comp", "size")
-        ranked = open_.filter("size > 2").withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy("node")) - 2)  # the first has led
-        lead = ranked.filter(F.col("rank").between(turn * SMALL, turn * SMALL + SMALL - 1)).select("band", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("rank").alias("rank_b"))
-        more = ranked.join(lead, "band").filter((F.col("rank") > F.col("rank_b")) & (F.col("comp") != F.col("comp_b")))
-        pairs = materialize(more.select(F.col("node").alias("a"), "b").distinct(), "near-more")
-        if not lead.take(1):
-            break
-        if pairs.take(1):
-            found = _links(pairs, texts, threshold)
-            if found.take(1):
-                links = links.unionByName(found)
-                comps = components(links)
-        turn += 1
+    more = _outside_links(shared.filter("size > 2"), comps, texts, threshold)
+    if more.take(1):
+        comps = components(links.unionByName(more))
     of = nodes.select("_digest", "node").join(comps, "node", "left").select("_digest", F.coalesce("comp", "node").alias("comp"))
     named = materialize(signed.select("__row", "_digest").join(of, "_digest").join(base.select("__row", F.col(id_col).alias("__near_id")), "__row").select("__row", "comp", "__near_id"), "near-classes")
     per = named.groupBy("comp").agg(F.min("__near_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("__near_id").isNull(), "__near_id", "__row"))["__row"].alias("first"))
