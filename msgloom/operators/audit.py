@@ -74,7 +74,7 @@ def to_events(df: DataFrame) -> DataFrame:
             extra = F.transform(F.map_entries("metadata"), lambda m: F.struct(F.concat(F.lit("metadata_"), m["key"]).alias("name"), m["value"].alias("value"), F.lit("string").alias("valueType")))
             items = F.concat(items, F.coalesce(extra, F.array().cast("array<struct<name:string,value:string,valueType:string>>")))
         lists = F.when(kind == name, items) if lists is None else lists.when(kind == name, items)
-    model = F.coalesce(e["model"], F.lit("MessageShield"))
+    model = F.coalesce(e["model"], F.lit("msgloom"))
     version = _column(df, "model_version")
     system = F.col("client_ip") == "system"
     told = T.event_title_description(e)

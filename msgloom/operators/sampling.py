@@ -1,7 +1,8 @@
 """Deterministic sampling, balancing and splitting: "random" order is the MD5 of a seed and the row's key.
 
-The same rows are drawn whatever the partitioning. Ranks within few classes use ``row_number() <= n``, which Spark also
-applies before the shuffle (window group limit), so three labels do not gather in three tasks.
+The same rows are drawn whatever the partitioning. A handful of labels must not mean a handful of tasks: ``row_number()
+<= n`` with a fixed ``n`` is also applied before the shuffle (window group limit), and full ranks are put together from
+ranks inside ``16**PREFIX`` ranges of the hash and the counts of the ranges below.
 """
 
 from __future__ import annotations
@@ -23,6 +24,20 @@ def _rank(by: list[str], key: str, seed: int | str) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(order_key(key, seed), key))
 
 
+PREFIX = 3
+
+
+def ranked(df: DataFrame, by: str, key: str, seed: int | str) -> DataFrame:
+    """``df`` with ``_r``, its rank in hash order among the rows of equal ``by``."""
+    x = df.withColumn("_o", order_key(key, seed)).withColumn("_b", F.substring("_o", 1, PREFIX))
+    counts = x.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_range")).agg(F.count("*").alias("_c"))
+    below = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
+    x = x.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_b").orderBy("_o", key)))
+    x = x.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_range")))
+    return x.withColumn("_r", F.col("_below") + F.col("_in")).select(*df.columns, "_r")
+
+
 def sample_per_label(df: DataFrame, n: int, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
     """``n`` rows of each label at most."""
     return df.withColumn("_r", _rank([label], key, seed)).filter(F.col("_r") <= n).drop("_r")
@@ -33,7 +48,7 @@ def undersample(df: DataFrame, n: int | None = None, label: str = "label", key:
     if n is not None:
         return sample_per_label(df, n, label, key, seed)
     least = df.groupBy(label).agg(F.count("*").alias("c")).agg(F.min("c").alias("_n"))
-    return df.withColumn("_r", _rank([label], key, seed)).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    return ranked(df, label, key, seed).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
 
 
 def cap_class(df: DataFrame, value: str = "ham", n: int = 50000, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
@@ -49,12 +64,12 @@ def stratified_sample(df: DataFrame, n: int, by: str = "language", key: str = "r
     """About ``n`` rows, each stratum in proportion (half-even), one at least."""
     sizes = _sizes(df, by)
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_size").alias("_total")))).select(by, F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_total"), 0)).alias("_k"))
-    return df.withColumn("_r", _rank([by], key, seed)).join(F.broadcast(sizes), by).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
+    return ranked(df, by, key, seed).join(F.broadcast(sizes), by).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, fractions: dict[str, float], rest: str, label: str = "label", key: str = "row_id", seed: int | str = 42, least: int = 0) -> DataFrame:
     """``df`` with ``split``: of each label, ``int(size * fraction)`` rows (``least`` at least) for each name in turn, then ``rest``."""
-    x = df.withColumn("_r", _rank([label], key, seed)).join(F.broadcast(_sizes(df, label)), label)
+    x = ranked(df, label, key, seed).join(F.broadcast(_sizes(df, label)), label)
     test, upto = None, F.lit(0)
     for name, share in fractions.items():
         upto = upto + F.greatest(F.lit(least), F.floor(F.col("_size") * share + 1e-9))

@@ -39,7 +39,7 @@ def score_messages(df: DataFrame, scorer: Callable[[], Callable[[pd.Series], lis
         for batch in batches:
             yield pd.Series([[float(v) for v in row] for row in model(batch.fillna(""))], dtype=object)
 
-    logits = F.pandas_udf(run, ArrayType(DoubleType()), functionType=F.PandasUDFType.SCALAR_ITER)
+    logits = F.pandas_udf(run, ArrayType(DoubleType()))
     return decide(df.withColumn("logits", logits(T.normalize_fast(F.col(text)))))
 
 

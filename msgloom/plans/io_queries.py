@@ -152,11 +152,11 @@ def k04(spark, d):
     return spark.read.schema("dataset string, n long, acc double").json(path)
 
 
-@query("k05_export_feedback", f"SELECT feedback_id, thumbs_up FROM ({_FEEDBACK}) WHERE model = 'mbert-a'")
+@query("k05_export_feedback", f"SELECT feedback_id, thumbs_up FROM ({_FEEDBACK}) WHERE model = 'model-a'")
 def k05(spark, d):
     path = _path(spark)
     K.write_feedback(_feedback(spark, d), path)
-    return K.export_feedback(spark, path, "mbert-a").select(F.col("FeedbackID").alias("feedback_id"), (F.col("ThumbsUp") == "Yes").alias("thumbs_up"))
+    return K.export_feedback(spark, path, "model-a").select(F.col("FeedbackID").alias("feedback_id"), (F.col("ThumbsUp") == "Yes").alias("thumbs_up"))
 
 
 @query("k06_apply_retention", f"WITH {V.AUDIT} SELECT timestamp < '2024-01-21'::TIMESTAMP AS old, count(*) AS n FROM audit GROUP BY 1")

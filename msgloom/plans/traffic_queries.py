@@ -42,7 +42,7 @@ def a12_models(spark, d):
     return A.model_counts(V.audit(spark, d))
 
 
-@query("a13_event_statistics", f"""{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type, coalesce(model, 'MessageShield') AS system FROM audit),
+@query("a13_event_statistics", f"""{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type, coalesce(model, 'msgloom') AS system FROM audit),
   g AS (SELECT 'type' AS kind, type AS key, * FROM e UNION ALL SELECT 'priority', priority, * FROM e UNION ALL SELECT 'model', system, * FROM e UNION ALL SELECT 'all', '', * FROM e)
   SELECT kind, key, count(*) AS n, count(DISTINCT client_ip) AS sources, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY kind, key""")
 def a13(spark, d):
@@ -105,7 +105,7 @@ def a20(spark, d):
     return R.batch_histogram(V.batches(spark, d))
 
 
-@query("n01_to_events", f"""{_A} SELECT event_id, {_TYPE} AS "eventType", {PRIORITY} AS priority, {TITLE} AS title, client_ip AS source_id, CASE WHEN client_ip = 'system' THEN 'system' ELSE 'client' END AS role, coalesce(model, 'MessageShield') AS system_id,
+@query("n01_to_events", f"""{_A} SELECT event_id, {_TYPE} AS "eventType", {PRIORITY} AS priority, {TITLE} AS title, client_ip AS source_id, CASE WHEN client_ip = 'system' THEN 'system' ELSE 'client' END AS role, coalesce(model, 'msgloom') AS system_id,
   CASE entry_type WHEN 'prediction' THEN 6 WHEN 'feedback' THEN 6 WHEN 'access_denied' THEN 2 ELSE 3 END AS characteristics FROM audit""")
 def n01(spark, d):
     a = V.audit(spark, d)

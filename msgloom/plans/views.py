@@ -70,7 +70,7 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     return e.select(
         "event_id", F.col("ts").alias("timestamp"), kind.alias("entry_type"), F.when(kind == "system_event", "system").otherwise(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string"))).alias("client_ip"),
         only("prediction", pick("ham", "spam", "phishing")).alias("label"), only("prediction", F.least(F.col("value") / 500, F.lit(1.0))).alias("confidence"),
-        F.when(kind.isin("prediction", "feedback"), pick("mbert-a", "mbert-b")).alias("model"),
+        F.when(kind.isin("prediction", "feedback"), pick("model-a", "model-b")).alias("model"),
         only("feedback", F.concat(F.lit("fb-"), F.col("event_id").cast("string"))).alias("feedback_id"), only("feedback", F.col("event_id") % 3 == 0).alias("thumbs_up"), only("feedback", F.col("event_id") % 3 == 1).alias("thumbs_down"),
         only("access_denied", F.lit("/predict")).alias("endpoint"), only("access_denied", pick("blocked address", "no key")).alias("reason"),
         only("system_event", pick("startup", "shutdown", "load_error", "reload")).alias("event_type"), only("system_event", pick("", "done")).alias("message"),
@@ -89,7 +89,7 @@ AUDIT = f"""raw_audit AS (SELECT *, {_KIND} AS entry_type FROM events), audit AS
   CASE WHEN entry_type = 'system_event' THEN 'system' ELSE '10.0.0.' || user_id END AS client_ip,
   CASE WHEN entry_type = 'prediction' THEN {_pick('ham', 'spam', 'phishing')} END AS label,
   CASE WHEN entry_type = 'prediction' THEN least(value / 500, 1.0) END AS confidence,
-  CASE WHEN entry_type IN ('prediction', 'feedback') THEN {_pick('mbert-a', 'mbert-b')} END AS model,
+  CASE WHEN entry_type IN ('prediction', 'feedback') THEN {_pick('model-a', 'model-b')} END AS model,
   CASE WHEN entry_type = 'feedback' THEN 'fb-' || event_id END AS feedback_id,
   CASE WHEN entry_type = 'feedback' THEN event_id % 3 = 0 END AS thumbs_up, CASE WHEN entry_type = 'feedback' THEN event_id % 3 = 1 END AS thumbs_down,
   CASE WHEN entry_type = 'access_denied' THEN '/predict' END AS endpoint, CASE WHEN entry_type = 'access_denied' THEN {_pick('blocked address', 'no key')} END AS reason,
