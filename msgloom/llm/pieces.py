@@ -34,18 +34,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class Spans:
+    """64-bit hashes of any spans of ``data``, after one pass over it."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = powers(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.total[ends] - self.total[starts]) * self.down[starts]
+        h += (ends - starts).astype(np.uint64) * _LENGTH
+        h ^= h >> np.uint64(29)
+        h *= _MIX
+        h ^= h >> np.uint64(32)
+        h[h == 0] = 1
+        return h
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` for every pair, in one pass over ``data``."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h += (ends - starts).astype(np.uint64) * _LENGTH
-    h ^= h >> np.uint64(29)
-    h *= _MIX
-    h ^= h >> np.uint64(32)
-    h[h == 0] = 1
-    return h
+    """A 64-bit hash of ``data[start:end]`` for every pair."""
+    return Spans(data).hashes(starts, ends)
 
 
 class PieceTable:

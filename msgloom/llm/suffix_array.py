@@ -21,8 +21,8 @@ def _types(s: np.ndarray) -> np.ndarray:
     n = len(s)
     smaller = np.zeros(n, bool)
     if n > 1:
-        step = np.sign(s[1:].astype(np.int64) - s[:-1].astype(np.int64))
-        at = np.where(step != 0, np.arange(n - 1), n)
+        step = np.sign(s[1:] - s[:-1])
+        at = np.where(step != 0, np.arange(n - 1, dtype=np.int32), np.int32(n))
         at = np.minimum.accumulate(at[::-1])[::-1]
         smaller[:-1] = np.where(at < n, step[np.minimum(at, n - 2)] > 0, False)
     return smaller
@@ -49,7 +49,7 @@ def _scatter(at: np.ndarray, letters: np.ndarray, edge: np.ndarray, sa: np.ndarr
 def _induce_buckets(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The array induced from ``lms`` (in order within each bucket), bucket by bucket."""
     n, k = len(s), len(starts) - 1
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     head = starts[:-1].copy()
     sorted_lms = lms[np.argsort(s[lms], kind="stable")]
     lms_start = np.searchsorted(s[sorted_lms], np.arange(k + 1))
@@ -112,7 +112,7 @@ def _induce_entries(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts:
             c = text[j]
             tail[c] -= 1
             sa[tail[c]] = j
-    return np.asarray(sa, np.int64)
+    return np.asarray(sa, np.int32)
 
 
 def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
@@ -120,7 +120,7 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    s = s.astype(np.int64)
+    s = s.astype(np.int32)
     smaller = _types(s)
     starts = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=alphabet))])
     induce = _induce_buckets if alphabet <= _SMALL_ALPHABET else _induce_entries
@@ -132,15 +132,15 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
         sa = induce(s, smaller, lms, starts)
         ordered = sa[is_lms[sa]]
         # a substring runs from one leftmost-smaller position to the next, both included
-        end = np.full(n, n, np.int64)
+        end = np.full(n, n, np.int32)
         end[lms[:-1]] = lms[1:] + 1
-        h = span_hashes(s.astype(np.uint64), ordered, end[ordered])
+        h = span_hashes(s, ordered, end[ordered])
         new = np.ones(len(ordered), bool)
         new[1:] = (h[1:] != h[:-1]) | (end[ordered[1:]] == n) & (end[ordered[:-1]] == n)
         new[1:] |= ordered[1:] == lms[-1]
         new[1:] |= ordered[:-1] == lms[-1]
         rank = np.cumsum(new) - 1
-        names = np.zeros(n, np.int64)
+        names = np.zeros(n, np.int32)
         names[ordered] = rank
         if rank[-1] + 1 == len(lms):
             lms = ordered

@@ -3,9 +3,9 @@
 Every byte covered by a ``min_bytes`` string that also starts anywhere else (in any text, the same one included) is
 found, exactly as judged on the input.
 
-1. One narrow pass picks anchors: of every ``min_bytes`` string, the smallest of its grams' hashes (winnowing). Equal
-   strings pick equal anchors at equal places, so a repeated string always lies around an anchor whose gram repeats.
-   A segment is what lies around an anchor: all ``min_bytes`` strings that hold its gram.
+1. One narrow pass gives every ``min_bytes`` string to an anchor: the gram in it with the smallest hash (the leftmost of
+   equal ones). Equal strings have equal anchors at equal places, so they need only be compared under their gram. The
+   strings of one anchor start side by side; the bytes that they cover are its segment.
 2. Grams are counted with map-side combination. Anchors that stand alone end here. Where a gram's segments are equal
    (by a 64-bit hash beside the gram's), their whole bytes repeat: copies and long passages are settled without a byte
    moved, in groups of any size.
@@ -34,52 +34,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgloom.llm._io import buffer_of, materialize, pieces_of
-from msgloom.llm.pieces import span_hashes
+from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix
 
-MIN_BYTES, SHARD_BYTES, HOT, RANGES, BITMAP_BITS = 400, 1_500_000, 2000, 8, 26
+MIN_BYTES, MOST_GRAM, SHARD_BYTES, HOT, RANGES, BITMAP_BITS = 400, 64, 600_000, 2000, 8, 26
 BATCH_BYTES = 1 << 20
 
 
 # -- anchors -------------------------------------------------------------------------------------------------------------
 
 
-def _sliding(x: np.ndarray, width: int, smallest: bool) -> np.ndarray:
-    """The smallest (largest) of ``x[i:i+width]`` at every ``i`` (shorter at the end)."""
-    f, out, step = (np.minimum if smallest else np.maximum), x.copy(), 1
+def gram_bytes(min_bytes: int) -> int:
+    return min(MOST_GRAM, min_bytes // 2)
+
+
+def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The smallest of ``x[i:i+width]`` at every ``i`` (of fewer at the end)."""
+    out, step = x.copy(), 1
     while step * 2 <= width:
-        out[:-step] = f(out[:-step], out[step:])
+        np.minimum(out[:-step], out[step:], out=out[:-step])
         step *= 2
     rest = width - step
     if rest:
-        out[:-rest] = f(out[:-rest], out[rest:])
+        out[:-rest] = np.minimum(out[:-rest], out[rest:])
     return out
 
 
 def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of texts laid end to end: text number, gram hash, segment hash, and start, place and end in the text."""
-    gram, n = min_bytes // 2, len(data)
-    window = min_bytes - gram + 1
+    gram, n = gram_bytes(min_bytes), len(data)
     ends = np.cumsum(sizes)
     none = np.zeros(0, np.int64)
     if n < min_bytes or not (sizes >= min_bytes).any():
         return none, none, none, none, none, none
+    spans = Spans(data)
     at = np.arange(n - gram + 1)
-    h = span_hashes(data, at, at + gram)
-    short = (h >> np.uint64(33)).astype(np.uint32) + np.uint32(1)
-    low = np.zeros(n, np.uint32)
-    low[: len(short)] = short
-    left = np.repeat(ends, sizes) - np.arange(n)  # bytes from here to the text's end
-    smallest = _sliding(low, window, True)
-    smallest[left < min_bytes] = 0
-    largest = _sliding(smallest[::-1], window, False)[::-1]  # over all strings that hold the gram
-    picked = np.flatnonzero((low == largest) & (largest > 0))
-    doc = np.searchsorted(ends, picked, "right")
+    h = spans.hashes(at, at + gram)
+    keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    keys[: len(h)] = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    least = _sliding_least(keys, min_bytes - gram + 1)
+    starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= min_bytes)  # of whole strings
+    anchor = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    new = np.ones(len(starts), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+    first = starts[new]
+    last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] + min_bytes
+    place = anchor[new]
+    doc = np.searchsorted(ends, place, "right")
     begin = ends[doc] - sizes[doc]
-    first, last = np.maximum(begin, picked + gram - min_bytes), np.minimum(ends[doc], picked + min_bytes)
-    segment = mix(span_hashes(data, first, last) + (picked - first).astype(np.uint64))
-    return doc, h[picked].astype(np.int64), segment.astype(np.int64), first - begin, picked - begin, last - begin
+    segment = mix(spans.hashes(first, last) + (place - first).astype(np.uint64))
+    return doc, h[place].astype(np.int64), segment.astype(np.int64), first - begin, place - begin, last - begin
 
 
 def _anchor_rows(min_bytes: int):
@@ -146,8 +151,7 @@ def _shard(min_bytes: int):
 
 def _range_edges(min_bytes: int) -> np.ndarray:
     """Where the ranges of string starts begin, counted from the anchor: ``RANGES`` ranges over all strings that hold it."""
-    gram = min_bytes // 2
-    return np.linspace(gram - min_bytes, 1, RANGES + 1).astype(np.int64)
+    return np.linspace(gram_bytes(min_bytes) - min_bytes, 1, RANGES + 1).astype(np.int64)
 
 
 def _range_rows(min_bytes: int):
@@ -156,12 +160,12 @@ def _range_rows(min_bytes: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("bytes"))
-            at = offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
+            spans, at = Spans(data), offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
             for r in range(RANGES):
                 a = np.maximum(at + edges[r], offsets[:-1])  # first string of the range
                 b = np.minimum(at + edges[r + 1] - 1, offsets[1:] - min_bytes)  # last one
                 some = np.flatnonzero(a <= b)
-                core = span_hashes(data, at[some] + edges[r + 1] - 1, at[some] + edges[r] + min_bytes)  # in all of the range's strings
+                core = spans.hashes(at[some] + edges[r + 1] - 1, at[some] + edges[r] + min_bytes)  # in all of the range's strings
                 yield pa.RecordBatch.from_arrays([batch.column("seg").take(pa.array(some)), batch.column("g").take(pa.array(some)), pa.array(np.full(len(some), r, np.int32)), pa.array(core.astype(np.int64))], ["seg", "g", "r", "core"])
 
     return hashed
@@ -173,12 +177,12 @@ def _string_rows(min_bytes: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("bytes"))
-            at = offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
+            spans, at = Spans(data), offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
             r = batch.column("r").to_numpy()
             for k in range(int(np.diff(edges).max())):
                 a = at + edges[r] + k
                 some = np.flatnonzero((a < at + edges[r + 1]) & (a >= offsets[:-1]) & (a + min_bytes <= offsets[1:]))
-                h = span_hashes(data, a[some], a[some] + min_bytes)
+                h = spans.hashes(a[some], a[some] + min_bytes)
                 yield pa.RecordBatch.from_arrays([batch.column("seg").take(pa.array(some)), batch.column("g").take(pa.array(some)), pa.array((a - at)[some].astype(np.int32)), pa.array(h.astype(np.int64))], ["seg", "g", "o", "h"])
 
     return hashed

@@ -99,10 +99,16 @@ def test_anchors_meet_in_equal_strings():
     texts = [bytes(r.integers(97, 101, int(k)).astype(np.uint8)) + passage + bytes(r.integers(97, 101, int(k)).astype(np.uint8)) for k in r.integers(0, 90, 20)]
     sizes = np.asarray([len(x) for x in texts])
     doc, g, s, first, at, last = suffix_dedup.anchors(np.frombuffer(b"".join(texts), np.uint8), sizes, m)
+    under = defaultdict(set)
     for d, text in enumerate(texts):
-        places = at[doc == d]
-        for k in range(len(text) - m + 1):
-            assert ((places >= k) & (places <= k + m - m // 2)).any()
+        own = doc == d
+        held = sorted(k for a, b in zip(first[own], last[own]) for k in range(a, b - m + 1))
+        assert held == list(range(max(0, len(text) - m + 1)))  # every string has one anchor
+        for hash_, a, place, b in zip(g[own].tolist(), first[own], at[own], last[own]):
+            for k in range(a, b - m + 1):
+                assert k <= place and place + suffix_dedup.gram_bytes(m) <= k + m
+                under[text[k : k + m]].add((hash_, place - k))
+    assert all(len(x) == 1 for x in under.values())  # and equal strings the same one
 
 
 def test_ppm_code_length_is_the_recursion():
