@@ -17,6 +17,10 @@ A frame stands alone given the shared table::
 Id ``i`` of a block belongs to lane ``i mod lanes``; every lane is a 64-bit state, renormalised by 32-bit words that all
 lanes share in one stream. States are kept every ``checkpoint steps`` rows of lanes, so a reader can start at any of
 them; ``decode_frame`` decodes from all checkpoints of a block at once.
+
+Defined cases: a null text is empty and has the end id alone; a null document id sorts first and stays null; repeated
+rows are separate documents, in any order among themselves; a document longer than a block makes a longer block; an empty
+table gives empty files and no rows; a changed block fails its checksum.
 """
 
 from __future__ import annotations
