@@ -197,11 +197,11 @@ def _hot_spans(hot: DataFrame, min_bytes: int) -> DataFrame:
     hot = materialize(hot.withColumn("seg", F.monotonically_increasing_id()), "repeat-hot")
     ranges = materialize(hot.select("seg", "g", "first", "at", "bytes").mapInArrow(_range_rows(min_bytes), "seg long, g long, r int, core long"), "repeat-ranges")
     count = ranges.groupBy("g", "r", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = ranges.join(count, ["g", "r", "core"], "left_semi").select("seg", "r")
+    open_ = ranges.join(materialize(count, "repeat-cores"), ["g", "r", "core"], "left_semi").select("seg", "r")
     strings = open_.join(hot.select("seg", "g", "first", "at", "bytes"), "seg").mapInArrow(_string_rows(min_bytes), "seg long, g long, o int, h long")
     strings = materialize(strings, "repeat-strings")
     weight = strings.groupBy("g", "o", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = strings.join(weight, ["g", "o", "h"], "left_semi").groupBy("seg").agg(F.sort_array(F.collect_list("o")).alias("os"))  # min_bytes at most
+    found = strings.join(materialize(weight, "repeat-several"), ["g", "o", "h"], "left_semi").groupBy("seg").agg(F.sort_array(F.collect_list("o")).alias("os"))  # min_bytes at most
     starts = F.filter(F.sequence(F.lit(0), F.size("os") - 1), lambda i: (i == 0) | (F.get("os", i) != F.get("os", i - 1) + 1))
     runs = F.transform(starts, lambda i: F.get("os", i))
     lasts = F.transform(F.filter(F.sequence(F.lit(0), F.size("os") - 1), lambda i: (i == F.size("os") - 1) | (F.get("os", i) != F.coalesce(F.get("os", i + 1), F.lit(1 << 30)) - 1)), lambda i: F.get("os", i))
@@ -238,6 +238,7 @@ def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     docs = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
     marks = materialize(docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_rows(min_bytes), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
     grams = marks.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("low"), F.max("s").alias("high")).filter("c > 1").select("g", (F.col("low") == F.col("high")).alias("settled"))
+    grams = materialize(grams, "repeat-grams")  # apart from the join, so that a hot gram's anchors can be split
     shared = materialize(marks.join(grams, "g"), "repeat-shared")
     # segments of one kind under their gram, or seen more than once: all their bytes repeat
     kinds = shared.filter("not settled").groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "first", "at", "last")).alias("x"))
@@ -247,7 +248,7 @@ def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     spans = whole.select("id", "key", F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("b"))
     # the others are cut out, one of each
     common = kinds.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("g", F.lit(True).alias("hot"))
-    wanted = kinds.join(common, "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = kinds.join(materialize(common, "repeat-common"), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("g", "n", "hot", "first", "at", "last")).alias("wanted"))  # as many as fit a text
     wanted = materialize(wanted, "repeat-wanted")
     suspects = _suspects(docs, wanted)
