@@ -7,8 +7,6 @@ ranks inside ``16**PREFIX`` ranges of the hash and the counts of the ranges belo
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,20 +80,39 @@ def random_split(df: DataFrame, share: float = 0.1, key: str = "row_id", seed: i
     return df.withColumn("held", hash_number(F.lit(str(seed)), F.col(key)) < int(share * (1 << 32)))
 
 
-def poisson_ladder(mean: Column, u: Column, most: int = 12) -> Column:
-    """A Poisson count from a uniform number, up to ``most``."""
-    upto, out = 0.0, None
-    for k in range(most):
-        upto = upto + F.exp(-mean) * F.pow(mean, F.lit(k)) / math.factorial(k)
-        out = F.when(u < upto, k) if out is None else out.when(u < upto, k)
-    return out.otherwise(most)
+#: The largest mean of one ladder: a larger one is the sum of independent pieces.
+PIECE = 64
+
+
+def _rungs(mean: Column) -> Column:
+    """Poisson probabilities of at most 0, 1, 2, ... up to beyond all numbers of 32 bits, for a mean up to ``PIECE``."""
+    none = F.exp(-mean)
+    start = F.struct(none.alias("p"), none.alias("upto"), F.array(none).alias("all"))
+
+    def step(s: Column, k: Column) -> Column:
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), (s["upto"] + p).alias("upto"), F.concat(s["all"], F.array(s["upto"] + p)).alias("all"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(mean + 8 * F.sqrt(mean) + 16).cast("int")), start, step, lambda s: s["all"])
+
+
+def _drawn(rungs: Column, u: Column) -> Column:
+    return F.size(F.filter(rungs, lambda upto: upto <= u))
 
 
 def balanced_resample(df: DataFrame, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
-    """Rows drawn with replacement so that all labels are expected equally often; ``copy`` numbers the draws."""
+    """Rows drawn with replacement so that all labels are expected equally often; ``copy`` numbers the draws.
+
+    A row's copies are a Poisson count without an upper limit: one draw up to a mean of ``PIECE``, and beyond that one more,
+    with a hash of its own, for each further ``PIECE``.
+    """
     sizes = _sizes(df, label)
     sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_size").alias("_total"), F.count("*").alias("_k")))).select(label, (F.col("_total") / (F.col("_k") * F.col("_size"))).alias("_mean"))
-    x = df.join(F.broadcast(sizes), label).withColumn("_n", poisson_ladder(F.col("_mean"), hash_number(F.lit(str(seed)), F.col(key)) / float(1 << 32)))
+    sizes = sizes.withColumn("_more", F.greatest(F.ceil(F.col("_mean") / PIECE) - 1, F.lit(0)).cast("int"))
+    sizes = sizes.select(label, "_more", _rungs(F.col("_mean") - PIECE * F.col("_more")).alias("_rungs"), F.when(F.col("_more") > 0, _rungs(F.lit(float(PIECE)))).alias("_whole"))
+    u = lambda *piece: hash_number(F.lit(str(seed)), F.col(key), *piece) / float(1 << 32)
+    more = F.aggregate(F.sequence(F.lit(1), F.col("_more")), F.lit(0), lambda n, i: n + _drawn(F.col("_whole"), u(i)))
+    x = df.join(F.broadcast(sizes), label).withColumn("_n", _drawn(F.col("_rungs"), u()) + F.when(F.col("_more") > 0, more).otherwise(0))
     return x.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns, "copy")
 
 

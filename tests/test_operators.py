@@ -27,6 +27,23 @@ def test_sampling_does_not_depend_on_partitions(spark, name):
     assert rows[0] == rows[1] == rows[2] and rows[0]
 
 
+@pytest.mark.parametrize("rare", [30, 4])  # means of 33 and 250
+def test_rare_labels_get_their_whole_share(spark, rare):
+    label = F.when(F.col("row_id") < rare, "rare").when(F.col("row_id") % 2 == 0, "even").otherwise("odd")
+    rows = sampling.balanced_resample(spark.range(3000).withColumnRenamed("id", "row_id").withColumn("label", label)).groupBy("label", "row_id").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("most")).collect()
+    assert all(r["n"] == r["d"] == r["most"] for r in rows)
+    drawn = {x: sum(r["n"] for r in rows if r["label"] == x) for x in ("rare", "even", "odd")}
+    assert all(abs(n - 1000) < 4 * 1000**0.5 for n in drawn.values()), drawn
+    assert len({r["n"] for r in rows if r["label"] == "rare"}) > 1
+
+
+def test_poisson_ladder_reaches_every_number(spark):
+    means = [1e-9, 0.3, 1.0, 2.95, 12.0, 33.3, 64.0]
+    for m, rungs in spark.createDataFrame([(m,) for m in means], "m double").select("m", sampling._rungs(F.col("m"))).collect():
+        assert rungs[-1] > 1 - 2**-32 and all(a <= b for a, b in zip(rungs, rungs[1:]))  # the largest number is below it
+        assert sum(1 - x for x in rungs) == pytest.approx(m, abs=1e-9)
+
+
 def test_augment_does_not_depend_on_partitions(spark):
     x = views.labelled(spark, SF)
     rows = [sorted(map(str, augment.augment(x.repartition(n)).collect())) for n in (1, 5)]
