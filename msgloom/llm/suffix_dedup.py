@@ -1,7 +1,9 @@
 """Repeated substrings across a corpus, by suffix arrays over the places where they can lie.
 
 Every byte covered by a ``min_bytes`` string that also starts anywhere else (in any text, the same one included) is
-found, exactly as judged on the input.
+found, exactly as judged on the input. With ``min_words``, the strings are instead all runs of that many words (from a
+word's start to a word's end, :func:`msgloom.llm.words.word_windows`), of whatever length, and ``min_bytes`` is the least
+that such a run takes; everything below holds for them alike.
 
 1. One narrow pass gives every ``min_bytes`` string to an anchor: the gram in it with the smallest hash (the leftmost of
    equal ones). Equal strings have equal anchors at equal places, so they need only be compared under their gram. The
@@ -15,6 +17,7 @@ found, exactly as judged on the input.
 4. A gram with more than ``HOT`` different segments (a very common passage) would outgrow a shard. Its segments are
    compared without bytes instead: first in ``RANGES`` ranges of places by the hash of what all strings of a range
    share, then, only in ranges that remain unsettled, string by string by hash. All of it is counted map-side first.
+   (Runs of words are few, and compared by hash at once.)
 5. Spans are merged per document and cut out. Documents outside a fixed-size bitmap of suspects never move.
 
 Defined cases: a null text is empty; texts shorter than ``min_bytes`` keep everything; repeated rows are different
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from msgloom.llm._io import buffer_of, materialize, pieces_of
 from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
-from msgloom.llm.words import mix
+from msgloom.llm.words import mix, word_windows
 
 MIN_BYTES, MOST_GRAM, SHARD_BYTES, HOT, RANGES, BITMAP_BITS = 400, 64, 600_000, 2000, 8, 26
 BATCH_BYTES = 1 << 20
@@ -61,7 +64,19 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def least_between(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The smallest of ``x[start:end]`` for every pair (none empty)."""
+    out = np.empty(len(starts), x.dtype)
+    level = np.frexp(ends - starts)[1] - 1
+    step = x.copy()
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(step[starts[own]], step[ends[own] - (1 << k)])
+        np.minimum(step[: -(1 << k)], step[1 << k :], out=step[: -(1 << k)])
+    return out
+
+
+def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int, min_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of texts laid end to end: text number, gram hash, segment hash, and start, place and end in the text."""
     gram, n = gram_bytes(min_bytes), len(data)
     ends = np.cumsum(sizes)
@@ -73,13 +88,22 @@ def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[np.nda
     h = spans.hashes(at, at + gram)
     keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     keys[: len(h)] = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    least = _sliding_least(keys, min_bytes - gram + 1)
-    starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= min_bytes)  # of whole strings
-    anchor = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    if min_words is None:
+        least = _sliding_least(keys, min_bytes - gram + 1)
+        starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= min_bytes)  # of whole strings
+        least, stops = least[starts], starts + min_bytes
+    else:
+        starts, stops = word_windows(data, sizes, min_words)
+        if not len(starts):
+            return none, none, none, none, none, none
+        least = least_between(keys, starts, stops - gram + 1)
+    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(starts), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = anchor[1:] != anchor[:-1]
+    if min_words is None:
+        new[1:] |= starts[1:] != starts[:-1] + 1
     first = starts[new]
-    last = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)] + min_bytes
+    last = stops[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     place = anchor[new]
     doc = np.searchsorted(ends, place, "right")
     begin = ends[doc] - sizes[doc]
@@ -87,14 +111,14 @@ def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[np.nda
     return doc, h[place].astype(np.int64), segment.astype(np.int64), first - begin, place - begin, last - begin
 
 
-def _anchor_rows(min_bytes: int):
+def _anchor_rows(min_bytes: int, min_words: int | None):
     names = ["id", "key", "g", "s", "first", "at", "last"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
             for start, end in pieces_of(batch, "text", BATCH_BYTES):
-                doc, g, s, first, at, last = anchors(data[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]), min_bytes)
+                doc, g, s, first, at, last = anchors(data[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]), min_bytes, min_words)
                 rows = pa.array(start + doc)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(g), pa.array(s), *(pa.array(x.astype(np.int32)) for x in (first, at, last))], names)
 
@@ -104,8 +128,8 @@ def _anchor_rows(min_bytes: int):
 # -- one shard -----------------------------------------------------------------------------------------------------------
 
 
-def repeated_in(segments: list[bytes], docs: np.ndarray, firsts: np.ndarray, min_bytes: int) -> list[list[tuple[int, int]]]:
-    """For each segment (document number, first byte's place in it): the spans of repeated ``min_bytes`` strings."""
+def repeated_in(segments: list[bytes], docs: np.ndarray, firsts: np.ndarray, min_bytes: int, min_words: int | None = None) -> list[list[tuple[int, int]]]:
+    """For each segment (document number, first byte's place in it): the spans of repeated strings."""
     sizes = np.asarray([len(x) for x in segments], np.int64)
     joined = np.frombuffer(b"\0".join(segments), np.uint8).astype(np.int64) + 1
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
@@ -116,6 +140,8 @@ def repeated_in(segments: list[bytes], docs: np.ndarray, firsts: np.ndarray, min
     same = permuted_lcp(joined, sa)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)[: len(joined)]
     place = (docs[owner] << 32) + firsts[owner] + np.arange(len(joined)) - begin[owner]
+    if min_words is not None:
+        return _repeated_words(segments, sizes, sa, same, place, firsts - begin, min_words)
     valid = begin[owner] + sizes[owner] - np.arange(len(joined)) >= min_bytes
     run = np.cumsum(same[sa] < min_bytes) - 1
     start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
@@ -135,10 +161,36 @@ def repeated_in(segments: list[bytes], docs: np.ndarray, firsts: np.ndarray, min
     return out
 
 
-def _shard(min_bytes: int):
+def _repeated_words(segments: list[bytes], sizes: np.ndarray, sa: np.ndarray, same: np.ndarray, place: np.ndarray, shift: np.ndarray, min_words: int) -> list[list[tuple[int, int]]]:
+    """The same for runs of words: equal ones have equal lengths and a common prefix of that length."""
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    starts, ends = word_windows(np.frombuffer(b"".join(segments), np.uint8), sizes, min_words)
+    if len(starts) < 2:
+        return out
+    owner = np.searchsorted(np.cumsum(sizes), starts, "right")
+    at, need = starts + owner, ends - starts  # a separator stands before each further segment
+    rank = np.empty(len(sa), np.int64)
+    rank[sa] = np.arange(len(sa))
+    order = np.lexsort((rank[at], need))
+    r, n = rank[at[order]], need[order]
+    new = np.ones(len(order), bool)
+    pair = np.flatnonzero(n[1:] == n[:-1])
+    new[pair + 1] = least_between(same[sa], r[pair] + 1, r[pair + 1] + 1) < n[pair]
+    begin, kind = np.flatnonzero(new), np.cumsum(new) - 1
+    low, high = np.minimum.reduceat(place[at[order]], begin), np.maximum.reduceat(place[at[order]], begin)
+    hit = np.sort(order[(low != high)[kind]])
+    for k, a, b in zip(owner[hit].tolist(), (at + shift[owner])[hit].tolist(), (at + need + shift[owner])[hit].tolist()):
+        if out[k] and a <= out[k][-1][1]:
+            out[k][-1] = (out[k][-1][0], b)
+        else:
+            out[k].append((a, b))
+    return out
+
+
+def _shard(min_bytes: int, min_words: int | None):
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         docs = pd.factorize(pd.MultiIndex.from_frame(rows[["id", "key"]].fillna({"id": -(1 << 62)})))[0].astype(np.int64)
-        spans = repeated_in(rows["bytes"].tolist(), docs, rows["first"].to_numpy(np.int64), min_bytes)
+        spans = repeated_in(rows["bytes"].tolist(), docs, rows["first"].to_numpy(np.int64), min_bytes, min_words)
         own = np.repeat(np.arange(len(rows)), [len(x) for x in spans])
         flat = np.asarray([y for x in spans for y in x], np.int64).reshape(-1, 2)
         return pd.DataFrame({"id": rows["id"].iloc[own].to_numpy(), "key": rows["key"].iloc[own].to_numpy(), "a": flat[:, 0], "b": flat[:, 1]})
@@ -188,6 +240,29 @@ def _string_rows(min_bytes: int):
     return hashed
 
 
+def _word_rows(min_words: int):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffer_of(batch.column("bytes"))
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+            a, b = word_windows(data, np.diff(offsets), min_words)
+            own = np.searchsorted(offsets[1:], a, "right")
+            at = offsets[own] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())[own]
+            rows, h = pa.array(own), Spans(data).hashes(a, b)
+            yield pa.RecordBatch.from_arrays([batch.column("seg").take(rows), batch.column("g").take(rows), pa.array((a - at).astype(np.int32)), pa.array((b - at).astype(np.int32)), pa.array(h.astype(np.int64))], ["seg", "g", "o", "e", "h"])
+
+    return hashed
+
+
+def _hot_words(hot: DataFrame, min_words: int) -> DataFrame:
+    """:func:`_hot_spans` for runs of words."""
+    hot = materialize(hot.withColumn("seg", F.monotonically_increasing_id()), "repeat-hot")
+    strings = materialize(hot.select("seg", "g", "first", "at", "bytes").mapInArrow(_word_rows(min_words), "seg long, g long, o int, e int, h long"), "repeat-strings")
+    several = strings.groupBy("g", "o", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    found = strings.join(materialize(several, "repeat-several"), ["g", "o", "h"], "left_semi")
+    return found.join(hot.select("seg", "id", "key", "at"), "seg").select("id", "key", (F.col("at") + F.col("o")).cast("long").alias("a"), (F.col("at") + F.col("e")).cast("long").alias("b"))
+
+
 def _hot_spans(hot: DataFrame, min_bytes: int) -> DataFrame:
     """Spans of repeated strings of segments whose grams are very common (``hot``: with bytes and ``n`` occurrences).
 
@@ -233,10 +308,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), *(own.field(c) for c in ("g", "n", "hot", "first", "at")), pa.array(cuts, pa.binary())], names)
 
 
-def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
     """``id, key, spans`` (arrays of (a, b), unmerged) of the rows of :func:`_keyed` that hold repeated strings."""
+    min_bytes = min_bytes if min_words is None else 2 * min_words - 1
     docs = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
-    marks = materialize(docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_rows(min_bytes), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
+    marks = materialize(docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_rows(min_bytes, min_words), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
     grams = marks.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("low"), F.max("s").alias("high")).filter("c > 1").select("g", (F.col("low") == F.col("high")).alias("settled"))
     grams = materialize(grams, "repeat-grams")  # apart from the join, so that a hot gram's anchors can be split
     shared = materialize(marks.join(grams, "g"), "repeat-shared")
@@ -257,10 +333,11 @@ def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     size = cut.filter("not hot").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.max("hot")).first()
     shards = max(1, -(-size[0] // SHARD_BYTES))
     dealt = cut.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(_shard(min_bytes), "id long, key long, a long, b long")
+    found = dealt.groupBy("shard").applyInPandas(_shard(min_bytes, min_words), "id long, key long, a long, b long")
     spans = spans.unionByName(found)
     if cut.filter("hot").take(1):
-        spans = spans.unionByName(_hot_spans(cut.filter("hot"), min_bytes))
+        hot = cut.filter("hot")
+        spans = spans.unionByName(_hot_spans(hot, min_bytes) if min_words is None else _hot_words(hot, min_words))
     return materialize(spans.groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans")
 
 
@@ -334,10 +411,10 @@ def _bitmap_udf(docs: DataFrame, found: DataFrame):
     return suspect
 
 
-def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``df`` with repeated strings cut from ``text`` (a character that is cut in part goes whole)."""
+def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
+    """``df`` with repeated strings (with ``min_words``: runs of words) cut from ``text`` (a character that is cut in part goes whole)."""
     keyed = _keyed(df, id_col)
-    spans = repeated_spans(keyed, min_bytes)
+    spans = repeated_spans(keyed, min_bytes, min_words)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, own: pd.Series) -> pd.Series:

@@ -1,6 +1,7 @@
 """Word and shingle hashes of many texts at once.
 
 A word is a longest run of ASCII letters, digits, underscores and bytes of non-ASCII characters; callers lower-case.
+Only :func:`word_windows` takes words between white space.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from msgloom.llm.pieces import span_hashes
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")] = True
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -68,3 +71,43 @@ def weighted(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     new[1:] = (items[1:] != items[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
     return items[at], np.diff(np.append(at, len(items))), np.bincount(doc[at], minlength=len(counts))
+
+
+def _spaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of UTF-8 ``data`` are white space, and which are of characters that scripts write without any between words."""
+    space = _SPACE[data]
+    alone = np.zeros(len(data), bool)
+    wide = np.concatenate([data, np.zeros(2, np.uint8)])
+    at = np.flatnonzero(data == 0xC2)
+    at = at[np.isin(wide[at + 1], (0x85, 0xA0))]
+    space[at] = space[at + 1] = True
+    at = np.flatnonzero((data >= 0xE0) & (data <= 0xE9))
+    c = (wide[at].astype(np.int32) & 15) << 12 | (wide[at + 1].astype(np.int32) & 63) << 6 | wide[at + 2] & 63
+    blank = at[(c >= 0x2000) & (c <= 0x200A) | np.isin(c, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+    # Thai and Lao, Burmese, Khmer, kana and Han
+    own = at[(c >= 0xE00) & (c < 0xF00) | (c >= 0x1000) & (c < 0x10A0) | (c >= 0x1780) & (c < 0x1800) | (c >= 0x3040) & (c < 0x3130) | (c >= 0x3400) & (c < 0xA000)]
+    for mask, found in ((space, blank), (alone, own)):
+        for k in range(3):
+            mask[np.minimum(found + k, len(data) - 1)] = True
+    return space, alone
+
+
+def word_windows(data: np.ndarray, sizes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all runs of ``words`` words of UTF-8 texts laid end to end.
+
+    Words stand between white space; a character of a script without spaces is a word by itself. A run takes
+    ``2 * words - 1`` bytes at least.
+    """
+    ends = np.cumsum(sizes)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = True
+    edge[ends] = True
+    space, alone = _spaced(data)
+    before = np.concatenate([[True], space[:-1]])
+    joint = alone | np.concatenate([[False], alone[:-1]])
+    first = ~space & (edge[:-1] | before | joint & ((data & 0xC0) != 0x80))
+    last = ~space & (edge[1:] | np.concatenate([space[1:], [True]]) | np.concatenate([first[1:], [True]]))
+    a, b = np.flatnonzero(first), np.flatnonzero(last) + 1
+    a, b = a[: max(0, len(a) - words + 1)], b[words - 1 :]
+    own = np.searchsorted(ends, a, "right") == np.searchsorted(ends, b - 1, "right")
+    return a[own], b[own]

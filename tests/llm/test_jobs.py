@@ -1,8 +1,9 @@
 """The training-data operators as Spark jobs: brute force on small tables, and odd rows everywhere."""
 
 import random
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -192,6 +193,51 @@ def test_repeats(spark, odd, none, monkeypatch, hot):
     assert cut.columns == odd.columns and cut.count() == odd.count() and suffix_dedup.repeat_report(odd).count() == odd.count()
 
 
+def brute_word_repeats(texts, m):
+    """Texts without the bytes of any run of ``m`` words between white space that occurs twice."""
+    runs = []
+    for t in texts:
+        w = [x.span() for x in re.finditer(r"\S+", t)]
+        runs.append([(w[k][0], w[k + m - 1][1]) for k in range(len(w) - m + 1)])
+    seen = Counter(t[a:b] for t, own in zip(texts, runs) for a, b in own)
+    out = []
+    for t, own in zip(texts, runs):
+        gone = {k for a, b in own if seen[t[a:b]] > 1 for k in range(a, b)}
+        out.append("".join(c for k, c in enumerate(t) if k not in gone))
+    return out
+
+
+@pytest.mark.parametrize("hot", [2000, 2])
+def test_repeats_of_words(spark, odd, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(12)
+    line = lambda k, longest=9: " ".join("".join(r.choices("abcdeé", k=r.randint(1, longest))) for _ in range(k))
+    short, middle, almost = line(51, 1), line(70), line(50)
+    texts = [f"{line(r.randint(0, 60))} {x} {line(r.randint(0, 60))}" for x in (short, middle, almost) for _ in range(8)]
+    texts += [short, middle + "x", "x" + middle, middle.replace(" ", "\u00a0"), middle[:200], " ".join(middle.split()[:51]), almost, short + "\n" + short, "", "\t\n", line(50, 1) + " b", "a " * 400, "word " * 51]
+    texts += [line(3) + " " + " ".join(middle.split()[k : k + 52]) + " " + line(3) for k in range(0, 18)]
+    texts += [t or "" for _, t in docs_of(odd)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for m in (51, 12):
+        got = {x["doc_id"]: x["text"] for x in suffix_dedup.without_repeats(df, min_words=m).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_word_repeats(texts, m)
+    han = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(60))
+    got = suffix_dedup.without_repeats(spark.createDataFrame([(1, "一" + han), (2, "二" + han), (3, han[:50])], "doc_id long, text string"), min_words=51).collect()
+    assert {x["doc_id"]: x["text"] for x in got} == {1: "一", 2: "二", 3: han[:50]}
+
+
+def test_pipeline_cuts_short_words(spark):
+    import corpus_pipeline
+
+    passage = " ".join("abcdefgh"[k * k % 7 % 5] + "xyz"[k % 3] * (k % 2) for k in range(51))
+    long_words = " ".join(f"longer{k:02d}word{k:02d}" for k in range(50))
+    texts = [f"one here {passage} and there", f"two before {passage} then", f"three {long_words} four", f"five {long_words} six"]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in corpus_pipeline.repeat_removal(spark, df, SF).collect()}
+    want = ["one here  and there", "two before  then", *texts[2:]]
+    assert len(passage) < 256 and got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_decontamination(spark, odd, none):
     r = random.Random(3)
     items = [r.choices(WORDS, k=k) for k in (40, 25, 14, 9, 6, 4)]
