@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -16,14 +17,19 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where it is unset, a temporary one if all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="msgloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+_open: list[list[DataFrame]] = []
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -32,16 +38,40 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a :func:`materialize` result that no later step reads."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def forget(*written: DataFrame) -> None:
+    """Delete the files of :func:`materialize` results that no later step reads."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Within it, tables of :func:`materialize` are intermediate: they go at its end, but for those that the given function is called with."""
+    _open.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.written_to)
+        return df
+
+    done = False
+    try:
+        yield keep
+        done = True
+    finally:
+        own = _open.pop()
+        forget(*(x for x in own if not done or x.written_to not in kept))
+        if done and _open:
+            _open[-1] += [x for x in own if x.written_to in kept]
 
 
 def text_or_empty(df: DataFrame, *keys: str) -> DataFrame:

@@ -88,31 +88,35 @@ def _induce_buckets(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts:
 def _induce_entries(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The same, entry by entry."""
     n = len(s)
-    text, small = s.tolist(), smaller.tolist()
-    sa = [-1] * n
-    tail = starts[1:].tolist()
-    for j in reversed(lms.tolist()):
-        c = text[j]
-        tail[c] -= 1
-        sa[tail[c]] = j
+    sa = np.full(n, -1, np.int64)
+    letters, tail = s[lms], starts[1:].copy()
+    order = np.argsort(letters, kind="stable")
+    upto = np.searchsorted(letters[order], letters[order], "right")
+    sa[tail[letters[order]] - upto + np.arange(len(lms))] = lms[order]
+    sa[starts[s[n - 1]]] = n - 1
     head = starts[:-1].tolist()
-    c = text[n - 1]
-    sa[head[c]] = n - 1
-    head[c] += 1
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not small[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = starts[1:].tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    return np.asarray(sa, np.int32)
+    head[int(s[n - 1])] += 1
+    # the letter before each position where the suffix there is induced by this one, else -1 (also for the empty entry, -1)
+    before = np.full(n + 1, -1, np.int64)
+    before[1:n] = np.where(smaller[:-1], -1, s[:-1])
+    letter, out = before.tolist(), sa.tolist()
+    for j in out:  # entries are set ahead of where the loop stands
+        c = letter[j]
+        if c >= 0:
+            at = head[c]
+            out[at] = j - 1
+            head[c] = at + 1
+    before[1:n] = np.where(smaller[:-1], s[:-1], -1)
+    letter, tail = before.tolist(), starts[1:].tolist()
+    out.reverse()  # an entry at ``i`` from the end
+    tail = [n - x for x in tail]
+    for j in out:
+        c = letter[j]
+        if c >= 0:
+            at = tail[c]
+            out[at] = j - 1
+            tail[c] = at + 1
+    return np.asarray(out[::-1], np.int32)
 
 
 def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:

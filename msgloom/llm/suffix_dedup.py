@@ -1,24 +1,28 @@
 """Repeated substrings across a corpus, by suffix arrays over the places where they can lie.
 
-Every byte covered by a ``min_bytes`` string that also starts anywhere else (in any text, the same one included) is
-found, exactly as judged on the input. With ``min_words``, the strings are instead all runs of that many words (from a
-word's start to a word's end, :func:`msgloom.llm.words.word_windows`), of whatever length, and ``min_bytes`` is the least
-that such a run takes; everything below holds for them alike.
-
-1. One narrow pass gives every ``min_bytes`` string to an anchor: the gram in it with the smallest hash (the leftmost of
-   equal ones). Equal strings have equal anchors at equal places, so they need only be compared under their gram. The
-   strings of one anchor start side by side; the bytes that they cover are its segment.
-2. Grams are counted with map-side combination. Anchors that stand alone end here. Where a gram's segments are equal
-   (by a 64-bit hash beside the gram's), their whole bytes repeat: copies and long passages are settled without a byte
-   moved, in groups of any size.
-3. One representative of each other segment is cut from its text and dealt by gram into shards of about
-   ``SHARD_BYTES``. Each shard builds a suffix array by induced sorting and its permuted common prefixes; a run of
-   prefixes of ``min_bytes`` or more with two different places is a repeat (:mod:`msgloom.llm.suffix_array`).
-4. A gram with more than ``HOT`` different segments (a very common passage) would outgrow a shard. Its segments are
-   compared without bytes instead: first in ``RANGES`` ranges of places by the hash of what all strings of a range
-   share, then, only in ranges that remain unsettled, string by string by hash. All of it is counted map-side first.
-   (Runs of words are few, and compared by hash at once.)
-5. Spans are merged per document and cut out. Documents outside a fixed-size bitmap of suspects never move.
+Two kinds of strings are looked for, either or both in one run: all strings of ``min_bytes`` bytes, and all runs of
+``min_words`` words (from a word's start to a word's end, :func:`msgloom.llm.words.word_windows`) of whatever length. Every
+byte covered by a string that also starts anywhere else (in any text, the same one included) is found, as judged on the
+input.
+
+1. One narrow pass gives every string to an anchor: the gram in it with the smallest hash (the leftmost of equal ones).
+   Equal strings have equal anchors at equal places, so they need only be compared under their gram. The strings of one
+   anchor start side by side; the bytes that they cover are its segment.
+2. Grams are counted with map-side combination. Anchors that stand alone end here. Equal segments under a gram are one
+   kind; a single representative of each goes on, with the number of its members.
+3. A gram is dealt to a shard by the first document that holds it and the place there. Neighbouring anchors of a family
+   of similar texts so meet in one shard, and their overlapping segments are cut from a text once, as one region.
+4. Each shard builds a suffix array of its regions by induced sorting and its permuted common prefixes
+   (:mod:`msgloom.llm.suffix_array`). A run of prefixes that are long enough is a repeat if it holds two places, or one
+   of a kind with several members. Nothing is removed but by this step.
+5. A gram with more than ``HOT`` kinds (a very common passage) would outgrow a shard. Its strings are dealt again under
+   longer grams: in ``RANGES`` ranges of places by all bytes that the strings of a range share, and where that is still
+   too common, each string by itself, which leaves one kind a gram. The shards then decide about those.
+6. What a shard finds for a kind is carried to its members, merged per document and cut out. Documents outside a
+   fixed-size bitmap of suspects never move.
+
+Grams, kinds and strings are told apart by 64-bit hashes in pairs of two (gram and segment); the repeats themselves are
+compared byte by byte.
 
 Defined cases: a null text is empty; texts shorter than ``min_bytes`` keep everything; repeated rows are different
 places, so their long strings all go; a null id is an id of its own; further columns are ignored or, in
@@ -29,22 +33,36 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, pieces_of
+from msgloom.llm._io import buffer_of, materialize, passing, pieces_of
 from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix, word_windows
 
-MIN_BYTES, MOST_GRAM, SHARD_BYTES, HOT, RANGES, BITMAP_BITS = 400, 64, 600_000, 2000, 8, 26
+MIN_BYTES, MIN_WORDS, MOST_GRAM, SHARD_BYTES, FEW, HOT, RANGES, BITMAP_BITS = 400, 51, 64, 1 << 20, 32, 512, 8, 26
 BATCH_BYTES = 1 << 20
 
 
+@dataclass(frozen=True)
+class Wanted:
+    """Which strings are looked for: of so many bytes, of so many words, or both."""
+
+    min_bytes: int | None = MIN_BYTES
+    min_words: int | None = None
+
+    @property
+    def least(self) -> int:
+        """Bytes that the shortest string can take."""
+        return min(x for x in (self.min_bytes, self.min_words and 2 * self.min_words - 1) if x)
+
+
 # -- anchors -------------------------------------------------------------------------------------------------------------
 
 
@@ -76,51 +94,63 @@ def least_between(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return out
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int, min_words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts laid end to end: text number, gram hash, segment hash, and start, place and end in the text."""
-    gram, n = gram_bytes(min_bytes), len(data)
+def anchors(data: np.ndarray, sizes: np.ndarray, min_bytes: int, min_words: int | None = None, gram: int | None = None) -> tuple[np.ndarray, ...]:
+    """Anchors of texts laid end to end: text number, gram hash, segment hash, and start, place and end in the text.
+
+    Of the strings of ``min_bytes`` bytes; with ``min_words``, of the runs of so many words.
+    """
+    found = list(_anchors(data, sizes, Wanted(None if min_words else min_bytes, min_words), gram or gram_bytes(2 * min_words - 1 if min_words else min_bytes)))
+    return tuple(found[0][1:]) if found else (np.zeros(0, np.int64),) * 6
+
+
+def _anchors(data: np.ndarray, sizes: np.ndarray, what: Wanted, gram: int) -> Iterator[tuple]:
+    """For bytes (0), then for words (1): that number and :func:`anchors`."""
+    n = len(data)
+    if n < what.least or not (sizes >= what.least).any():
+        return
     ends = np.cumsum(sizes)
-    none = np.zeros(0, np.int64)
-    if n < min_bytes or not (sizes >= min_bytes).any():
-        return none, none, none, none, none, none
     spans = Spans(data)
     at = np.arange(n - gram + 1)
     h = spans.hashes(at, at + gram)
     keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     keys[: len(h)] = (h & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-    if min_words is None:
-        least = _sliding_least(keys, min_bytes - gram + 1)
-        starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= min_bytes)  # of whole strings
-        least, stops = least[starts], starts + min_bytes
-    else:
-        starts, stops = word_windows(data, sizes, min_words)
+    for words in (0, 1):
+        if words and what.min_words:
+            starts, stops = word_windows(data, sizes, what.min_words)
+            least = least_between(keys, starts, stops - gram + 1)
+        elif not words and what.min_bytes:
+            starts = np.flatnonzero(np.repeat(ends, sizes) - np.arange(n) >= what.min_bytes)  # of whole strings
+            stops = starts + what.min_bytes
+            least = _sliding_least(keys, what.min_bytes - gram + 1)[starts]
+        else:
+            continue
         if not len(starts):
-            return none, none, none, none, none, none
-        least = least_between(keys, starts, stops - gram + 1)
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.ones(len(starts), bool)
-    new[1:] = anchor[1:] != anchor[:-1]
-    if min_words is None:
-        new[1:] |= starts[1:] != starts[:-1] + 1
-    first = starts[new]
-    last = stops[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
-    place = anchor[new]
-    doc = np.searchsorted(ends, place, "right")
-    begin = ends[doc] - sizes[doc]
-    segment = mix(spans.hashes(first, last) + (place - first).astype(np.uint64))
-    return doc, h[place].astype(np.int64), segment.astype(np.int64), first - begin, place - begin, last - begin
-
-
-def _anchor_rows(min_bytes: int, min_words: int | None):
-    names = ["id", "key", "g", "s", "first", "at", "last"]
+            continue
+        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.ones(len(starts), bool)
+        new[1:] = anchor[1:] != anchor[:-1]
+        if not words:
+            new[1:] |= starts[1:] != starts[:-1] + 1
+        first = starts[new]
+        last = stops[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
+        place = anchor[new]
+        doc = np.searchsorted(ends, place, "right")
+        begin = ends[doc] - sizes[doc]
+        segment = mix(spans.hashes(first, last) + (place - first).astype(np.uint64))
+        g = (h[place] & ~np.uint64(1)) | np.uint64(words)
+        yield words, doc, g.astype(np.int64), segment.astype(np.int64), first - begin, place - begin, last - begin
+
+
+def _anchor_rows(what: Wanted):
+    gram, names = gram_bytes(what.least), ["id", "key", "g", "s", "first", "at", "last"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
             for start, end in pieces_of(batch, "text", BATCH_BYTES):
-                doc, g, s, first, at, last = anchors(data[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]), min_bytes, min_words)
-                rows = pa.array(start + doc)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(g), pa.array(s), *(pa.array(x.astype(np.int32)) for x in (first, at, last))], names)
+                for _, doc, g, s, first, at, last in _anchors(data[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]), what, gram):
+                    rows = pa.array(start + doc)
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(g), pa.array(s), *(pa.array(x.astype(np.int32)) for x in (first, at, last))], names)
 
     return find
 
@@ -128,47 +158,67 @@ def _anchor_rows(min_bytes: int, min_words: int | None):
 # -- one shard -----------------------------------------------------------------------------------------------------------
 
 
-def repeated_in(segments: list[bytes], docs: np.ndarray, firsts: np.ndarray, min_bytes: int, min_words: int | None = None) -> list[list[tuple[int, int]]]:
-    """For each segment (document number, first byte's place in it): the spans of repeated strings."""
-    sizes = np.asarray([len(x) for x in segments], np.int64)
-    joined = np.frombuffer(b"\0".join(segments), np.uint8).astype(np.int64) + 1
+def repeated_in(regions: list[bytes], owner: np.ndarray, first: np.ndarray, last: np.ndarray, members: np.ndarray, words: np.ndarray, what: Wanted) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeated strings of the kinds that lie in ``regions``: number of the kind, and start and end counted from its first byte.
+
+    A kind is the strings between ``first`` and ``last`` of region ``owner`` (of words or of bytes), and has so many members.
+    """
+    sizes = np.asarray([len(x) for x in regions], np.int64)
+    joined = np.frombuffer(b"\0".join(regions), np.uint8).astype(np.int32) + 1
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
     joined[(begin + sizes)[:-1]] = 0  # a separator smaller than every byte
     sa = suffix_array(joined, 257)
-    if len(joined) < 2:
-        return [[] for _ in segments]
     same = permuted_lcp(joined, sa)
-    owner = np.repeat(np.arange(len(segments)), sizes + 1)[: len(joined)]
-    place = (docs[owner] << 32) + firsts[owner] + np.arange(len(joined)) - begin[owner]
-    if min_words is not None:
-        return _repeated_words(segments, sizes, sa, same, place, firsts - begin, min_words)
-    valid = begin[owner] + sizes[owner] - np.arange(len(joined)) >= min_bytes
-    run = np.cumsum(same[sa] < min_bytes) - 1
-    start = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-    low, high = np.minimum.reduceat(place[sa], start), np.maximum.reduceat(place[sa], start)
-    repeats = np.zeros(len(joined), bool)
-    repeats[sa] = (low != high)[run - run[0]]
-    repeats &= valid
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    hit = np.flatnonzero(repeats)
-    if len(hit):
-        new = np.concatenate([[True], (np.diff(hit) > 1) | (owner[hit[1:]] != owner[hit[:-1]])])
-        a = hit[new]
-        b = hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)]
-        for x, y in zip(a, b):
-            k = owner[x]
-            out[k].append((int(firsts[k] + x - begin[k]), int(firsts[k] + y - begin[k] + min_bytes)))
-    return out
-
-
-def _repeated_words(segments: list[bytes], sizes: np.ndarray, sa: np.ndarray, same: np.ndarray, place: np.ndarray, shift: np.ndarray, min_words: int) -> list[list[tuple[int, int]]]:
+    found = []
+    pos, end = begin[owner] + first, begin[owner] + last
+    own = np.flatnonzero(~words)
+    if len(own):
+        a, b = _repeated_bytes(sa, same, pos[own], end[own] - what.min_bytes + 1, members[own], np.repeat(begin + sizes, sizes + 1)[: len(joined)], what.min_bytes)
+        found.append((own[a], *b))
+    own = np.flatnonzero(words)
+    if len(own):
+        a, b = _repeated_words(regions, sizes, sa, same, pos[own], end[own], members[own], what.min_words)
+        found.append((own[a], *b))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+
+def _repeated_bytes(sa: np.ndarray, same: np.ndarray, pos: np.ndarray, stop: np.ndarray, members: np.ndarray, end: np.ndarray, min_bytes: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Of kinds whose strings start in ``pos:stop`` (no two alike)."""
+    n = len(sa)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, pos, members - 1)
+    np.add.at(step, stop, 1 - members)
+    weight = 1 + np.cumsum(step[:-1])
+    long_enough = same[sa] >= min_bytes
+    long_enough[0] = False
+    start = np.flatnonzero(~long_enough)
+    several = np.add.reduceat(weight[sa], start) > 1
+    repeats = np.zeros(n + 1, bool)
+    repeats[sa] = np.repeat(several, np.diff(np.append(start, n)))
+    repeats[:-1] &= end - np.arange(n) >= min_bytes
+    edge = np.flatnonzero(repeats[1:] != repeats[:-1]) + 1
+    edge = np.concatenate([[0], edge]) if repeats[0] else edge
+    low, high = edge[::2], edge[1::2]  # runs of repeated starts
+    i, j = np.searchsorted(high, pos, "right"), np.searchsorted(low, stop, "left")  # runs i to j - 1 meet the kind
+    count = np.maximum(j - i, 0)
+    kind = np.repeat(np.arange(len(pos)), count)
+    run = np.repeat(i - (np.cumsum(count) - count), count) + np.arange(len(kind))
+    a, b = np.maximum(low[run], pos[kind]), np.minimum(high[run], stop[kind])
+    return kind, (a - pos[kind], b - 1 + min_bytes - pos[kind])
+
+
+def _repeated_words(regions: list[bytes], sizes: np.ndarray, sa: np.ndarray, same: np.ndarray, pos: np.ndarray, end: np.ndarray, members: np.ndarray, min_words: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """The same for runs of words: equal ones have equal lengths and a common prefix of that length."""
-    out: list[list[tuple[int, int]]] = [[] for _ in segments]
-    starts, ends = word_windows(np.frombuffer(b"".join(segments), np.uint8), sizes, min_words)
-    if len(starts) < 2:
-        return out
-    owner = np.searchsorted(np.cumsum(sizes), starts, "right")
-    at, need = starts + owner, ends - starts  # a separator stands before each further segment
+    none = np.zeros(0, np.int64)
+    starts, stops = word_windows(np.frombuffer(b"".join(regions), np.uint8), sizes, min_words)
+    region = np.searchsorted(np.cumsum(sizes), starts, "right")
+    at, need = starts + region, stops - starts  # a separator stands before each further region
+    by = np.argsort(pos, kind="stable")
+    kind = np.searchsorted(pos[by], at, "right") - 1
+    inside = np.flatnonzero((kind >= 0) & (at + need <= end[by[np.maximum(kind, 0)]]))  # a region's edges may cut a word of other strings
+    kind, at, need = by[kind[inside]], at[inside], need[inside]
+    if not len(at):
+        return none, (none, none)
     rank = np.empty(len(sa), np.int64)
     rank[sa] = np.arange(len(sa))
     order = np.lexsort((rank[at], need))
@@ -176,112 +226,117 @@ def _repeated_words(segments: list[bytes], sizes: np.ndarray, sa: np.ndarray, sa
     new = np.ones(len(order), bool)
     pair = np.flatnonzero(n[1:] == n[:-1])
     new[pair + 1] = least_between(same[sa], r[pair] + 1, r[pair + 1] + 1) < n[pair]
-    begin, kind = np.flatnonzero(new), np.cumsum(new) - 1
-    low, high = np.minimum.reduceat(place[at[order]], begin), np.maximum.reduceat(place[at[order]], begin)
-    hit = np.sort(order[(low != high)[kind]])
-    for k, a, b in zip(owner[hit].tolist(), (at + shift[owner])[hit].tolist(), (at + need + shift[owner])[hit].tolist()):
-        if out[k] and a <= out[k][-1][1]:
-            out[k][-1] = (out[k][-1][0], b)
-        else:
-            out[k].append((a, b))
-    return out
-
-
-def _shard(min_bytes: int, min_words: int | None):
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        docs = pd.factorize(pd.MultiIndex.from_frame(rows[["id", "key"]].fillna({"id": -(1 << 62)})))[0].astype(np.int64)
-        spans = repeated_in(rows["bytes"].tolist(), docs, rows["first"].to_numpy(np.int64), min_bytes, min_words)
-        own = np.repeat(np.arange(len(rows)), [len(x) for x in spans])
-        flat = np.asarray([y for x in spans for y in x], np.int64).reshape(-1, 2)
-        return pd.DataFrame({"id": rows["id"].iloc[own].to_numpy(), "key": rows["key"].iloc[own].to_numpy(), "a": flat[:, 0], "b": flat[:, 1]})
+    several = np.add.reduceat(members[kind[order]], np.flatnonzero(new)) > 1
+    hit = np.sort(order[several[np.cumsum(new) - 1]])
+    if not len(hit):
+        return none, (none, none)
+    kind, a, b = kind[hit], at[hit], (at + need)[hit]
+    new = np.ones(len(hit), bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (a[1:] > b[:-1])
+    begin, close = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(hit)) - 1
+    kind = kind[begin]
+    return kind, (a[begin] - pos[kind], b[close] - pos[kind])
+
+
+_KIND = np.dtype([(x, "<i8") for x in ("g", "s", "n", "first", "last")])
+_FOUND = "id long, key long, g long, s long, n long, first long, a long, b long"
+
+
+def _shard(what: Wanted):
+    def shard(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        kinds = [np.frombuffer(x, _KIND) for x in rows.column("kinds").to_pylist()]
+        owner = np.repeat(np.arange(len(kinds)), [len(x) for x in kinds])
+        flat = np.concatenate(kinds)
+        begin = rows.column("begin").to_numpy()[owner]
+        kind, a, b = repeated_in(rows.column("bytes").to_pylist(), owner, flat["first"] - begin, flat["last"] - begin, flat["n"], (flat["g"] & 1) == 1, what)
+        own, at = flat[kind], pa.array(owner[kind])
+        arrays = [rows.column("id").take(at), rows.column("key").take(at), *(pa.array(own[x]) for x in ("g", "s", "n", "first")), pa.array(a), pa.array(b)]
+        return pa.table(arrays, names=["id", "key", "g", "s", "n", "first", "a", "b"])
 
     return shard
 
 
-# -- very common grams ---------------------------------------------------------------------------------------------------
-
-
-def _range_edges(min_bytes: int) -> np.ndarray:
-    """Where the ranges of string starts begin, counted from the anchor: ``RANGES`` ranges over all strings that hold it."""
-    return np.linspace(gram_bytes(min_bytes) - min_bytes, 1, RANGES + 1).astype(np.int64)
-
-
-def _range_rows(min_bytes: int):
-    edges = _range_edges(min_bytes)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffer_of(batch.column("bytes"))
-            spans, at = Spans(data), offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
-            for r in range(RANGES):
-                a = np.maximum(at + edges[r], offsets[:-1])  # first string of the range
-                b = np.minimum(at + edges[r + 1] - 1, offsets[1:] - min_bytes)  # last one
-                some = np.flatnonzero(a <= b)
-                core = spans.hashes(at[some] + edges[r + 1] - 1, at[some] + edges[r] + min_bytes)  # in all of the range's strings
-                yield pa.RecordBatch.from_arrays([batch.column("seg").take(pa.array(some)), batch.column("g").take(pa.array(some)), pa.array(np.full(len(some), r, np.int32)), pa.array(core.astype(np.int64))], ["seg", "g", "r", "core"])
-
-    return hashed
-
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's wanted segments, those that overlap in a shard as one region with the kinds in it."""
+    names = ["id", "key", "shard", "begin", "bytes", "kinds"]
+    for batch in batches:
+        data, offsets = buffer_of(batch.column("text"))
+        wanted = batch.column("wanted")
+        flat = wanted.flatten()
+        col = {x: flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("shard", "g", "s", "n", "first", "last")}
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+        order = np.lexsort((col["first"], col["shard"], doc))
+        doc, col = doc[order], {k: v[order] for k, v in col.items()}
+        group = np.ones(len(doc), bool)
+        group[1:] = (doc[1:] != doc[:-1]) | (col["shard"][1:] != col["shard"][:-1])
+        far = np.maximum.accumulate(col["last"] + (np.cumsum(group) << 32))  # the last byte so far in each group
+        new = group.copy()
+        new[1:] |= col["first"][1:] + (np.cumsum(group)[1:] << 32) >= far[:-1]
+        begin = np.flatnonzero(new)
+        if not len(begin):
+            continue
+        close = np.append(begin[1:], len(doc))
+        high = (far[close - 1] & 0xFFFFFFFF).tolist()
+        kinds = np.empty(len(doc), _KIND)
+        for x in _KIND.names:
+            kinds[x] = col[x]
+        low, own = col["first"][begin].tolist(), doc[begin]
+        for start in range(0, len(begin), 1000):
+            part = range(start, min(start + 1000, len(begin)))
+            cuts = [data[offsets[own[k]] + low[k] : offsets[own[k]] + high[k]].tobytes() for k in part]
+            lists = [kinds[begin[k] : close[k]].tobytes() for k in part]
+            rows = pa.array(own[start : start + 1000])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), pa.array(col["shard"][begin[start : start + 1000]]), pa.array(low[start : start + 1000], pa.int64()), pa.array(cuts, pa.binary()), pa.array(lists, pa.binary())], names)
 
-def _string_rows(min_bytes: int):
-    edges = _range_edges(min_bytes)
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = buffer_of(batch.column("bytes"))
-            spans, at = Spans(data), offsets[:-1] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())
-            r = batch.column("r").to_numpy()
-            for k in range(int(np.diff(edges).max())):
-                a = at + edges[r] + k
-                some = np.flatnonzero((a < at + edges[r + 1]) & (a >= offsets[:-1]) & (a + min_bytes <= offsets[1:]))
-                h = spans.hashes(a[some], a[some] + min_bytes)
-                yield pa.RecordBatch.from_arrays([batch.column("seg").take(pa.array(some)), batch.column("g").take(pa.array(some)), pa.array((a - at)[some].astype(np.int32)), pa.array(h.astype(np.int64))], ["seg", "g", "o", "h"])
+# -- very common grams ---------------------------------------------------------------------------------------------------
 
-    return hashed
 
+def _finer(what: Wanted, level: int):
+    """Strings of very common grams under longer grams: level 1 by ranges of places, level 2 each by itself (words at once)."""
+    gram, names = gram_bytes(what.least), ["id", "key", "up_g", "up_s", "up_first", "g", "s", "n", "first", "at", "last"]
+    edges = np.linspace(gram - (what.min_bytes or gram), 1, RANGES + 1).astype(np.int64)  # starts of ranges, from the anchor
 
-def _word_rows(min_words: int):
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffer_of(batch.column("bytes"))
-            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            a, b = word_windows(data, np.diff(offsets), min_words)
-            own = np.searchsorted(offsets[1:], a, "right")
-            at = offsets[own] + (batch.column("at").to_numpy() - batch.column("first").to_numpy())[own]
-            rows, h = pa.array(own), Spans(data).hashes(a, b)
-            yield pa.RecordBatch.from_arrays([batch.column("seg").take(rows), batch.column("g").take(rows), pa.array((a - at).astype(np.int32)), pa.array((b - at).astype(np.int32)), pa.array(h.astype(np.int64))], ["seg", "g", "o", "e", "h"])
-
-    return hashed
-
-
-def _hot_words(hot: DataFrame, min_words: int) -> DataFrame:
-    """:func:`_hot_spans` for runs of words."""
-    hot = materialize(hot.withColumn("seg", F.monotonically_increasing_id()), "repeat-hot")
-    strings = materialize(hot.select("seg", "g", "first", "at", "bytes").mapInArrow(_word_rows(min_words), "seg long, g long, o int, e int, h long"), "repeat-strings")
-    several = strings.groupBy("g", "o", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = strings.join(materialize(several, "repeat-several"), ["g", "o", "h"], "left_semi")
-    return found.join(hot.select("seg", "id", "key", "at"), "seg").select("id", "key", (F.col("at") + F.col("o")).cast("long").alias("a"), (F.col("at") + F.col("e")).cast("long").alias("b"))
-
-
-def _hot_spans(hot: DataFrame, min_bytes: int) -> DataFrame:
-    """Spans of repeated strings of segments whose grams are very common (``hot``: with bytes and ``n`` occurrences).
+            data, offsets = buffer_of(batch.column("text"))
+            wanted = batch.column("wanted")
+            flat = wanted.flatten()
+            col = {x: flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("g", "s", "n", "first", "at", "last")}
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            spans, at0 = Spans(data), offsets[doc]
+
+            def rows(k: np.ndarray, first: np.ndarray, last: np.ndarray, core: np.ndarray) -> pa.RecordBatch:
+                own = pa.array(doc[k])
+                g = (mix(core) & ~np.uint64(1)) | (col["g"][k] & 1).astype(np.uint64)
+                s = mix(spans.hashes(at0[k] + first, at0[k] + last) + (col["at"][k] - first).astype(np.uint64))
+                up = [pa.array(col[x][k]) for x in ("g", "s", "first")]
+                return pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), *up, pa.array(g.astype(np.int64)), pa.array(s.astype(np.int64)), pa.array(col["n"][k]), *(pa.array(x.astype(np.int32)) for x in (first, col["at"][k], last))], names)
+
+            words = (col["g"] & 1) == 1
+            for k in np.flatnonzero(words):
+                part = data[at0[k] + col["first"][k] : at0[k] + col["last"][k]]
+                a, b = word_windows(part, np.asarray([len(part)]), what.min_words)
+                a, b, k = a + col["first"][k], b + col["first"][k], np.full(len(a), k)
+                yield rows(k, a, b, spans.hashes(at0[k] + a, at0[k] + b) + np.uint64(RANGES))
+            plain = np.flatnonzero(~words)
+            if level == 1:
+                for r in range(RANGES) if len(plain) else ():
+                    lo, hi = col["at"][plain] + edges[r], col["at"][plain] + edges[r + 1] - 1  # first and last start
+                    a, b = np.maximum(lo, col["first"][plain]), np.minimum(hi, col["last"][plain] - what.min_bytes)
+                    some = np.flatnonzero(a <= b)
+                    k = plain[some]
+                    core = spans.hashes(at0[k] + hi[some], at0[k] + lo[some] + what.min_bytes)  # in all of the range's strings
+                    yield rows(k, a[some], b[some] + what.min_bytes, core + np.uint64(r))
+            else:
+                for k in np.array_split(plain, len(plain) // 500 + 1):
+                    count = col["last"][k] - col["first"][k] - what.min_bytes + 1
+                    a = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(col["first"][k], count)
+                    k = np.repeat(k, count)
+                    yield rows(k, a, a + what.min_bytes, spans.hashes(at0[k] + a, at0[k] + a + what.min_bytes) + np.uint64(RANGES))
 
-    Strings that share a gram repeat only at equal distances from it, so a gram's strings are compared distance by
-    distance. A segment that occurs more than once is settled already; it stands for two places here.
-    """
-    hot = materialize(hot.withColumn("seg", F.monotonically_increasing_id()), "repeat-hot")
-    ranges = materialize(hot.select("seg", "g", "first", "at", "bytes").mapInArrow(_range_rows(min_bytes), "seg long, g long, r int, core long"), "repeat-ranges")
-    count = ranges.groupBy("g", "r", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    open_ = ranges.join(materialize(count, "repeat-cores"), ["g", "r", "core"], "left_semi").select("seg", "r")
-    strings = open_.join(hot.select("seg", "g", "first", "at", "bytes"), "seg").mapInArrow(_string_rows(min_bytes), "seg long, g long, o int, h long")
-    strings = materialize(strings, "repeat-strings")
-    weight = strings.groupBy("g", "o", "h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    found = strings.join(materialize(weight, "repeat-several"), ["g", "o", "h"], "left_semi").groupBy("seg").agg(F.sort_array(F.collect_list("o")).alias("os"))  # min_bytes at most
-    starts = F.filter(F.sequence(F.lit(0), F.size("os") - 1), lambda i: (i == 0) | (F.get("os", i) != F.get("os", i - 1) + 1))
-    runs = F.transform(starts, lambda i: F.get("os", i))
-    lasts = F.transform(F.filter(F.sequence(F.lit(0), F.size("os") - 1), lambda i: (i == F.size("os") - 1) | (F.get("os", i) != F.coalesce(F.get("os", i + 1), F.lit(1 << 30)) - 1)), lambda i: F.get("os", i))
-    spans = found.select("seg", F.explode(F.arrays_zip(runs.alias("x"), lasts.alias("y"))).alias("z"))
-    return spans.join(hot.select("seg", "id", "key", "at"), "seg").select("id", "key", (F.col("at") + F.col("z.x")).cast("long").alias("a"), (F.col("at") + F.col("z.y") + min_bytes).cast("long").alias("b"))
+    return find
 
 
 # -- Spark jobs ----------------------------------------------------------------------------------------------------------
@@ -292,64 +347,65 @@ def _keyed(df: DataFrame, id_col: str) -> DataFrame:
     return df.withColumns({"__id": F.col(id_col).cast("long"), "__text": text}).withColumn("__key", F.xxhash64("__id", "__text"))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "key", "g", "n", "hot", "first", "at", "bytes"]
-    for batch in batches:
-        data, offsets = buffer_of(batch.column("text"))
-        wanted = batch.column("wanted")
-        flat = wanted.flatten()
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
-        first, last = flat.field("first").to_numpy(), flat.field("last").to_numpy()
-        for start in range(0, len(doc), 2000):
-            part = slice(start, start + 2000)
-            cuts = [data[offsets[d] + a : offsets[d] + b].tobytes() for d, a, b in zip(doc[part].tolist(), first[part].tolist(), last[part].tolist())]
-            rows = pa.array(doc[part])
-            own = flat.slice(start, len(cuts))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(rows), batch.column("key").take(rows), *(own.field(c) for c in ("g", "n", "hot", "first", "at")), pa.array(cuts, pa.binary())], names)
-
-
-def repeated_spans(keyed: DataFrame, min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
-    """``id, key, spans`` (arrays of (a, b), unmerged) of the rows of :func:`_keyed` that hold repeated strings."""
-    min_bytes = min_bytes if min_words is None else 2 * min_words - 1
+def _kinds(segments: DataFrame, members: Column) -> DataFrame:
+    """One row for each kind of ``segments``: its members, and its first row as the representative."""
+    rows = segments.withColumn("row", F.monotonically_increasing_id())
+    return materialize(rows.groupBy("g", "s").agg(members.alias("n"), F.min("row").alias("row"), *(F.min_by(x, "row").alias(x) for x in ("id", "key", "first", "at", "last"))), "repeat-kinds")
+
+
+def _of_documents(docs: DataFrame, kinds: DataFrame, *columns: str) -> DataFrame:
+    """``id, key, text, wanted``: the documents that hold the representatives of ``kinds``."""
+    wanted = materialize(kinds.groupBy("id", "key").agg(F.collect_list(F.struct(*columns)).alias("wanted")), "repeat-wanted")  # as many as fit a text
+    suspects = docs.filter(_bitmap_udf(docs, wanted)("key")).dropDuplicates(["key", "id"])
+    right = wanted.select(F.col("id").alias("i"), F.col("key").alias("k"), "wanted")
+    return suspects.join(right, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i"))).select("id", "key", "text", "wanted")
+
+
+def _found(docs: DataFrame, kinds: DataFrame, what: Wanted, level: int = 0) -> DataFrame:
+    """Repeated strings of each of ``kinds``: its columns ``id, key, g, s, n, first`` and the strings' place ``a, b`` from there."""
+    grams = kinds.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("places"), F.min_by("key", "row").alias("top"), F.min_by("at", "row").alias("top_at")).filter("places > 1").drop("places")
+    kinds = materialize(kinds.join(materialize(grams, "repeat-grams"), "g"), "repeat-kinds")
+    total = kinds.agg(F.coalesce(F.sum(F.when(F.col("m") <= HOT, F.col("last") - F.col("first"))), F.lit(0)), F.max("m")).first()
+    shards = max(1, -(-total[0] // (2 * SHARD_BYTES)))
+    bits = F.when(F.col("m") <= FEW, int(np.log2(SHARD_BYTES // FEW))).otherwise(int(np.log2(SHARD_BYTES // HOT)))  # kinds times a block of places make a shard at most
+    shard = F.pmod(F.xxhash64("top", bits, F.expr(f"shiftright(top_at, if(m <= {FEW}, {int(np.log2(SHARD_BYTES // FEW))}, {int(np.log2(SHARD_BYTES // HOT))}))")), F.lit(shards))
+    cold = kinds.filter(F.col("m") <= HOT).withColumn("shard", shard)
+    cut = _of_documents(docs, cold, "shard", "g", "s", "n", "first", "last").mapInArrow(_cut, "id long, key long, shard long, begin long, bytes binary, kinds binary")
+    found = materialize(cut.groupBy("shard").applyInArrow(_shard(what), _FOUND), "repeat-found")
+    if (total[1] or 0) <= HOT:
+        return found
+    hot = kinds.filter(F.col("m") > HOT)
+    finer = _of_documents(docs, hot, "g", "s", "n", "first", "at", "last").mapInArrow(_finer(what, level + 1), "id long, key long, up_g long, up_s long, up_first long, g long, s long, n long, first int, at int, last int")
+    finer = materialize(finer, "repeat-finer")
+    below = _found(docs, _kinds(finer, F.sum("n")), what, level + 1).select("g", "s", "a", "b")
+    places = finer.select("g", "s", F.col("up_g"), F.col("up_s"), (F.col("first") - F.col("up_first")).alias("by")).join(below, ["g", "s"])
+    places = materialize(places.select(F.col("up_g").alias("g"), F.col("up_s").alias("s"), (F.col("a") + F.col("by")).alias("a"), (F.col("b") + F.col("by")).alias("b")), "repeat-places")
+    return found.unionByName(places.join(hot.select("id", "key", "g", "s", "n", F.col("first").cast("long").alias("first")), ["g", "s"]))
+
+
+def repeated_spans(keyed: DataFrame, what: Wanted = Wanted()) -> DataFrame:
+    """``id, key, spans`` (arrays of (words, a, b), unmerged) of the rows of :func:`_keyed` that hold repeated strings."""
+    with passing() as keep:
+        return keep(_spans(keyed, what))
+
+
+def _spans(keyed: DataFrame, what: Wanted) -> DataFrame:
     docs = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
-    marks = materialize(docs.filter(F.octet_length("text") >= min_bytes).mapInArrow(_anchor_rows(min_bytes, min_words), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
-    grams = marks.groupBy("g").agg(F.count("*").alias("c"), F.min("s").alias("low"), F.max("s").alias("high")).filter("c > 1").select("g", (F.col("low") == F.col("high")).alias("settled"))
-    grams = materialize(grams, "repeat-grams")  # apart from the join, so that a hot gram's anchors can be split
+    marks = materialize(docs.filter(F.octet_length("text") >= what.least).mapInArrow(_anchor_rows(what), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
+    grams = materialize(marks.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "repeat-shared-grams")  # apart from the join, so that a hot gram's anchors can be split
     shared = materialize(marks.join(grams, "g"), "repeat-shared")
-    # segments of one kind under their gram, or seen more than once: all their bytes repeat
-    kinds = shared.filter("not settled").groupBy("g", "s").agg(F.count("*").alias("n"), F.min(F.struct("key", "id", "first", "at", "last")).alias("x"))
-    kinds = materialize(kinds.select("g", "s", "n", "x.*"), "repeat-kinds")
-    several = shared.filter("not settled").join(kinds.filter("n > 1").select("g", "s"), ["g", "s"], "left_semi")
-    whole = shared.filter("settled").unionByName(several).filter(F.col("last") - F.col("first") >= min_bytes)
-    spans = whole.select("id", "key", F.col("first").cast("long").alias("a"), F.col("last").cast("long").alias("b"))
-    # the others are cut out, one of each
-    common = kinds.groupBy("g").agg(F.count("*").alias("m")).filter(F.col("m") > HOT).select("g", F.lit(True).alias("hot"))
-    wanted = kinds.join(materialize(common, "repeat-common"), "g", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("g", "n", "hot", "first", "at", "last")).alias("wanted"))  # as many as fit a text
-    wanted = materialize(wanted, "repeat-wanted")
-    suspects = _suspects(docs, wanted)
-    joined = suspects.dropDuplicates(["key", "id"]).join(wanted.select(F.col("id").alias("i"), F.col("key").alias("k"), "wanted"), (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")))
-    cut = materialize(joined.select("id", "key", "text", "wanted").mapInArrow(_cut, "id long, key long, g long, n long, hot boolean, first int, at int, bytes binary"), "repeat-cut", "lz4")
-    size = cut.filter("not hot").agg(F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)), F.max("hot")).first()
-    shards = max(1, -(-size[0] // SHARD_BYTES))
-    dealt = cut.filter("not hot").withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)))
-    found = dealt.groupBy("shard").applyInPandas(_shard(min_bytes, min_words), "id long, key long, a long, b long")
-    spans = spans.unionByName(found)
-    if cut.filter("hot").take(1):
-        hot = cut.filter("hot")
-        spans = spans.unionByName(_hot_spans(hot, min_bytes) if min_words is None else _hot_words(hot, min_words))
-    return materialize(spans.groupBy("id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeat-spans")
-
-
-def _suspects(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Those of ``docs`` whose key is in a bitmap of ``found``'s keys."""
-    return docs.withColumn("_suspect", _bitmap_udf(docs, found)("key")).filter("_suspect").drop("_suspect")
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal runs covered by ``spans``."""
+    found = _found(docs, _kinds(shared, F.count("*")), what)
+    alone = found.filter("n = 1").select("id", "key", "g", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    several = materialize(found.filter("n > 1").select("g", "s", "a", "b"), "repeat-several")
+    members = shared.select("id", "key", "g", "s", "first").join(several, ["g", "s"]).select("id", "key", "g", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    places = materialize(members, "repeat-members").unionByName(alone).select("id", "key", F.struct((F.col("g").bitwiseAND(F.lit(1)) == 1).alias("words"), "a", "b").alias("x"))
+    return materialize(places.groupBy("id", "key").agg(F.collect_list("x").alias("spans")), "repeat-spans")
+
+
+def merged(spans: list[dict], words: bool = False) -> list[tuple[int, int]]:
+    """Maximal runs covered by ``spans``, of bytes or of words."""
     out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans):
+    for a, b in sorted((x["a"], x["b"]) for x in spans if x["words"] == words):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -365,24 +421,28 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, raw[at:]])
 
 
-def repeat_report(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept_sha256``: one row per row of ``df``."""
+def repeat_report(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BYTES, min_words: int | None = MIN_WORDS) -> DataFrame:
+    """One row per row of ``df``: ``id_col, n_bytes, n_removed, n_spans, kept_sha256`` of the strings of ``min_bytes`` bytes.
+
+    ``n_passages, passage_bytes`` are of the runs of ``min_words`` words: how many longest stretches of them the text has,
+    and the bytes in these. They are found in the same shards; ``n_removed`` and ``kept_sha256`` don't count them.
+    """
     keyed = _keyed(df.select(id_col, "text"), id_col)
-    spans = repeated_spans(keyed, min_bytes)
+    spans = repeated_spans(keyed, Wanted(min_bytes, min_words))
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text, own in zip(batch.column("text"), batch.column("spans").to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs = merged(own or [])
+                runs, passages = merged(own or []), merged(own or [], True)
                 kept = _kept(raw, runs)
-                out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
 
     joined = _left(keyed, spans)
-    out = joined.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = joined.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -414,13 +474,13 @@ def _bitmap_udf(docs: DataFrame, found: DataFrame):
 def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BYTES, min_words: int | None = None) -> DataFrame:
     """``df`` with repeated strings (with ``min_words``: runs of words) cut from ``text`` (a character that is cut in part goes whole)."""
     keyed = _keyed(df, id_col)
-    spans = repeated_spans(keyed, min_bytes, min_words)
+    spans = repeated_spans(keyed, Wanted(None if min_words else min_bytes, min_words))
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, own: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(text, own):
-            out.append(x if y is None or not len(y) else _kept(x.encode(), merged([{"a": z["a"], "b": z["b"]} for z in y])).decode("utf-8", "ignore"))
+            out.append(x if y is None or not len(y) else _kept(x.encode(), merged(y, bool(min_words))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
     joined = _left(keyed, spans)
