@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, forget, materialize, pieces_of, running_start, text_or_empty
+from msgloom.llm._io import buffer_of, materialize, pieces_of, running_start, text_or_empty
 from msgloom.llm.rans_ids import BATCH_BYTES, packed, unpacked
 
 DIMS, BITS, BUCKETS, SEED = 4, 10, 1 << 13, 20231

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Sequence
+from itertools import chain
 
 import numpy as np
 
@@ -90,10 +91,8 @@ class PieceTable:
             open_ = open_[~hit & (found != 0)]
         return entry
 
-    def add(self, h: np.ndarray, lists: Sequence[Sequence[int]]) -> None:
-        """Entries for distinct hashes that are not in the table."""
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if len(lists) else np.zeros(0, np.uint32)
+    def add(self, h: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> None:
+        """Entries for distinct hashes that are not in the table: how many ids each has, and all ids in order."""
         for name, need in (("counts", self.n + len(h)), ("starts", self.n + len(h)), ("ids", self.used + len(flat))):
             old = getattr(self, name)
             if need > len(old):
@@ -113,10 +112,57 @@ class PieceTable:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
 
 
+def laid_out(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of ``lists``, and their numbers in order."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    return counts, np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum()))
+
+
 #: Bytes that count as white space for a boundary: tab to carriage return, and the space.
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
+def single_pieces(encode: Callable, strip_space: bool = False) -> Callable:
+    """Ids of pieces ``data[start:end]``, each encoded by itself: their order, how many ids each has, and all ids."""
+
+    def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
+        if strip_space:
+            texts = [x[1:] if x[:1] == " " else x for x in texts]
+        return np.arange(len(texts)), *laid_out(encode(texts))
+
+    return pieces
+
+
+def joined_pieces(encode: Callable, sizes: np.ndarray, together: int = 200) -> Callable:
+    """The same by few calls of ``encode``: pieces that start with a lone space are encoded one behind another.
+
+    Their boundaries are safe in any order. ``sizes`` are the bytes that each id stands for, which tell where a piece ends.
+    """
+    alone = single_pieces(encode)
+
+    def pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fit = (data[starts] == 32) & (ends - starts > 1) & ~_SPACE[data[np.minimum(starts + 1, len(data) - 1)]] & ~_SPACE[data[ends - 1]]
+        joint, other = np.flatnonzero(fit), np.flatnonzero(~fit)
+        n = ends[joint] - starts[joint]
+        upto = np.cumsum(n)
+        if not len(joint):
+            return alone(data, starts, ends)
+        raw = data[np.repeat(starts[joint] - (upto - n), n) + np.arange(upto[-1])].tobytes()
+        cuts = [0, *upto[together - 1 :: together].tolist()]
+        cuts += [len(raw)] if cuts[-1] < len(raw) else []
+        _, flat = laid_out(encode([raw[a:b].decode() for a, b in zip(cuts, cuts[1:])]))
+        reached = np.cumsum(sizes[flat])
+        last = np.searchsorted(reached, upto)
+        if last[-1] != len(flat) - 1 or (reached[last] != upto).any():
+            raise ValueError("an id reaches over a boundary that counts as safe")
+        _, counts, more = alone(data, starts[other], ends[other])
+        return np.concatenate([joint, other]), np.concatenate([np.diff(last, prepend=-1), counts]), np.concatenate([flat, more])
+
+    return pieces
+
+
 def _docs_at(positions: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, positions, "right") - 1
 
@@ -132,12 +178,13 @@ def _find_all(raw: bytes, what: bytes) -> list[int]:
 class PieceEncoder:
     """Ids of texts under one tokenizer file, exactly as its library gives them for the whole texts.
 
-    ``encode`` maps whole texts to id lists; ``encode_piece_text`` maps pieces. ``unsafe`` flags texts of a buffer that
+    ``encode`` maps whole texts to id lists, ``pieces`` encodes pieces (:func:`single_pieces`). ``unsafe`` flags texts of a buffer that
     must be encoded whole; ``newlines`` tells whether a single newline between two words stands alone.
     """
 
-    def __init__(self, encode: Callable, strip_space: bool, newlines: bool, unsafe: Callable):
-        self.encode, self.strip_space, self.newlines, self.unsafe = encode, strip_space, newlines, unsafe
+    def __init__(self, encode: Callable, strip_space: bool, newlines: bool, unsafe: Callable, pieces: Callable | None = None):
+        self.encode, self.newlines, self.unsafe = encode, newlines, unsafe
+        self.pieces = pieces or single_pieces(encode, strip_space)
         self.table = PieceTable()
 
     def _boundaries(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -166,11 +213,8 @@ class PieceEncoder:
                 missing = np.arange(len(h))
                 new, at = np.unique(h, return_index=True)
             at = missing[at]
-            raw = data.tobytes()
-            texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-            if self.strip_space:
-                texts = [x[1:] if x[:1] == " " else x for x in texts]
-            self.table.add(new, self.encode(texts))
+            order, counts, flat = self.pieces(data, starts[at], ends[at])
+            self.table.add(new[order], counts, flat)
             entry = self.table.find(h)
         return entry
 
@@ -264,7 +308,10 @@ def encoder_for(path: str) -> PieceEncoder:
 
             if (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec.get("normalizer"):
                 specials = [x["content"].encode() for x in spec.get("added_tokens", [])]
-                _encoders[path] = PieceEncoder(encode, False, True, _unsafe_for_byte_bpe(specials))
+                sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)  # a letter of the vocabulary stands for a byte
+                for token, k in tokenizer.get_vocab(with_added_tokens=False).items():
+                    sizes[k] = len(token)
+                _encoders[path] = PieceEncoder(encode, False, True, _unsafe_for_byte_bpe(specials), joined_pieces(encode, sizes))
             else:  # boundaries are not known to be safe: every text as a whole
                 _encoders[path] = PieceEncoder(encode, False, False, lambda data, starts, docs: docs)
         else:

@@ -20,7 +20,8 @@ them; ``decode_frame`` decodes from all checkpoints of a block at once.
 
 Defined cases: a null text is empty and has the end id alone; a null document id sorts first and stays null; repeated
 rows are separate documents, in any order among themselves; a document longer than a block makes a longer block; an empty
-table gives empty files and no rows; a changed block fails its checksum.
+table gives empty files and no rows; a changed block fails its checksum. Pieces of text are looked up by 64-bit hashes
+(:mod:`msgloom.llm.pieces`).
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, forget, materialize, pieces_of, running_start, text_or_empty
+from msgloom.llm._io import buffer_of, materialize, passing, pieces_of, running_start, text_or_empty
 
 SCALE_BITS, LANES, CHECKPOINT_STEPS, BLOCK_IDS = 20, 512, 256, 1 << 18
 BATCH_BYTES = 2 << 20
@@ -157,32 +158,55 @@ def decode_frame(frame: bytes, table: Table) -> tuple[np.ndarray, np.ndarray, np
 
 def encode_ids(df: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``id_col, n_tokens, ids`` (little-endian, two bytes an id where the vocabulary allows it, else four)."""
+    return _encoded(df, tokenizer, end_id, id_col, batch_bytes).filter("counts is null").drop("counts")
+
+
+def _encoded(df: DataFrame, tokenizer: str, end_id: int | None, id_col: str, batch_bytes: int) -> DataFrame:
+    """:func:`encode_ids`, and from each task one row more that has only ``counts``: its ids and how often each occurs."""
+    names = [id_col, "n_tokens", "ids", "counts"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from msgloom.llm.pieces import encoder_for
 
-        encoder = encoder_for(tokenizer)
+        encoder, total = encoder_for(tokenizer), np.zeros(1 << 16, np.int64)
+
+        def count(ids: np.ndarray) -> None:
+            nonlocal total
+            own = np.bincount(ids)
+            if len(own) > len(total):
+                total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
+            total[: len(own)] += own
+
         for batch in batches:
             data, offsets = buffer_of(batch.column("text"))
             for start, end in pieces_of(batch, "text", batch_bytes):
                 counts, ids = encoder.runs(data, offsets[start : end + 1])
-                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(start, end - start), *packed(counts, ids, end_id)], [id_col, "n_tokens", "ids"])
+                count(ids)
+                if end_id is not None:
+                    count(np.full(end - start, end_id))
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(start, end - start), *packed(counts, ids, end_id), pa.nulls(end - start, pa.binary())], names)
+        seen = np.flatnonzero(total)
+        both = np.stack([seen, total[seen]]).astype("<i8").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([both])], names)
 
-    return text_or_empty(df, id_col).mapInArrow(encode, f"`{id_col}` long, n_tokens long, ids binary")
+    return text_or_empty(df, id_col).mapInArrow(encode, f"`{id_col}` long, n_tokens long, ids binary, counts binary")
 
 
 def packed(counts: np.ndarray, ids: np.ndarray, end_id: int | None) -> tuple[pa.Array, pa.Array]:
     """Counts with the end id, and each document's ids as bytes: a width byte (2 or 4), then the ids."""
-    extra = 0 if end_id is None else 1
+    if end_id is not None:
+        ends = np.cumsum(counts)
+        ids = np.insert(ids, ends, end_id)
+        counts = counts + 1
     ends = np.cumsum(counts)
-    out = []
-    for a, b in zip((ends - counts).tolist(), ends.tolist()):
-        own = ids[a:b]
-        if end_id is not None:
-            own = np.append(own, np.uint32(end_id))
-        narrow = not len(own) or own.max() < 65536
-        out.append(b"\2" + own.astype("<u2").tobytes() if narrow else b"\4" + own.astype("<u4").tobytes())
-    return pa.array(counts + extra, pa.int64()), pa.array(out, pa.binary())
+    starts = ends - counts
+    most = np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(counts)
+    if len(some):
+        most[some] = np.maximum.reduceat(ids, starts[some])
+    raw, wide = ids.astype("<u2").tobytes(), ids.astype("<u4").tobytes() if (most >= 65536).any() else b""
+    out = [b"\2" + raw[2 * a : 2 * b] if m < 65536 else b"\4" + wide[4 * a : 4 * b] for a, b, m in zip(starts.tolist(), ends.tolist(), most.tolist())]
+    return pa.array(counts, pa.int64()), pa.array(out, pa.binary())
 
 
 def unpacked(data: np.ndarray, start: int, end: int) -> np.ndarray:
@@ -191,21 +215,15 @@ def unpacked(data: np.ndarray, start: int, end: int) -> np.ndarray:
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """``id, n`` over all documents: each task adds up its own ids first."""
+    """``id, n`` over all documents, from the tasks' totals."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = buffer_of(batch.column("ids"))
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                own = np.bincount(unpacked(data[a:b].copy(), 0, b - a))
-                if len(own) > len(total):
-                    total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
-                total[: len(own)] += own
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+            for raw in batch.column("counts").to_pylist():
+                ids, n = np.frombuffer(raw, "<i8").reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts is not null").select("counts").mapInArrow(apart, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(df: DataFrame, tokenizer: str, end_id: int | None = 0, block_ids: int = BLOCK_IDS) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +231,13 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int | None = 0, block_ids:
 
     The table has one row per different token id, so the vocabulary bounds what the driver sees and broadcasts.
     """
-    tokens = materialize(encode_ids(df, tokenizer, end_id), "tokens")
+    with passing() as keep:
+        table, blocks = _written(df, tokenizer, end_id, block_ids)
+        return keep(table), keep(blocks)
+
+
+def _written(df: DataFrame, tokenizer: str, end_id: int | None, block_ids: int) -> tuple[DataFrame, DataFrame]:
+    tokens = materialize(_encoded(df, tokenizer, end_id, "doc_id", BATCH_BYTES).withColumn("row", F.monotonically_increasing_id()), "tokens")
     table = materialize(frequencies(tokens), "rans-table")
     symbols = _load(table)
 
@@ -241,10 +265,10 @@ def write_ids(df: DataFrame, tokenizer: str, end_id: int | None = 0, block_ids:
         if hold:
             yield flush()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    blocks = materialize(ordered.mapInArrow(encode, "part int, block int, n_ids long, frame binary"), "rans-blocks", "none")
-    forget(tokens)
-    return table, blocks
+    # copies of one doc_id are told apart by row, so that a range can break between them
+    ordered = tokens.filter("counts is null").select("doc_id", "row", "ids").repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    ordered = ordered.select("doc_id", "ids", F.spark_partition_id().alias("part"))
+    return table, materialize(ordered.mapInArrow(encode, "part int, block int, n_ids long, frame binary"), "rans-blocks", "none")
 
 
 def _load(table: DataFrame):
