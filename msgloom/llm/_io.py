@@ -98,26 +98,30 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
 
 
-def only_keys_of(df: DataFrame, column: str, found: DataFrame, bits: int = 26) -> DataFrame:
-    """Rows of ``df`` whose ``column`` hashes into a bitmap of ``found``'s only column: no row moves.
+def holds(found: DataFrame, bits: int = 26) -> Callable:
+    """A function of a key column that tells whether the key can be in ``found``'s only column, by a bitmap: no row moves.
 
     The bitmap is ``2**bits`` bits whatever the input (a fuller one only lets more rows through), so what follows must
     still join with ``found``.
     """
-    key = F.xxhash64(found.columns[0])
-    top = 64 - bits
+    key, top = F.xxhash64(found.columns[0]), 64 - bits
     rows = found.select(F.shiftrightunsigned(key, top + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{found.columns[0]}`), {top}) & 63 as int))").alias("mask"))
     rows = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(words)
+    shared = found.sparkSession.sparkContext.broadcast(words)
 
     @F.pandas_udf(T.BooleanType())
     def inside(keys: pd.Series) -> pd.Series:
         at = (keys.to_numpy(np.int64).astype(np.uint64) >> np.uint64(top)).astype(np.int64)
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return df.filter(inside(F.xxhash64(column)))
+    return lambda column: inside(F.xxhash64(column))
+
+
+def only_keys_of(df: DataFrame, column: str, found: DataFrame, bits: int = 26) -> DataFrame:
+    """Rows of ``df`` whose ``column`` can be in ``found``'s only column (:func:`holds`)."""
+    return df.filter(holds(found, bits)(column))
 
 
 def running_start(df: DataFrame, part: str, size: str, start: str) -> DataFrame:

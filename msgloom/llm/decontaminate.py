@@ -1,20 +1,27 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-1. ``MASKS`` select token positions of a short span; the words they ignore may differ. All spans of the benchmark are
-   hashed under each mask. A bitmap of fixed size (``BITMAP_BITS``; 4 MB whatever the benchmark) marks the hashes.
+An overlap is a run of words that stands in a document and in a benchmark item, begins and ends with a same word, has
+``MIN_WORDS`` words at least, and ``MIN_SAME`` of them the same; the others are substituted. An item of fewer words is
+found where all of its words stand in a row.
+
+1. ``MASKS`` select token positions of a short span; the words they ignore may differ. They are chosen so that every
+   overlap of 12 to 22 words has a span where one of them sees only same words, however the substitutions lie. All spans
+   of the benchmark are hashed under each mask. A bitmap of fixed size (``BITMAP_BITS``; 4 MB whatever the benchmark)
+   marks the hashes.
 2. Training texts are hashed in one narrow pass. Hits in the bitmap that lie close together form a region, which is kept
    with its words (``REACH`` words more on either side).
 3. Regions' seed hashes are joined with the benchmark's (which removes the bitmap's false positives). Each
    (region, item, diagonal) is one candidate, however many seeds agree.
-4. Each candidate is laid over the item along its diagonal: the best run, at +1 a same word and -2 a substituted one,
-   must hold ``MIN_WORDS`` words (or the whole item, if shorter) with ``MIN_SAME`` of them the same.
+4. Each candidate is laid over the item along its diagonal, where the longest overlap is found exactly. ``n_words`` counts
+   what lies in the region: beyond ``REACH`` words without a hit an overlap is not followed.
 
 Seeds are joined on their hashes: a passage in a third of all documents makes hot seeds against few benchmark rows, which
-Spark broadcasts when small and adaptive execution splits otherwise. Items shorter than the longest mask are looked for
-as exact runs of all their words.
+Spark broadcasts when small and adaptive execution splits otherwise. Of an exact short item only the first place in each
+document goes on.
 
-Defined cases: null texts are empty and hit nothing; items of fewer than ``SHORTEST`` words are not looked for; repeated
-items and repeated rows are reported once per (id, item id); an empty benchmark gives no rows.
+Defined cases: null texts are empty and hit nothing; an item without words is in no document; repeated items and rows that
+repeat both id and text are reported once per (id, item id), rows of one id (or none) with different texts each by
+themselves; further columns are ignored or, in :func:`decontaminate`, kept; an empty benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, pieces_of
+from msgloom.llm._io import buffer_of, holds, materialize, passing, pieces_of
 from msgloom.llm.words import mix, word_hashes
 
-#: Positions that count (1) and are ignored (0).
-MASKS = ["110110101", "11101011", "1101100011"]
+#: Positions that count (1) and are ignored (0); together they miss no overlap of 12 to 22 words (see the tests).
+MASKS = ["1111011", "1101111", "110010111", "1101000111", "1010101011", "11011000101", "11100010011", "10000101111", "101011010001"]
 SPAN = max(map(len, MASKS))
-BITMAP_BITS, REACH, MIN_WORDS, MIN_SAME, SHORTEST = 25, 64, 12, 0.75, 5
+BITMAP_BITS, REACH, MIN_WORDS, MIN_SAME = 25, 64, 12, 0.75
 BATCH_BYTES = 1 << 20
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 
@@ -54,12 +61,18 @@ def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64), (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
 
 
-def best_run(same: np.ndarray) -> tuple[int, int]:
-    """Start and end of the run with the largest sum of +1 (same) and -2 (substituted)."""
-    total = np.concatenate([[0], np.cumsum(np.where(same, 1, -2))])
-    low = np.minimum.accumulate(total)
-    end = int((total - low).argmax())
-    return int(total[: end + 1].argmin()), end
+def longest_overlap(same: np.ndarray) -> tuple[int, int]:
+    """Start and end of the longest run (the first of equal ones) that begins and ends with a same word and has ``MIN_SAME`` of them."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    total = np.arange(1, len(at) + 1) - MIN_SAME * (at + 1)  # same words up to a place, less what a run up to there needs
+    before = total - 1 + MIN_SAME  # the same in front of the place
+    least = np.minimum.accumulate(before)
+    first = np.searchsorted(-least, -(total + 1e-9), "left")  # the first start that a run to each end can have
+    size = at - at[first]
+    k = int(size.argmax())
+    return int(at[first[k]]), int(at[k]) + 1
 
 
 def _words_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -82,11 +95,11 @@ def _items(benchmark: DataFrame, item_col: str) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             for item, raw in zip(batch.column("item").to_pylist(), batch.column("item_words").to_pylist()):
                 words = np.frombuffer(raw, "<u8")
-                for at, h in seeds(words, np.asarray([len(words)]), [len(words)] if len(words) < SPAN else []):
+                for at, h in seeds(words, np.asarray([len(words)]), [len(words)] if len(words) < MIN_WORDS else []):
                     yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(at), item)), pa.array(at)], ["h", "item", "item_at"])
 
     own = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).mapInArrow(hashed, "item_id long, item_words binary, n long")
-    own = materialize(own.filter(F.col("n") >= SHORTEST).withColumn("item", F.monotonically_increasing_id()), "leak-items")
+    own = materialize(own.filter("n > 0").withColumn("item", F.monotonically_increasing_id()), "leak-items")
     return own, materialize(own.select("item", "item_words").mapInArrow(spans, "h long, item long, item_at long"), "leak-seeds")
 
 
@@ -112,10 +125,13 @@ def _regions(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
             ids = batch.column("id")
             for start, end, words, counts in _words_of(batch, "text"):
                 ats, hs = [], []
-                for at, h in seeds(words, counts, lengths):
+                for k, (at, h) in enumerate(seeds(words, counts, lengths)):
                     high, low = _spots(h)
                     hit = np.flatnonzero(marked(high))
                     hit = hit[marked(low[hit])]
+                    if k >= len(MASKS):  # whole short items: the first place in each document
+                        own = np.searchsorted(np.cumsum(counts), at[hit], "right")
+                        hit = hit[np.unique(np.stack([own.astype(np.uint64), h[hit]]), axis=1, return_index=True)[1]]
                     ats.append(at[hit])
                     hs.append(h[hit])
                 at, h = np.concatenate(ats), np.concatenate(hs)
@@ -139,43 +155,60 @@ def _regions(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
                     hashes.append(h[a:b].astype(np.int64))
                     places.append(at[a:b] - lo)
                 lists = pa.array([[{"h": int(x), "at": int(y)} for x, y in zip(p, q)] for p, q in zip(hashes, places)], pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(begins, pa.int64()), pa.array(slices, pa.binary()), lists], ["id", "begin", "words", "hits"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), batch.column("key").take(pa.array(rows)), pa.array(begins, pa.int64()), pa.array(slices, pa.binary()), lists], ["id", "key", "begin", "words", "hits"])
 
-    return docs.mapInArrow(find, "id long, begin long, words binary, hits array<struct<h:long,at:long>>")
+    return docs.mapInArrow(find, "id long, key long, begin long, words binary, hits array<struct<h:long,at:long>>")
 
 
 def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "item_id", "n_words", "n_same", "start"]
+    names = ["id", "key", "item_id", "n_words", "n_same", "start"]
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "item_id", "begin", "words", "item_words", "diagonal"))):
-            key, item, begin, raw, raw_item, diagonal = row
+        for row in zip(*(batch.column(c).to_pylist() for c in ("id", "key", "item_id", "begin", "words", "item_words", "diagonal"))):
+            id_, key, item, begin, raw, raw_item, diagonal = row
             words, own = np.frombuffer(raw, "<u8"), np.frombuffer(raw_item, "<u8")
             lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
             same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
-            a, b = best_run(same)
-            hits = int(same[a:b].sum())
-            if b - a >= min(MIN_WORDS, len(own)) and hits >= MIN_SAME * (b - a):
-                out.append((key, item, b - a, hits, begin + lo + diagonal + a))
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 5, names)
+            a, b = longest_overlap(same)
+            if b - a >= MIN_WORDS or len(own) < MIN_WORDS and b - a == len(own) and same.all():
+                out.append((id_, key, item, b - a, int(same[a:b].sum()), begin + lo + diagonal + a))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 6, names)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
-    """``id_col, item_id, n_words, n_same, start``: the best overlap of each document with each item it holds."""
+def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with ``__id``, ``__text``, and ``__key``, which tells rows of one id with different texts apart."""
+    df = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    return df.withColumn("__key", F.xxhash64("__id", "__text"))
+
+
+def _overlaps(keyed: DataFrame, benchmark: DataFrame, item_col: str) -> DataFrame:
     items, marks = _items(benchmark, item_col)
-    lengths = [r["n"] for r in items.filter(F.col("n") < SPAN).select("n").distinct().collect()]  # below the longest mask
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(marks))
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    lengths = [r["n"] for r in items.filter(F.col("n") < MIN_WORDS).select("n").distinct().collect()]
+    shared = keyed.sparkSession.sparkContext.broadcast(_bitmap(marks))
+    text = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.lower("__text").alias("text"))
     regions = materialize(_regions(text, shared, sorted(lengths)).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
     hits = regions.select("region", F.explode("hits").alias("x")).select("region", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
     candidates = hits.join(marks, "h").select("region", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
-    laid = candidates.join(regions.select("region", "id", "begin", "words"), "region").join(items.select("item", "item_id", "item_words"), "item")
-    found = laid.mapInArrow(_lay, "id long, item_id long, n_words long, n_same long, start long")
+    laid = candidates.join(regions.select("region", "id", "key", "begin", "words"), "region").join(items.select("item", "item_id", "item_words"), "item")
+    found = laid.mapInArrow(_lay, "id long, key long, item_id long, n_words long, n_same long, start long")
     best = F.max(F.struct("n_same", "n_words", (-F.col("start")).alias("place"))).alias("x")
-    return found.groupBy("id", "item_id").agg(best).select(F.col("id").alias(id_col), "item_id", F.col("x.n_words").alias("n_words"), F.col("x.n_same").alias("n_same"), (-F.col("x.place")).alias("start"))
+    found = found.groupBy("id", "key", "item_id").agg(best)
+    return materialize(found.select("id", "key", "item_id", F.col("x.n_words").alias("n_words"), F.col("x.n_same").alias("n_same"), (-F.col("x.place")).alias("start")), "leak-found")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id") -> DataFrame:
+    """``id_col, item_id, n_words, n_same, start``: the best overlap of each document with each item it holds."""
+    with passing() as keep:
+        found = keep(_overlaps(_keyed(docs.select(id_col, "text"), id_col), benchmark, item_col))
+    return found.select(F.col("id").alias(id_col), "item_id", "n_words", "n_same", "start")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
-    leaks = overlaps(docs, benchmark, id_col).select(F.col(id_col).alias("_leak")).distinct()
-    return docs.join(leaks, docs[id_col].cast("long").eqNullSafe(F.col("_leak")), "left_anti")
+    """``docs`` without the documents that hold a benchmark passage: only rows that a bitmap of those suspects are joined."""
+    keyed = _keyed(docs, id_col)
+    with passing() as keep:
+        found = keep(_overlaps(keyed, benchmark, "item_id"))
+    leaks = found.select("key", "id").distinct()
+    inside = holds(leaks.select("key"))
+    suspects = keyed.filter(inside("__key")).join(leaks, (F.col("__key") == F.col("key")) & F.col("__id").eqNullSafe(F.col("id")), "left_anti")
+    return keyed.filter(~inside("__key")).unionByName(suspects).select(*docs.columns)
