@@ -1,7 +1,7 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in NumPy.
 
 Suffixes are classified as L (larger than the next suffix) or S; the leftmost S suffixes are sorted by their substrings
-up to the next of them (recursively, over the substrings' ranks), and all others are induced in two scans. Over bytes a
+up to the next of them and, where these repeat, recursively over the substrings' ranks; all others are induced in two scans. Over bytes a
 scan runs one bucket at a time: all entries of a bucket induce at once, in waves where a letter repeats. Over ranks
 (deeper levels, large alphabets) it runs entry by entry.
 """
@@ -11,8 +11,6 @@ from __future__ import annotations
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
-from msgloom.llm.pieces import span_hashes
-
 _SMALL_ALPHABET = 1024
 
 
@@ -30,7 +28,7 @@ def _types(s: np.ndarray) -> np.ndarray:
 
 def _scatter(at: np.ndarray, letters: np.ndarray, edge: np.ndarray, sa: np.ndarray, down: bool) -> None:
     """Append ``at`` to their letters' buckets in the order given, upward from heads or downward from tails."""
-    order = np.argsort(letters, kind="stable")
+    order = np.argsort(letters.astype(np.uint16), kind="stable")
     letters, at = letters[order], at[order]
     first = np.ones(len(letters), bool)
     first[1:] = letters[1:] != letters[:-1]
@@ -119,6 +117,41 @@ def _induce_entries(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts:
     return np.asarray(out[::-1], np.int32)
 
 
+def _sorted_substrings(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, alphabet: int) -> np.ndarray:
+    """Ranks of the substrings from each leftmost-smaller position to the next (both included); equal ones have equal ranks.
+
+    Letters are compared with their types (a larger suffix's before a smaller one's), packed several to a word; only
+    substrings that are still equal and longer go on to the next word.
+    """
+    bits = int(2 * alphabet + 2).bit_length()
+    per = 63 // bits
+    letters = np.concatenate([(s.astype(np.int64) << 1) + smaller + 1, np.zeros(per, np.int64)])
+    size = np.diff(np.append(lms, len(s) - 1)) + 1
+    rank, live, at = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while len(live):
+        key, here = np.zeros(len(live), np.int64), lms[live] + at
+        left = size[live] - at
+        for k in range(per):
+            key = (key << bits) | np.where(k < left, letters[np.minimum(here + k, len(s))], 0)
+        order = np.argsort(key)
+        if at:
+            order = order[np.argsort(rank[live[order]], kind="stable")]
+        key, live = key[order], live[order]
+        group = rank[live]
+        first = np.ones(len(live), bool)  # of equal rank so far
+        first[1:] = group[1:] != group[:-1]
+        new = first.copy()
+        new[1:] |= key[1:] != key[:-1]
+        # a rank is the number of substrings that are smaller
+        begin = np.flatnonzero(new)
+        within = begin - np.flatnonzero(first)[np.cumsum(first)[begin] - 1]
+        count = np.diff(np.append(begin, len(live)))
+        rank[live] = group + np.repeat(within, count)
+        at += per
+        live = live[np.repeat(count > 1, count) & (size[live] > at)]
+    return rank
+
+
 def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     """Starts of the suffixes of ``s`` (integers below ``alphabet``) in ascending order."""
     n = len(s)
@@ -133,23 +166,16 @@ def suffix_array(s: np.ndarray, alphabet: int) -> np.ndarray:
     is_lms[0] = False
     lms = np.flatnonzero(is_lms)
     if len(lms) > 1:
-        sa = induce(s, smaller, lms, starts)
-        ordered = sa[is_lms[sa]]
-        # a substring runs from one leftmost-smaller position to the next, both included
-        end = np.full(n, n, np.int32)
-        end[lms[:-1]] = lms[1:] + 1
-        h = span_hashes(s, ordered, end[ordered])
-        new = np.ones(len(ordered), bool)
-        new[1:] = (h[1:] != h[:-1]) | (end[ordered[1:]] == n) & (end[ordered[:-1]] == n)
-        new[1:] |= ordered[1:] == lms[-1]
-        new[1:] |= ordered[:-1] == lms[-1]
-        rank = np.cumsum(new) - 1
-        names = np.zeros(n, np.int32)
-        names[ordered] = rank
-        if rank[-1] + 1 == len(lms):
-            lms = ordered
+        rank = _sorted_substrings(s, smaller, lms, alphabet)
+        order = np.argsort(rank)
+        new = np.ones(len(lms), bool)
+        new[1:] = rank[order[1:]] != rank[order[:-1]]
+        if new.all():
+            lms = lms[order]
         else:
-            lms = lms[suffix_array(names[lms], int(rank[-1]) + 1)]
+            names = np.empty(len(lms), np.int32)
+            names[order] = np.cumsum(new) - 1
+            lms = lms[suffix_array(names, int(new.sum()))]
     return induce(s, smaller, lms, starts)
 
 

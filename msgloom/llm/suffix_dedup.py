@@ -46,7 +46,7 @@ from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix, word_windows
 
-MIN_BYTES, MIN_WORDS, MOST_GRAM, SHARD_BYTES, FEW, HOT, RANGES, BITMAP_BITS = 400, 51, 64, 1 << 20, 32, 512, 8, 26
+MIN_BYTES, MIN_WORDS, MOST_GRAM, SHARD_BYTES, FEW, HOT, RANGES, BITMAP_BITS = 400, 51, 64, 1 << 19, 32, 512, 8, 26
 BATCH_BYTES = 1 << 20
 
 
