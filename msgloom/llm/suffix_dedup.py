@@ -16,8 +16,8 @@ input.
    (:mod:`msgloom.llm.suffix_array`). A run of prefixes that are long enough is a repeat if it holds two places, or one
    of a kind with several members. Nothing is removed but by this step.
 5. A gram with more than ``HOT`` kinds (a very common passage) would outgrow a shard. Its strings are dealt again under
-   longer grams: in ``RANGES`` ranges of places by all bytes that the strings of a range share, and where that is still
-   too common, each string by itself, which leaves one kind a gram. The shards then decide about those.
+   longer grams: in ``RANGES`` ranges of places (four of words) by all that the strings of a range share, and where that is
+   still too common, each string by itself, which leaves one kind a gram. The shards then decide about those.
 6. What a shard finds for a kind is carried to its members, merged per document and cut out. Documents outside a
    fixed-size bitmap of suspects never move.
 
@@ -294,9 +294,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finer(what: Wanted, level: int):
-    """Strings of very common grams under longer grams: level 1 by ranges of places, level 2 each by itself (words at once)."""
+    """Strings of very common grams under longer grams: level 1 by ranges of places, level 2 each by itself."""
     gram, names = gram_bytes(what.least), ["id", "key", "up_g", "up_s", "up_first", "g", "s", "n", "first", "at", "last"]
     edges = np.linspace(gram - (what.min_bytes or gram), 1, RANGES + 1).astype(np.int64)  # starts of ranges, from the anchor
+    step = -(-(what.min_words or 1) // 4)  # words of a range
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,9 +318,17 @@ def _finer(what: Wanted, level: int):
             words = (col["g"] & 1) == 1
             for k in np.flatnonzero(words):
                 part = data[at0[k] + col["first"][k] : at0[k] + col["last"][k]]
-                a, b = word_windows(part, np.asarray([len(part)]), what.min_words)
-                a, b, k = a + col["first"][k], b + col["first"][k], np.full(len(a), k)
-                yield rows(k, a, b, spans.hashes(at0[k] + a, at0[k] + b) + np.uint64(RANGES))
+                a, b = (x + col["first"][k] for x in word_windows(part, np.asarray([len(part)]), 1))
+                low, high = np.arange(len(a) - what.min_words + 1), np.arange(what.min_words - 1, len(a))  # first and last word of each run
+                core = low, high
+                if level == 1:
+                    here = np.searchsorted(a, col["at"][k], "right") - 1
+                    r = (here - low) // step  # words in front of the anchor
+                    begin = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                    core = here - r[begin] * step, here - (r[begin] + 1) * step + what.min_words  # words in all runs of the range
+                    low, high = low[begin], high[np.append(begin[1:], len(r)) - 1]
+                same = spans.hashes(at0[k] + a[core[0]], at0[k] + b[core[1]]) + (r[begin].astype(np.uint64) if level == 1 else np.uint64(RANGES))
+                yield rows(np.full(len(low), k), a[low], b[high], same)
             plain = np.flatnonzero(~words)
             if level == 1:
                 for r in range(RANGES) if len(plain) else ():
@@ -330,7 +339,7 @@ def _finer(what: Wanted, level: int):
                     core = spans.hashes(at0[k] + hi[some], at0[k] + lo[some] + what.min_bytes)  # in all of the range's strings
                     yield rows(k, a[some], b[some] + what.min_bytes, core + np.uint64(r))
             else:
-                for k in np.array_split(plain, len(plain) // 500 + 1):
+                for k in np.array_split(plain, len(plain) // 500 + 1) if len(plain) else ():
                     count = col["last"][k] - col["first"][k] - what.min_bytes + 1
                     a = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(col["first"][k], count)
                     k = np.repeat(k, count)
