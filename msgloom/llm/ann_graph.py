@@ -2,12 +2,18 @@
 
 1. Vectors that take part are grouped by equal components; a graph is built over distinct vectors only, each with its
    smallest ``k + 1`` ids (all that a result can need), found in two salted steps so that no vector is a hot key.
-2. Distinct vectors are dealt by hash into shards of about ``SHARD_ROWS``. In each, a graph of out-degree ``DEGREE`` is
-   built: greedy searches propose neighbours, relaxed distance pruning keeps diverse edges, and reverse edges are added
-   and pruned alike. Inner products become distances by one added dimension (the largest norm's remainder).
-3. Distinct query vectors, packed in blocks, go to every shard of their dimension; a beam search returns the nearest
-   distinct vectors with inner products in double precision over the original components.
-4. The shards' lists are merged, expanded to ids, and each query leaves out itself.
+2. Distinct vectors are dealt by their norm into bands (``BAND``: largest over smallest norm) and, in a band, by hash into
+   shards of ``SHARD_ROWS`` at most (fewer of long vectors: ``SHARD_VALUES`` numbers). Norms are so alike in a shard that
+   near directions are large inner products, whatever the norms of the table.
+3. In each shard a graph of out-degree ``DEGREE`` is built over the directions: greedy searches propose neighbours, relaxed
+   distance pruning keeps diverse edges, and reverse edges are added and pruned alike.
+4. Distinct query vectors go to the shards of their dimension and pass one loaded graph there, some hundred at a time. A
+   beam search by inner product finds the nearest; their scores are inner products in double precision over the original
+   components. Only each query's best of a shard leave it.
+5. The shards' lists are merged, expanded to ids, and each query leaves out itself.
+
+Directions and norms are taken after a division by the largest component, so vectors of any finite size take part; scores
+are as large as doubles get, so beyond 1e308 they are infinite and tie.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, as query or as
 candidate; vectors of different dimensions are never compared; rows that repeat a vec_id count as one candidate for each
@@ -16,17 +22,17 @@ different vector; ties go to the smaller vec_id; null ids take no part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from msgloom.llm._io import materialize
+from msgloom.llm._io import materialize, passing
 
-SHARD_ROWS, DEGREE, BEAM, ALPHA, WIDTH, BLOCK = 8192, 32, 80, 1.2, 4, 512
+SHARD_ROWS, SHARD_VALUES, BAND, DEGREE, BEAM, ALPHA, WIDTH, BLOCK = 8192, 1 << 22, 1.25, 32, 80, 1.2, 4, 512
 
 
 # -- one shard -----------------------------------------------------------------------------------------------------------
@@ -153,36 +159,75 @@ def _distinct(rows: DataFrame, k: int) -> DataFrame:
     return rows.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _matrix(blobs: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blobs, "<f8").reshape(-1, dim)
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the logarithms of the norms."""
+    most = np.abs(vectors).max(axis=1)
+    scaled = vectors / most[:, None]
+    norm = np.sqrt((scaled**2).sum(axis=1))
+    return scaled / norm[:, None], np.log(most) + np.log(norm)
 
 
-def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("did")
-    vectors = np.asarray(rows["v"].tolist(), np.float64)
-    graph, entry = build_graph(vectors)
-    return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "dids": [rows["did"].to_numpy("<i8").tobytes()], "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry]})
+def _log_norm(v: Column) -> Column:
+    most = F.array_max(F.transform(v, F.abs))
+    return F.log(most) + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
 
 
-def _pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"dim": [key[0]], "block": [key[1]], "qids": [rows["did"].to_numpy("<i8").tobytes()], "queries": [np.asarray(rows["v"].tolist(), "<f8").tobytes()]})
+_GRAPH = "shard long, dids binary, least binary, vectors binary, graph binary, entry long"
+
+
+def _build(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("did").combine_chunks()
+    vectors = _matrix(rows.column("v").chunk(0))
+    graph, entry = build_graph(directions(vectors)[0])
+    return pa.table({
+        "shard": rows.column("shard").slice(0, 1), "dids": [rows.column("did").to_numpy().astype("<i8").tobytes()], "least": [rows.column("least").to_numpy().astype("<i8").tobytes()],
+        "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry],
+    })
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of equal length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+class Shard:
+    """A loaded graph that queries are put to."""
+
+    def __init__(self, dids: bytes, least: bytes, vectors: bytes, graph: bytes, entry: int):
+        self.dids, self.least, self.entry = np.frombuffer(dids, "<i8"), np.frombuffer(least, "<i8"), entry
+        self.vectors = np.frombuffer(vectors, "<f8").reshape(len(self.dids), -1)
+        self.graph = np.frombuffer(graph, "<i4").reshape(len(self.dids), -1).astype(np.int64)
+        unit, norm = directions(self.vectors)
+        self.points = (unit * np.exp(norm - norm.max())[:, None]).astype(np.float32)
+
+    def search(self, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row of the query, node and score of the ``k`` best that the beam finds."""
+        found, _, _ = beam_search(self.points, np.zeros(len(self.points), np.float32), self.graph, directions(queries)[0].astype(np.float32), self.entry, max(beam, k))
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.einsum("bcd,bd->bc", self.vectors[found], queries)
+        score[found < 0] = -np.inf
+        best = np.lexsort((self.least[found], -score), axis=1)[:, :k]
+        row, node = np.repeat(np.arange(len(queries)), best.shape[1]), np.take_along_axis(found, best, 1).reshape(-1)
+        some = np.flatnonzero(node >= 0)
+        return row[some], node[some], np.take_along_axis(score, best, 1).reshape(-1)[some]
 
 
 def _search(k: int, beam: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["qid", "did", "least", "score"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in the order of their shard, a graph before the queries that go to it."""
+        shard = None
         for batch in batches:
-            for row in batch.itertuples():
-                vectors, queries = _matrix(row.vectors, row.dim), _matrix(row.queries, row.dim)
-                dids, qids = np.frombuffer(row.dids, "<i8"), np.frombuffer(row.qids, "<i8")
-                graph = np.frombuffer(row.graph, "<i4").reshape(len(vectors), -1).astype(np.int64)
-                points = vectors.astype(np.float32)
-                found, _, _ = beam_search(points, np.zeros(len(points), np.float32), graph, queries.astype(np.float32), row.entry, max(beam, k))
-                score = np.einsum("bcd,bd->bc", vectors[found], queries)
-                score[found < 0] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, : min(k + 8, found.shape[1])]
-                r = np.repeat(np.arange(len(queries)), best.shape[1])
-                node, s = np.take_along_axis(found, best, 1).reshape(-1), np.take_along_axis(score, best, 1).reshape(-1)
-                yield pd.DataFrame({"qid": qids[r], "did": dids[node], "score": s})[node >= 0]
+            qid = batch.column("qid")
+            graphs = np.flatnonzero(qid.is_null().to_numpy(zero_copy_only=False))
+            for start, end in zip([0, *(graphs + 1)], [*graphs, batch.num_rows]):
+                for at in range(start, end, BLOCK):
+                    part = batch.slice(at, min(BLOCK, end - at))
+                    row, node, score = shard.search(_matrix(part.column("v")), k, beam)
+                    yield pa.RecordBatch.from_arrays([part.column("qid").take(pa.array(row)), pa.array(shard.dids[node]), pa.array(shard.least[node]), pa.array(score)], names)
+                if end < batch.num_rows:
+                    shard = Shard(*(batch.column(c)[int(end)].as_py() for c in ("dids", "least", "vectors", "graph", "entry")))
 
     return search
 
@@ -192,23 +237,31 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, shard_rows:
 
     Both have ``vec_id, v`` as :func:`usable` gives; returns ``query_id, rank, vec_id, score``.
     """
+    with passing() as keep:
+        return _nearest(candidates, queries, k, shard_rows, beam, keep)
+
+
+def _nearest(candidates: DataFrame, queries: DataFrame, k: int, shard_rows: int, beam: int, keep: Callable) -> DataFrame:
     points = _distinct(candidates, k + 1).withColumn("did", F.monotonically_increasing_id())
-    points = materialize(points.withColumn("dim", F.size("v")), "ann-points")
-    shards = max(1, -(-points.count() // shard_rows))
-    dealt = points.select("dim", F.pmod(F.xxhash64("did"), F.lit(shards)).cast("int").alias("shard"), "did", "v")
-    graphs = materialize(dealt.groupBy("dim", "shard").applyInPandas(_build, "dim int, shard int, dids binary, vectors binary, graph binary, entry int"), "ann-graphs")
+    band = F.floor(_log_norm(F.col("v")) / float(np.log(BAND)) + 1e-6).cast("long")
+    points = materialize(points.select("v", "ids", "did", F.element_at("ids", 1).alias("least"), F.size("v").alias("dim"), band.alias("band")), "ann-points")
+    shards = points.groupBy("dim", "band").agg(F.count("*").alias("n"))
+    shards = materialize(shards.select("dim", "band", F.ceil(F.col("n") / F.least(F.lit(shard_rows), F.greatest(F.lit(64), F.floor(SHARD_VALUES / F.col("dim"))))).alias("parts")), "ann-bands")
+    of = lambda part: F.xxhash64("dim", "band", part)
+    dealt = points.join(shards, ["dim", "band"]).select(of(F.pmod(F.xxhash64("did"), F.col("parts"))).alias("shard"), "did", "least", "v")
+    graphs = materialize(dealt.groupBy("shard").applyInArrow(_build, _GRAPH), "ann-graphs")
     asked = materialize(queries.distinct().groupBy("v").agg(F.count("*").alias("n")).withColumn("did", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "ann-queries")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    packed = asked.select("dim", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int").alias("block"), "did", "v").groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, qids binary, queries binary")
-    work = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).repartition("block", "shard")
-    found = work.join(graphs, ["dim", "shard"]).mapInPandas(_search(k + 1, beam), "qid long, did long, score double")
+    places = shards.select("dim", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("dim", of(F.col("part")).alias("shard"))
+    rows = asked.select("dim", F.col("did").alias("qid"), "v").join(places, "dim").select("shard", "qid", "v")
+    rows = rows.unionByName(graphs, allowMissingColumns=True).repartition("shard").sortWithinPartitions(F.col("shard"), F.col("qid").asc_nulls_first())
+    found = materialize(rows.mapInArrow(_search(k + 1, beam), "qid long, did long, least long, score double"), "ann-found")
     by_score = Window.partitionBy("qid").orderBy(F.desc("score"), "least")
-    found = found.join(points.select("did", "ids", F.element_at("ids", 1).alias("least")), "did")
-    found = found.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= k + 1)
+    found = found.withColumn("r", F.row_number().over(by_score)).filter(F.col("r") <= k + 1).join(points.select("did", "ids"), "did")
     by_id = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     found = found.select("qid", "score", F.explode("ids").alias("vec_id")).withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1)
     lists = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id", "score"))).alias("list"))  # k + 1 at most
     lists = asked.select("v", F.col("did").alias("qid")).join(lists, "qid").drop("qid")
     own = queries.distinct().select(F.col("vec_id").alias("query_id"), "v").join(lists, "v")
     kept = F.slice(F.filter("list", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
-    return own.select("query_id", F.posexplode(kept).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    out = own.select("query_id", F.posexplode(kept).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    return keep(materialize(out, "ann-nearest"))
