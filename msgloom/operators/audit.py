@@ -20,8 +20,21 @@ CHARACTERISTICS = {
 }
 
 
+def audit_rows(df: DataFrame) -> DataFrame:
+    """Entries as logged, made fit for queries: ``timestamp`` from its text (null where it is malformed), and ``event_id``.
+
+    The id is a digest of the whole entry, so it is the same on every read. Rows that have both already stay as they are.
+    """
+    if "event_id" not in df.columns:
+        df = df.withColumn("event_id", F.sha2(F.to_json(F.struct(*df.columns)).cast("binary"), 256))
+    if dict(df.dtypes)["timestamp"] == "string":
+        df = df.withColumn("timestamp", T.parse_event_time(F.col("timestamp")))
+    return df
+
+
 def query_audit(df: DataFrame, entry_type: str | None = None, start: str | None = None, end: str | None = None, client_ip: str | None = None, limit: int | None = None) -> DataFrame:
-    """Entries that fit all given filters (bounds included), newest first."""
+    """Entries that fit all given filters (bounds included), newest first; those without a time come last."""
+    df = audit_rows(df)
     for column, value in (("entry_type", entry_type), ("client_ip", client_ip)):
         if value is not None:
             df = df.filter(F.col(column) == value)
@@ -59,10 +72,17 @@ def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
 
 
+def event_key(df: DataFrame) -> Column:
+    """The id that the entry's event gets."""
+    parts = (F.coalesce(_column(df, c).cast("string"), F.lit("")) for c in ("event_id", "label", "feedback_id", "endpoint", "event_type"))
+    return F.concat(F.lit("evt-"), F.sha2(F.concat_ws("|", F.col("timestamp").cast("string"), "entry_type", "client_ip", *parts).cast("binary"), 256))
+
+
 def to_events(df: DataFrame) -> DataFrame:
     """Audit entries as nested events. The id is a digest of the entry, so it is the same on every read."""
+    df = audit_rows(df)
     e = {c: _column(df, c, k) for c, k in (("entry_type", "string"), ("label", "string"), ("confidence", "double"), ("model", "string"), ("feedback_id", "string"), ("thumbs_up", "boolean"), ("thumbs_down", "boolean"), ("endpoint", "string"), ("reason", "string"), ("event_type", "string"), ("message", "string"))}
-    digest = F.sha2(F.concat_ws("|", F.col("timestamp").cast("string"), "entry_type", "client_ip", *(F.coalesce(_column(df, c).cast("string"), F.lit("")) for c in ("event_id", "label", "feedback_id", "endpoint", "event_type"))).cast("binary"), 256)
+    df = df.withColumn("_key", event_key(df))
     kind = F.col("entry_type")
     lists = None
     for name, fields in CHARACTERISTICS.items():
@@ -79,7 +99,7 @@ def to_events(df: DataFrame) -> DataFrame:
     system = F.col("client_ip") == "system"
     told = T.event_title_description(e)
     return df.select(
-        F.concat(F.lit("evt-"), digest).alias("id"), F.concat(F.lit("/event/evt-"), digest).alias("href"), F.concat_ws("-", kind, F.date_format("timestamp", "yyyy-MM-dd-HHmmss"), F.substring(digest, 1, 8)).alias("eventId"),
+        F.col("_key").alias("id"), F.concat(F.lit("/event/"), "_key").alias("href"), F.concat_ws("-", kind, F.date_format("timestamp", "yyyy-MM-dd-HHmmss"), F.substring("_key", 5, 8)).alias("eventId"),
         event_type_of(kind).alias("eventType"), F.col("timestamp").alias("eventTime"), F.col("timestamp").alias("timeOccurred"), told["title"].alias("title"), told["description"].alias("description"),
         T.event_priority(kind, e["label"], F.coalesce(e["thumbs_down"], F.lit(False)), e["event_type"]).alias("priority"), F.lit("acknowledged").alias("state"),
         F.struct(F.col("client_ip").alias("id"), F.when(system, "system").otherwise("client").alias("role"), F.when(system, "System").otherwise("IPAddress").alias("referredType")).alias("source"),
@@ -115,17 +135,25 @@ def query_events(events: DataFrame, event_type: str | None = None, start: str |
     return page.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > offset + limit)
 
 
+#: What the former report takes each type's priority to be.
+USUAL_PRIORITY = {"PredictionEvent": "low", "FeedbackEvent": "medium", "SecurityEvent": "high"}
+
+
 def event_statistics(events: DataFrame, reference_compat: bool = False) -> DataFrame:
     """Counts by type, priority and reporting system, and overall figures, from one pass over grouping sets.
 
-    ``reference_compat`` reports no system events, as the former report did.
+    ``confidence`` is the predictions' mean (half-even, four places). ``reference_compat`` reports as the former report did:
+    no system events, models of predictions only, and priorities that go by type alone.
     """
-    x = events.select("eventType", "priority", F.col("reportingSystem.id").alias("model"), F.col("source.id").alias("source"), "eventTime")
+    confidence = F.get(F.filter("characteristic", lambda c: c["name"] == "confidence"), 0)["value"]
+    x = events.select("eventType", "priority", F.col("reportingSystem.id").alias("model"), F.col("source.id").alias("source"), "eventTime", F.when(F.col("eventType") == "PredictionEvent", confidence.try_cast("double")).alias("confidence"))
     if reference_compat:
-        x = x.filter("eventType <> 'SystemEvent'")
-    g = x.groupingSets([[F.col("eventType")], [F.col("priority")], [F.col("model")], []], "eventType", "priority", "model").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.min("eventTime").alias("first"), F.max("eventTime").alias("last"), F.grouping_id().alias("g"))
+        priority = F.create_map(*(F.lit(v) for pair in USUAL_PRIORITY.items() for v in pair))[F.col("eventType")]
+        x = x.filter("eventType <> 'SystemEvent'").withColumns({"priority": priority, "model": F.when(F.col("eventType") == "PredictionEvent", F.col("model"))})
+    g = x.groupingSets([[F.col("eventType")], [F.col("priority")], [F.col("model")], []], "eventType", "priority", "model").agg(F.count("*").alias("n"), F.count_distinct("source").alias("sources"), F.min("eventTime").alias("first"), F.max("eventTime").alias("last"), F.bround(F.avg("confidence"), 4).alias("confidence"), F.grouping_id().alias("g"))
     kind = F.when(F.col("g") == 3, "type").when(F.col("g") == 5, "priority").when(F.col("g") == 6, "model").otherwise("all")
-    return g.select(kind.alias("kind"), F.coalesce("eventType", "priority", "model", F.lit("")).alias("key"), "n", "sources", "first", "last")
+    out = g.select(kind.alias("kind"), F.coalesce("eventType", "priority", "model", F.lit("")).alias("key"), "n", "sources", "first", "last", "confidence")
+    return out.filter("kind <> 'model' or key <> ''") if reference_compat else out
 
 
 def job_statistics(jobs: DataFrame) -> DataFrame:
@@ -141,6 +169,7 @@ def list_jobs(jobs: DataFrame, state: str | None = None, priority: str | None =
 
 
 def apply_retention(df: DataFrame, now: Column, days: int = 90) -> tuple[DataFrame, DataFrame]:
-    """Entries to keep, and those older than ``days`` to archive or delete."""
-    old = F.col("timestamp") < now - F.make_dt_interval(F.lit(days))
+    """Entries to keep (those without a time among them), and those older than ``days`` to archive or delete."""
+    df = audit_rows(df)
+    old = F.coalesce(F.col("timestamp") < now - F.make_dt_interval(F.lit(days)), F.lit(False))
     return df.filter(~old), df.filter(old)

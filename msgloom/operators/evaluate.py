@@ -132,6 +132,15 @@ def paired_comparison(a: DataFrame, b: DataFrame, examples: int = 3) -> DataFram
     return x.groupBy("outcome").agg(F.count("*").alias("n"), F.bround(F.avg("conf_a"), 4).alias("conf_a"), F.bround(F.avg("conf_b"), 4).alias("conf_b")).join(shown, "outcome")
 
 
+def paired_summary(a: DataFrame, b: DataFrame, time: str = "time") -> DataFrame:
+    """Both runs over the samples that they share, in one row: accuracies, the share that ``b`` gains over ``a``, mean times, errors."""
+    x = a.select("row_id", "gold", F.col("pred").alias("pred_a"), F.col(time).alias("time_a")).join(b.select("row_id", F.col("pred").alias("pred_b"), F.col(time).alias("time_b")), "row_id")
+    right = {k: F.count_if(F.col(f"pred_{k}") == F.col("gold")) for k in "ab"}
+    x = x.agg(F.count("*").alias("n"), *(c.alias(f"correct_{k}") for k, c in right.items()), *(F.bround(F.avg(f"time_{k}"), 4).alias(f"time_{k}") for k in "ab"))
+    share = lambda c: F.bround(c / F.col("n"), 4)
+    return x.select("n", "correct_a", "correct_b", share(F.col("correct_a")).alias("accuracy_a"), share(F.col("correct_b")).alias("accuracy_b"), share(F.col("correct_b") - F.col("correct_a")).alias("improvement"), "time_a", "time_b", (F.col("n") - F.col("correct_a")).alias("errors_a"), (F.col("n") - F.col("correct_b")).alias("errors_b"))
+
+
 def category_breakdown(df: DataFrame) -> DataFrame:
     """Accuracy, samples and hits of each category and version, over rows that succeeded."""
     right = F.col("gold") == F.col("pred")
@@ -157,6 +166,11 @@ def error_patterns(df: DataFrame, k: int = 5, low: float = 0.8) -> DataFrame:
     return x.orderBy(F.desc("n"), "gold", "pred").limit(k)
 
 
+def error_texts(df: DataFrame) -> DataFrame:
+    """All wrongly labelled texts under their pair ``gold_to_pred``, with length and confidence."""
+    return df.filter(F.col("gold") != F.col("pred")).select(F.concat_ws("_to_", "gold", "pred").alias("pair"), "row_id", "text", F.length("text").alias("length"), "conf")
+
+
 def low_confidence(df: DataFrame, t: float = 0.8) -> DataFrame:
     """Rows under ``t``, where a wrong answer's confidence counts as its complement."""
     own = F.when(F.col("gold") == F.col("pred"), F.col("conf")).otherwise(1 - F.col("conf"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -144,8 +146,9 @@ def suspicious_patterns(df: DataFrame) -> DataFrame:
     return df.agg(*(F.count_if(v).alias(k) for k, v in tests.items()))
 
 
-def language_distribution(df: DataFrame) -> DataFrame:
-    n = df.groupBy(T.script_of(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
+def language_distribution(df: DataFrame, script: Callable[[Column], Column] = T.script_of) -> DataFrame:
+    """Rows of each script; ``T.script_of_ranges`` is the coarser way to tell it."""
+    n = df.groupBy(script(F.col("text")).alias("script")).agg(F.count("*").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("script", "n", F.bround(100 * F.col("n") / F.col("total"), 4).alias("percent"))
 
 
@@ -156,14 +159,22 @@ def quality_score(df: DataFrame) -> DataFrame:
     return duplicate_texts(df).agg(F.count("*").alias("duplicates")).crossJoin(flags).select("duplicates", "empty_text", "encoding_issues", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4).alias("score"))
 
 
-def validate(df: DataFrame) -> DataFrame:
-    """One row: missing columns, row counts, nulls, labels that are not valid, surplus copies, and whether all is well."""
-    missing = F.array_join(F.array(*(F.lit(c) for c in ("text", "label") if c not in df.columns)).cast("array<string>"), ",")
-    odd = F.array_sort(F.array_except(F.collect_set(F.substring("label", 1, 50)), F.array(*map(F.lit, LABELS))))
-    counts = df.agg(F.count("*").alias("rows"), F.count_if(F.col("text").isNull()).alias("null_text"), F.count_if(F.col("label").isNull()).alias("null_label"), F.count_if(F.length("text") == 0).alias("empty_text"), F.array_join(odd, ",").alias("invalid_labels"))
-    surplus = df.groupBy("text").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("surplus"))
-    fine = (F.col("rows") > 0) & (F.col("null_text") + F.col("null_label") == 0) & (F.col("invalid_labels") == "") & (F.col("missing") == "")
-    return counts.crossJoin(surplus).withColumn("missing", missing).withColumn("passed", fine)
+def validate(df: DataFrame, most: int = 20) -> DataFrame:
+    """One row: missing columns, row counts, nulls, labels that are not valid, surplus copies, and whether all is well.
+
+    Figures of a missing column are 0. ``invalid_labels`` names the ``most`` most frequent ones; ``n_invalid`` counts the rows of all.
+    """
+    have = {c: F.col(c) if c in df.columns else F.lit(None).cast("string") for c in ("text", "label")}
+    missing = [c for c in have if c not in df.columns]
+    x = df.select(*(v.cast("string").alias(c) for c, v in have.items()))
+    null = lambda c: F.lit(0).cast("long") if c in missing else F.count_if(F.col(c).isNull())
+    odd = F.col("label").isNotNull() & ~F.col("label").isin(LABELS)
+    counts = x.agg(F.count("*").alias("rows"), null("text").alias("null_text"), null("label").alias("null_label"), F.count_if(F.length("text") == 0).alias("empty_text"), F.count_if(odd).alias("n_invalid"))
+    worst = x.filter(odd).groupBy(F.substring("label", 1, 50).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most)
+    worst = worst.agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("invalid_labels"))
+    surplus = x.filter("text is not null").groupBy("text").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("surplus"))
+    fine = (F.col("rows") > 0) & (F.col("null_text") + F.col("null_label") + F.col("n_invalid") == 0) & (F.col("missing") == "")
+    return counts.crossJoin(worst).crossJoin(surplus).withColumn("missing", F.lit(",".join(missing))).withColumn("passed", fine)
 
 
 def dataset_catalog(df: DataFrame) -> DataFrame:

@@ -25,20 +25,26 @@ def _rank(by: list[str], key: str, seed: int | str) -> Column:
 PREFIX = 3
 
 
+#: Up to so many rows a label, each task cuts its own rows before they are moved; larger numbers go by :func:`ranked`.
+FEW = 1000
+
+
 def ranked(df: DataFrame, by: str, key: str, seed: int | str) -> DataFrame:
-    """``df`` with ``_r``, its rank in hash order among the rows of equal ``by``."""
+    """``df`` with ``_r``, its rank in hash order among the rows of equal ``by`` (null is a value, too), and their number ``_size``."""
     x = df.withColumn("_o", order_key(key, seed)).withColumn("_b", F.substring("_o", 1, PREFIX))
     counts = x.groupBy(F.col(by).alias("_by"), F.col("_b").alias("_range")).agg(F.count("*").alias("_c"))
-    below = Window.partitionBy("_by").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(below), F.lit(0))).drop("_c")
+    own = Window.partitionBy("_by")
+    below = F.coalesce(F.sum("_c").over(own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumns({"_below": below, "_size": F.sum("_c").over(own)}).drop("_c")
     x = x.withColumn("_in", F.row_number().over(Window.partitionBy(by, "_b").orderBy("_o", key)))
-    x = x.join(counts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_b") == F.col("_range")))
-    return x.withColumn("_r", F.col("_below") + F.col("_in")).select(*df.columns, "_r")
+    x = x.join(counts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_b").eqNullSafe(F.col("_range")))
+    return x.withColumn("_r", F.col("_below") + F.col("_in")).select(*df.columns, "_r", "_size")
 
 
 def sample_per_label(df: DataFrame, n: int, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
     """``n`` rows of each label at most."""
-    return df.withColumn("_r", _rank([label], key, seed)).filter(F.col("_r") <= n).drop("_r")
+    x = df.withColumn("_r", _rank([label], key, seed)) if n <= FEW else ranked(df, label, key, seed)
+    return x.filter(F.col("_r") <= n).select(*df.columns)
 
 
 def undersample(df: DataFrame, n: int | None = None, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
@@ -46,33 +52,29 @@ def undersample(df: DataFrame, n: int | None = None, label: str = "label", key:
     if n is not None:
         return sample_per_label(df, n, label, key, seed)
     least = df.groupBy(label).agg(F.count("*").alias("c")).agg(F.min("c").alias("_n"))
-    return ranked(df, label, key, seed).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_n")).drop("_r", "_n")
+    return ranked(df, label, key, seed).crossJoin(F.broadcast(least)).filter(F.col("_r") <= F.col("_n")).select(*df.columns)
 
 
 def cap_class(df: DataFrame, value: str = "ham", n: int = 50000, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
-    """One class down to ``n`` rows, the others whole."""
-    return df.filter(F.col(label) != value).unionByName(sample_per_label(df.filter(F.col(label) == value), n, label, key, seed))
-
-
-def _sizes(df: DataFrame, by: str) -> DataFrame:
-    return df.groupBy(by).agg(F.count("*").alias("_size"))
+    """One class down to ``n`` rows, the others (null too) whole."""
+    one = F.col(label).eqNullSafe(F.lit(value))
+    return df.filter(~one).unionByName(sample_per_label(df.filter(one), n, label, key, seed))
 
 
 def stratified_sample(df: DataFrame, n: int, by: str = "language", key: str = "row_id", seed: int | str = 42) -> DataFrame:
-    """About ``n`` rows, each stratum in proportion (half-even), one at least."""
-    sizes = _sizes(df, by)
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_size").alias("_total")))).select(by, F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_total"), 0)).alias("_k"))
-    return ranked(df, by, key, seed).join(F.broadcast(sizes), by).filter(F.col("_r") <= F.col("_k")).select(*df.columns)
+    """About ``n`` rows, each stratum (null too) in proportion (half-even), one at least."""
+    total = df.agg(F.count("*").alias("_total"))  # one row
+    share = F.greatest(F.lit(1), F.bround(F.col("_size") * n / F.col("_total"), 0))
+    return ranked(df, by, key, seed).crossJoin(F.broadcast(total)).filter(F.col("_r") <= share).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, fractions: dict[str, float], rest: str, label: str = "label", key: str = "row_id", seed: int | str = 42, least: int = 0) -> DataFrame:
-    """``df`` with ``split``: of each label, ``int(size * fraction)`` rows (``least`` at least) for each name in turn, then ``rest``."""
-    x = ranked(df, label, key, seed).join(F.broadcast(_sizes(df, label)), label)
+    """``df`` with ``split``: of each label (null too), ``int(size * fraction)`` rows (``least`` at least) for each name in turn, then ``rest``."""
     test, upto = None, F.lit(0)
     for name, share in fractions.items():
         upto = upto + F.greatest(F.lit(least), F.floor(F.col("_size") * share + 1e-9))
         test = F.when(F.col("_r") <= upto, name) if test is None else test.when(F.col("_r") <= upto, name)
-    return x.withColumn("split", test.otherwise(rest)).select(*df.columns, "split")
+    return ranked(df, label, key, seed).withColumn("split", test.otherwise(rest)).select(*df.columns, "split")
 
 
 def random_split(df: DataFrame, share: float = 0.1, key: str = "row_id", seed: int | str = 42) -> DataFrame:
@@ -101,21 +103,28 @@ def _drawn(rungs: Column, u: Column) -> Column:
 
 
 def balanced_resample(df: DataFrame, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
-    """Rows drawn with replacement so that all labels are expected equally often; ``copy`` numbers the draws.
+    """Rows drawn with replacement so that all labels (null too) are expected equally often; ``copy`` numbers the draws.
 
     A row's copies are a Poisson count without an upper limit: one draw up to a mean of ``PIECE``, and beyond that one more,
     with a hash of its own, for each further ``PIECE``.
     """
-    sizes = _sizes(df, label)
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_size").alias("_total"), F.count("*").alias("_k")))).select(label, (F.col("_total") / (F.col("_k") * F.col("_size"))).alias("_mean"))
+    sizes = df.groupBy(F.col(label).alias("_by")).agg(F.count("*").alias("_size"))
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_size").alias("_total"), F.count("*").alias("_k")))).select("_by", (F.col("_total") / (F.col("_k") * F.col("_size"))).alias("_mean"))
     sizes = sizes.withColumn("_more", F.greatest(F.ceil(F.col("_mean") / PIECE) - 1, F.lit(0)).cast("int"))
-    sizes = sizes.select(label, "_more", _rungs(F.col("_mean") - PIECE * F.col("_more")).alias("_rungs"), F.when(F.col("_more") > 0, _rungs(F.lit(float(PIECE)))).alias("_whole"))
+    sizes = sizes.select("_by", "_more", _rungs(F.col("_mean") - PIECE * F.col("_more")).alias("_rungs"), F.when(F.col("_more") > 0, _rungs(F.lit(float(PIECE)))).alias("_whole"))
     u = lambda *piece: hash_number(F.lit(str(seed)), F.col(key), *piece) / float(1 << 32)
     more = F.aggregate(F.sequence(F.lit(1), F.col("_more")), F.lit(0), lambda n, i: n + _drawn(F.col("_whole"), u(i)))
-    x = df.join(F.broadcast(sizes), label).withColumn("_n", _drawn(F.col("_rungs"), u()) + F.when(F.col("_more") > 0, more).otherwise(0))
+    x = with_few(df, sizes, F.col(label).eqNullSafe(F.col("_by")))
+    x = x.withColumn("_n", _drawn(F.col("_rungs"), u()) + F.when(F.col("_more") > 0, more).otherwise(0))
     return x.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns, "copy")
 
 
+def with_few(df: DataFrame, few: DataFrame, on: Column, most: int = 10_000) -> DataFrame:
+    """``df`` joined with ``few``, which is broadcast if it is counted to hold ``most`` rows or fewer."""
+    small = few.limit(most + 1).count() <= most
+    return df.join(F.broadcast(few) if small else few, on)
+
+
 def rehearsal_mix(new: DataFrame, old: DataFrame, n: int = 2500, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:
     """All of ``new`` and ``n`` rows of each label of ``old``, in shuffled order."""
     return shuffle(new.unionByName(sample_per_label(old, n, label, key, seed)), key, seed)

@@ -54,7 +54,7 @@ def c03(spark, d):
 
 @query("c04_train_classifier")
 def c04(spark, d):
-    rows = P.stratified_split(V.labelled(spark, d), {"validation": 0.2}, "train")
+    rows = P.stratified_split(V.strata(spark, d), {"validation": 0.2}, "train")
     model = C.train_classifier(rows.filter("split = 'train'"), rows.filter("split = 'validation'"))
     return C.classify(model, rows).select("row_id", "label", "split", "pred")
 
@@ -153,6 +153,12 @@ def e10(spark, d):
     return E.paired_comparison(predictions(spark, d, "v1"), predictions(spark, d, "v2"))
 
 
+@query("e10_paired_summary", f"""{_LB}, x AS (SELECT p1.pred = p1.gold AS a, p2.pred = p1.gold AS b, p1.conf / 10 AS ta, p2.conf / 20 AS tb FROM p1 JOIN p2 USING (row_id)), n AS (SELECT count(*) AS n, count(*) FILTER (a) AS correct_a, count(*) FILTER (b) AS correct_b, round_even(avg(ta), 4) AS time_a, round_even(avg(tb), 4) AS time_b FROM x)
+  SELECT *, round_even(correct_a / n, 4) AS accuracy_a, round_even(correct_b / n, 4) AS accuracy_b, round_even((correct_b - correct_a) / n, 4) AS improvement, n - correct_a AS errors_a, n - correct_b AS errors_b FROM n""")
+def e10_summary(spark, d):
+    return E.paired_summary(predictions(spark, d, "v1").withColumn("time", F.col("conf") / 10), predictions(spark, d, "v2").withColumn("time", F.col("conf") / 20))
+
+
 @query("e11_category_breakdown", f"{_VERSIONS} SELECT category, version, {_ACC} AS accuracy, count(*) AS samples, count(*) FILTER (gold = pred) AS correct FROM v WHERE success GROUP BY ALL")
 def e11(spark, d):
     return E.category_breakdown(versions(spark, d))
@@ -174,13 +180,18 @@ def e14(spark, d):
     return E.error_patterns(predictions(spark, d, "v2"), low=0.45)
 
 
+@query("e14_error_texts", f"{_LB} SELECT gold || '_to_' || pred AS pair, row_id, text, length(text)::INTEGER AS length, round(conf, 6) AS conf FROM p2 WHERE gold <> pred")
+def e14_texts(spark, d):
+    return E.error_texts(predictions(spark, d, "v2")).withColumn("conf", F.round("conf", 6))
+
+
 @query("f11_low_confidence", f"{_LB}, c AS (SELECT row_id, CASE WHEN gold = pred THEN conf ELSE 1 - conf END AS confidence FROM p2) SELECT row_id, round(confidence, 6) AS confidence FROM c WHERE confidence < 0.45")
 def f11(spark, d):
     return E.low_confidence(predictions(spark, d, "v2"), 0.45).select("row_id", F.round("confidence", 6).alias("confidence"))
 
 
 _ORDER = lambda key="row_id", seed="42": f"md5('{seed}|' || {key}), {key}"
-_RANKED = lambda by: f"WITH {V.LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {_ORDER()}) AS r, count(*) OVER (PARTITION BY {by}) AS size, count(*) OVER () AS total FROM labelled)"
+_RANKED = lambda by, view="labelled": f"WITH {V.STRATA}, r AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {_ORDER()}) AS r, count(*) OVER (PARTITION BY {by}) AS size, count(*) OVER () AS total FROM {view})"
 
 
 @query("p01_undersample", f"{_RANKED('label')} SELECT row_id, label FROM r WHERE r <= (SELECT min(size) FROM r)")
@@ -188,9 +199,9 @@ def p01(spark, d):
     return P.undersample(V.labelled(spark, d)).select("row_id", "label")
 
 
-@query("p02_cap_class", f"{_RANKED('label')} SELECT row_id, label FROM r WHERE label <> 'ham' OR r <= 100")
+@query("p02_cap_class", f"{_RANKED('label', 'strata')} SELECT row_id, label FROM r WHERE label IS DISTINCT FROM 'ham' OR r <= 100")
 def p02(spark, d):
-    return P.cap_class(V.labelled(spark, d), n=100).select("row_id", "label")
+    return P.cap_class(V.strata(spark, d), n=100).select("row_id", "label")
 
 
 @query("p03_sample_per_label", f"{_RANKED('label')} SELECT row_id, label FROM r WHERE r <= 40")
@@ -198,19 +209,19 @@ def p03(spark, d):
     return P.sample_per_label(V.labelled(spark, d), 40).select("row_id", "label")
 
 
-@query("p04_stratified_sample", f"{_RANKED('language')} SELECT row_id, language FROM r WHERE r <= greatest(1, round_even(size * 100 / total, 0))")
+@query("p04_stratified_sample", f"{_RANKED('language', 'strata')} SELECT row_id, language FROM r WHERE r <= greatest(1, round_even(size * 100 / total, 0))")
 def p04(spark, d):
-    return P.stratified_sample(V.labelled(spark, d), 100).select("row_id", "language")
+    return P.stratified_sample(V.strata(spark, d), 100).select("row_id", "language")
 
 
-@query("p05_stratified_split", f"{_RANKED('label')} SELECT row_id, CASE WHEN r <= greatest(1, floor(size * 0.15 + 1e-9)) THEN 'validation' ELSE 'train' END AS split FROM r")
+@query("p05_stratified_split", f"{_RANKED('label', 'strata')} SELECT row_id, CASE WHEN r <= greatest(1, floor(size * 0.15 + 1e-9)) THEN 'validation' ELSE 'train' END AS split FROM r")
 def p05(spark, d):
-    return P.stratified_split(V.labelled(spark, d), {"validation": 0.15}, "train", least=1).select("row_id", "split")
+    return P.stratified_split(V.strata(spark, d), {"validation": 0.15}, "train", least=1).select("row_id", "split")
 
 
-@query("p06_three_way_split", f"{_RANKED('label')} SELECT row_id, CASE WHEN r <= floor(size * 0.7 + 1e-9) THEN 'train' WHEN r <= floor(size * 0.7 + 1e-9) + floor(size * 0.1 + 1e-9) THEN 'validation' ELSE 'test' END AS split FROM r")
+@query("p06_three_way_split", f"{_RANKED('label', 'strata')} SELECT row_id, CASE WHEN r <= floor(size * 0.7 + 1e-9) THEN 'train' WHEN r <= floor(size * 0.7 + 1e-9) + floor(size * 0.1 + 1e-9) THEN 'validation' ELSE 'test' END AS split FROM r")
 def p06(spark, d):
-    return P.stratified_split(V.labelled(spark, d), {"train": 0.7, "validation": 0.1}, "test").select("row_id", "split")
+    return P.stratified_split(V.strata(spark, d), {"train": 0.7, "validation": 0.1}, "test").select("row_id", "split")
 
 
 _HASH = lambda s: f"('0x' || substr(md5({s}), 1, 8))::BIGINT"
@@ -221,19 +232,19 @@ def p07(spark, d):
     return P.random_split(V.messages(spark, d)).select("row_id", "held")
 
 
-def _ladder() -> str:
-    import math
-
-    terms, cases = [], []
-    for k in range(12):
-        terms.append(f"exp(-mean) * pow(mean, {k}) / {math.factorial(k)}")
-        cases.append(f"WHEN u < {' + '.join(terms)} THEN {k}")
-    return f"CASE {' '.join(cases)} ELSE 12 END"
+_DRAWN = _HASH("'42|' || row_id || CASE WHEN piece > 0 THEN '|' || piece ELSE '' END") + " / 4294967296.0"
 
 
-@query("p08_balanced_resample", f"WITH {V.LABELLED}, s AS (SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS mean FROM labelled GROUP BY label), x AS (SELECT row_id, label, {_HASH(chr(39) + '42|' + chr(39) + ' || row_id')} / 4294967296.0 AS u, mean FROM labelled JOIN s USING (label)), n AS (SELECT row_id, label, {_ladder()} AS n FROM x) SELECT row_id, label, unnest(range(1, n + 1))::INTEGER AS copy FROM n")
+@query("p08_balanced_resample", f"""WITH RECURSIVE {V.STRATA}, s AS (SELECT label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS mean FROM strata GROUP BY label),
+  more AS (SELECT label, mean, greatest(ceil(mean / {P.PIECE}) - 1, 0)::INTEGER AS more FROM s), pieces AS (SELECT label, more, unnest(range(0, more + 1))::INTEGER AS piece, mean FROM more),
+  parts AS (SELECT label, piece, CASE WHEN piece = 0 THEN mean - {P.PIECE} * more ELSE {P.PIECE} END::DOUBLE AS m FROM pieces),
+  rungs AS (SELECT label, piece, m, 0 AS k, exp(-m) AS p, exp(-m) AS upto FROM parts UNION ALL SELECT label, piece, m, k + 1, p * m / (k + 1), upto + p * m / (k + 1) FROM rungs WHERE k < ceil(m + 8 * sqrt(m) + 16)),
+  ladders AS (SELECT label, piece, list(upto ORDER BY k) AS ladder FROM rungs GROUP BY label, piece),
+  drawn AS (SELECT row_id, x.label, len(list_filter(ladder, lambda y: y <= u)) AS n FROM (SELECT row_id, l.label, ladder, {_DRAWN} AS u FROM strata l JOIN ladders q ON l.label IS NOT DISTINCT FROM q.label) x),
+  n AS (SELECT row_id, label, sum(n)::INTEGER AS n FROM drawn GROUP BY ALL)
+  SELECT row_id, label, unnest(range(1, n + 1))::INTEGER AS copy FROM n""")
 def p08(spark, d):
-    return P.balanced_resample(V.labelled(spark, d)).select("row_id", "label", "copy")
+    return P.balanced_resample(V.strata(spark, d)).select("row_id", "label", "copy")
 
 
 @query("p09_rehearsal_mix", f"{_RANKED('label')} SELECT row_id, label FROM r WHERE language <> 'en' UNION ALL SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER()}) AS q FROM r WHERE language = 'en') WHERE q <= 20")

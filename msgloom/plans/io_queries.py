@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from msgloom.operators.audit import apply_retention
@@ -17,8 +15,7 @@ from msgloom.sources import writers as K
 
 def _path(spark) -> str:
     """A new folder where the session keeps checkpoints (shared by all executors), else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/io-{uuid.uuid4().hex}"
+    return V.new_folder(spark)
 
 
 _FLAT = r"trim(regexp_replace(text, '[\t\n\r]', ' ', 'g'))"
@@ -103,11 +100,35 @@ def s10(spark, d):
     return S.read_with_fallback(spark, path).select("line")
 
 
-@query("s11_read_audit", f"WITH {V.AUDIT} SELECT entry_type, client_ip, label, confidence FROM audit")
+@query("s01_file_order", f"WITH {V.LABELLED}, x AS (SELECT row_id, text, label, row_id % 7 <> 0 AS second FROM labelled) SELECT row_number() OVER (ORDER BY second, row_id) - 1 AS row_id, row_id AS original, label FROM x")
+def s01_order(spark, d):
+    """A small file and a larger one behind it: row numbers go by path, then by line."""
+    path = _path(spark)
+    x = V.labelled(spark, d).select("row_id", F.concat_ws(",", F.col("row_id").cast("string"), "label").alias("value"), (F.col("row_id") % 7 == 0).alias("small"))
+    for name, part in (("a", x.filter("small")), ("b", x.filter("not small"))):
+        part.coalesce(1).sortWithinPartitions("row_id").select("value").write.text(f"{path}/{name}")
+    return S.read_labelled(spark, f"{path}/*").select("row_id", F.col("text").cast("long").alias("original"), "label")
+
+
+@query("s11_read_audit", f"WITH {V.AUDIT} SELECT event_id AS number, strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS at, entry_type, client_ip, label, confidence FROM audit")
 def s11(spark, d):
+    return V.logged(spark, d).select("number", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "entry_type", "client_ip", "label", "confidence")
+
+
+@query("s11_malformed", "SELECT 2::BIGINT AS malformed, count(*) AS entries FROM events")
+def s11_malformed(spark, d):
+    log = S.read_audit(spark, V.write_log(spark, d))
+    return S.malformed(log).crossJoin(log.filter("_corrupt_record is null").agg(F.count("event_id").alias("entries")))
+
+
+@query("a09_catalog_files", f"""WITH {V.LABELLED} SELECT 'a' AS dataset, 'text,label' AS columns, count(*) AS rows, (SELECT string_agg(label || '=' || n, ',' ORDER BY label || '=' || n) FROM (SELECT label, count(*) AS n FROM labelled GROUP BY label)) AS labels FROM labelled
+  UNION ALL SELECT 'b', 'row_id,category', count(*), '' FROM labelled WHERE row_id % 3 = 0""")
+def a09_files(spark, d):
     path = _path(spark)
-    V.audit(spark, d).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'+00:00Z'")).drop("event_id").write.json(path)
-    return S.read_audit(spark, path).filter("_corrupt_record is null").select("entry_type", "client_ip", "label", "confidence")
+    x = V.labelled(spark, d).coalesce(1)
+    x.select("text", "label").write.options(header=True, escape='"').csv(f"{path}/a")
+    x.filter("row_id % 3 = 0").select("row_id", "category").write.options(header=True).csv(f"{path}/b")
+    return S.catalog_files(spark, f"{path}/*/*.csv").select(F.regexp_extract("dataset", r"/(\w)/[^/]*$", 1).alias("dataset"), "columns", "rows", "labels")
 
 
 _FEEDBACK = f"WITH {V.AUDIT} SELECT feedback_id, 'anonymous' AS user_id, thumbs_up, thumbs_down, model FROM audit WHERE entry_type = 'feedback'"
@@ -131,11 +152,11 @@ def k01(spark, d):
     return spark.read.parquet(path)
 
 
-@query("k02_write_audit", f"WITH {V.AUDIT} SELECT strftime(timestamp, '%Y-%m-%d') AS date, count(*) AS n FROM audit GROUP BY 1")
+@query("k02_write_audit", f"WITH {V.AUDIT} SELECT strftime(timestamp, '%Y-%m-%d') AS date, event_id, entry_type, client_ip, label FROM audit")
 def k02(spark, d):
     path = _path(spark)
     K.write_audit(V.audit(spark, d), path)
-    return spark.read.schema("entry_type string, date string").json(path).groupBy("date").agg(F.count("*").alias("n"))
+    return spark.read.schema("event_id long, entry_type string, client_ip string, label string, date string").json(path)
 
 
 @query("k03_write_predictions", f"{Q._LB} SELECT row_id, pred, round_even(conf, 4) AS conf FROM p2")
@@ -159,7 +180,7 @@ def k05(spark, d):
     return K.export_feedback(spark, path, "model-a").select(F.col("FeedbackID").alias("feedback_id"), (F.col("ThumbsUp") == "Yes").alias("thumbs_up"))
 
 
-@query("k06_apply_retention", f"WITH {V.AUDIT} SELECT timestamp < '2024-01-21'::TIMESTAMP AS old, count(*) AS n FROM audit GROUP BY 1")
+@query("k06_apply_retention", f"WITH {V.AUDIT} SELECT event_id AS number, timestamp < '2024-01-21'::TIMESTAMP AS old FROM audit")
 def k06(spark, d):
-    keep, old = apply_retention(V.audit(spark, d), F.lit("2024-01-31").cast("timestamp"), 10)
-    return keep.select(F.lit(False).alias("old")).unionByName(old.select(F.lit(True).alias("old"))).groupBy("old").agg(F.count("*").alias("n"))
+    keep, old = apply_retention(V.logged(spark, d), F.lit("2024-01-31").cast("timestamp"), 10)
+    return keep.select("number", F.lit(False).alias("old")).unionByName(old.select("number", F.lit(True).alias("old")))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from msgloom.functions import text as T
 from msgloom.operators import quality as Q
 from msgloom.plans import views as V
 from msgloom.plans.registry import query
-from msgloom.plans.text_queries import _SPACE, SCRIPT_SQL
+from msgloom.plans.text_queries import _SPACE, RANGES_SQL, SCRIPT_SQL
 
 _W = r"[\p{L}\p{N}_]"
 _SQ = rf"trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))"
@@ -126,6 +127,11 @@ def a06(spark, d):
     return Q.language_distribution(V.noisy(spark, d))
 
 
+@query("a06_language_ranges", f"WITH {V.NOISY}, s AS (SELECT {RANGES_SQL} AS script FROM noisy) SELECT script, count(*) AS n, round_even(100 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM s GROUP BY script")
+def a06_ranges(spark, d):
+    return Q.language_distribution(V.noisy(spark, d), T.script_of_ranges)
+
+
 @query("a07_quality_score", f"""WITH {V.MESSAGES}, a AS (SELECT count(*) AS duplicates FROM (SELECT text FROM messages GROUP BY text HAVING count(*) > 1)), b AS (SELECT count(*) FILTER (coalesce(length(text), 0) = 0) AS empty_text, count(*) FILTER (contains(text, chr(65533))) AS encoding_issues FROM messages)
   SELECT duplicates, empty_text, encoding_issues, round_even(greatest(0.0, least(100.0, 100 - 0.1::DOUBLE * duplicates - 0.5 * empty_text - 0.2 * encoding_issues)), 4)::DOUBLE AS score FROM a, b""")
 def a07(spark, d):
@@ -133,11 +139,17 @@ def a07(spark, d):
 
 
 @query("a08_validate", f"""WITH {V.LABELLED}, odd AS (SELECT * REPLACE (CASE WHEN row_id % 50 = 0 THEN 'scam' ELSE label END AS label) FROM labelled)
-  SELECT count(*) AS rows, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (label IS NULL) AS null_label, count(*) FILTER (length(text) = 0) AS empty_text, 'scam' AS invalid_labels, count(*) - count(DISTINCT text) AS surplus, '' AS missing, false AS passed FROM odd""")
+  SELECT count(*) AS rows, count(*) FILTER (text IS NULL) AS null_text, count(*) FILTER (label IS NULL) AS null_label, count(*) FILTER (length(text) = 0) AS empty_text, count(*) FILTER (label = 'scam') AS n_invalid, 'scam' AS invalid_labels, count(text) - count(DISTINCT text) AS surplus, '' AS missing, false AS passed FROM odd""")
 def a08(spark, d):
     return Q.validate(V.labelled(spark, d).withColumn("label", F.when(F.col("row_id") % 50 == 0, "scam").otherwise(F.col("label"))))
 
 
+@query("a08_validate_without_label", f"""WITH {V.LABELLED} SELECT count(*) AS rows, count(*) FILTER (text IS NULL) AS null_text, 0::BIGINT AS null_label, count(*) FILTER (length(text) = 0) AS empty_text,
+  0::BIGINT AS n_invalid, '' AS invalid_labels, count(text) - count(DISTINCT text) AS surplus, 'label' AS missing, false AS passed FROM labelled""")
+def a08_missing(spark, d):
+    return Q.validate(V.labelled(spark, d).drop("label"))
+
+
 @query("a09_dataset_catalog", f"WITH {V.LABELLED}, n AS (SELECT category AS dataset, label, count(*) AS n FROM labelled GROUP BY ALL) SELECT dataset, sum(n)::BIGINT AS rows, string_agg(label || '=' || n, ',' ORDER BY label || '=' || n) AS labels FROM n GROUP BY dataset")
 def a09(spark, d):
     return Q.dataset_catalog(V.labelled(spark, d).withColumnRenamed("category", "dataset"))

@@ -135,7 +135,8 @@ def t13(spark, d):
 
 SCRIPT_SQL = r"CASE WHEN regexp_matches(text, '[а-яёА-ЯЁ]') THEN 'cyrillic' WHEN regexp_matches(text, '[\x{600}-\x{6FF}]') THEN 'arabic' WHEN regexp_matches(text, '[\x{4e00}-\x{9fff}]') THEN 'chinese' WHEN regexp_full_match(text, '[a-zA-Z\t-\r .,!?''""-]+') THEN 'english' ELSE 'other' END".replace('""', '"')
 _noisy("t14_script_of", lambda: T.script_of(_c()), SCRIPT_SQL)
-_noisy("t15_script_of_ranges", lambda: T.script_of_ranges(_c()), rf"CASE WHEN {_ASCII} THEN 'english' WHEN regexp_matches(lower(text), '[\x{{400}}-\x{{4FE}}]') THEN 'cyrillic' WHEN regexp_matches(lower(text), '[\x{{600}}-\x{{6FE}}]') THEN 'arabic' WHEN regexp_matches(lower(text), '[\x{{4E00}}-\x{{9FFE}}]') THEN 'chinese' ELSE 'other' END")
+RANGES_SQL = rf"CASE WHEN {_ASCII} THEN 'english' WHEN regexp_matches(lower(text), '[\x{{400}}-\x{{4FE}}]') THEN 'cyrillic' WHEN regexp_matches(lower(text), '[\x{{600}}-\x{{6FE}}]') THEN 'arabic' WHEN regexp_matches(lower(text), '[\x{{4E00}}-\x{{9FFE}}]') THEN 'chinese' ELSE 'other' END"
+_noisy("t15_script_of_ranges", lambda: T.script_of_ranges(_c()), RANGES_SQL)
 _BARE = _SUB(_SUB(_SUB("text", r"https?://[^\t-\r ]+", ""), r"\p{Nd}+", ""), r"[^\p{L}\p{N}_\t-\r ]", "")
 _noisy("t16_is_english", lambda: T.is_english(_c()), rf"""length(trim(text)) >= 3 AND NOT regexp_matches(text, '[\x{{590}}-\x{{6FF}}\x{{400}}-\x{{4FF}}\x{{980}}-\x{{AFF}}\x{{B80}}-\x{{BFF}}]') AND length(trim({_BARE})) >= 3 AND {_COUNT(_BARE, chr(92) + 'p{L}')} > 0
   AND {_COUNT(_BARE, '[A-Za-z]')} > 0.9 * {_COUNT(_BARE, chr(92) + 'p{L}')} AND regexp_matches(lower({_BARE}), '(^|[^\p{{L}}\p{{N}}_])({'|'.join(T.ENGLISH_WORDS)})([^\p{{L}}\p{{N}}_]|$)')""")

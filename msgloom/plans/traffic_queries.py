@@ -15,13 +15,13 @@ _A = f"WITH {V.AUDIT}"
 _TYPE = "CASE entry_type WHEN 'prediction' THEN 'PredictionEvent' WHEN 'feedback' THEN 'FeedbackEvent' WHEN 'access_denied' THEN 'SecurityEvent' ELSE 'SystemEvent' END"
 
 
-@query("f09_query_audit", f"{_A} SELECT event_id, entry_type, client_ip FROM audit WHERE entry_type = 'prediction' AND timestamp BETWEEN '2024-01-05' AND '2024-01-20' ORDER BY timestamp DESC, event_id DESC LIMIT 100")
+@query("f09_query_audit", f"{_A} SELECT event_id AS number, entry_type, client_ip FROM audit WHERE entry_type = 'prediction' AND timestamp BETWEEN '2024-01-05' AND '2024-01-20' ORDER BY timestamp DESC LIMIT 100")
 def f09(spark, d):
-    return A.query_audit(V.audit(spark, d), "prediction", "2024-01-05", "2024-01-20", limit=100).select("event_id", "entry_type", "client_ip")
+    return A.query_audit(V.logged(spark, d), "prediction", "2024-01-05", "2024-01-20", limit=100).select("number", "entry_type", "client_ip")
 
 
 def _events(spark, d):
-    return A.to_events(V.audit(spark, d))
+    return A.to_events(V.logged(spark, d))
 
 
 @query("f10_query_events", f"""{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type FROM audit), hit AS (SELECT *, count(*) OVER () AS total FROM e WHERE type = 'SecurityEvent' AND priority = 'high' AND timestamp >= '2024-01-10')
@@ -42,12 +42,23 @@ def a12_models(spark, d):
     return A.model_counts(V.audit(spark, d))
 
 
-@query("a13_event_statistics", f"""{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type, coalesce(model, 'msgloom') AS system FROM audit),
-  g AS (SELECT 'type' AS kind, type AS key, * FROM e UNION ALL SELECT 'priority', priority, * FROM e UNION ALL SELECT 'model', system, * FROM e UNION ALL SELECT 'all', '', * FROM e)
-  SELECT kind, key, count(*) AS n, count(DISTINCT client_ip) AS sources, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last FROM g GROUP BY kind, key""")
+_STATISTICS = """SELECT kind, key, count(*) AS n, count(DISTINCT client_ip) AS sources, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') AS last, round_even(avg(confidence), 4) AS confidence FROM g GROUP BY kind, key"""
+_KINDS = "SELECT 'type' AS kind, type AS key, * FROM e UNION ALL SELECT 'priority', priority, * FROM e UNION ALL SELECT 'model', system, * FROM e UNION ALL SELECT 'all', '', * FROM e"
+
+
+def _statistics(x):
+    return x.select("kind", "key", "n", "sources", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first", "last")), "confidence")
+
+
+@query("a13_event_statistics", f"{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type, coalesce(model, 'msgloom') AS system FROM audit), g AS ({_KINDS}) {_STATISTICS}")
 def a13(spark, d):
-    x = A.event_statistics(_events(spark, d))
-    return x.select("kind", "key", "n", "sources", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first", "last")))
+    return _statistics(A.event_statistics(_events(spark, d)))
+
+
+@query("a13_former_statistics", f"""{_A}, e AS (SELECT *, CASE {_TYPE} WHEN 'PredictionEvent' THEN 'low' WHEN 'FeedbackEvent' THEN 'medium' ELSE 'high' END AS priority, {_TYPE} AS type, CASE WHEN entry_type = 'prediction' THEN coalesce(model, 'msgloom') END AS system FROM audit WHERE entry_type <> 'system_event'),
+  g AS (SELECT * FROM ({_KINDS}) WHERE key IS NOT NULL) {_STATISTICS}""")
+def a13_former(spark, d):
+    return _statistics(A.event_statistics(_events(spark, d), reference_compat=True))
 
 
 def _jobs(spark, d):
@@ -77,12 +88,12 @@ def _percentiles(q: int, least: int) -> str:
     return f"CASE WHEN max(n) < {least} THEN 0.0 ELSE {at(low + ' - 1')} + max((n + 1) * {q} / 100 - {low}) * ({at(low)} - {at(low + ' - 1')}) END AS p{q}_exclusive, {at(f'n * {q} // 100')} AS p{q}_index"
 
 
-@query("a17_latency_stats", f"""WITH {V.REQUESTS}, per AS (SELECT scenario, count(*) AS n, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed FROM requests GROUP BY scenario),
+@query("a17_latency_stats", f"""WITH {V.REQUESTS}, per AS (SELECT scenario, count(*) AS n, count(*) FILTER (success) AS ok, count(*) FILTER (NOT success) AS failed, (max(epoch_us(started)) - min(epoch_us(started))) / 1e6 AS took FROM requests GROUP BY scenario),
   r AS (SELECT scenario, response_time AS v, row_number() OVER (PARTITION BY scenario ORDER BY response_time, request_index) - 1 AS i, count(*) OVER (PARTITION BY scenario) AS n FROM requests WHERE success),
   s AS (SELECT scenario, avg(v) AS mean, min(v) AS shortest, max(v) AS longest, stddev_samp(v) AS deviation, max(v) FILTER (i = n // 2) AS median, {_percentiles(95, 21)}, {_percentiles(99, 101)} FROM r GROUP BY scenario)
-  SELECT scenario, n, ok, failed, round_even(100 * ok / n, 4) AS success_percent, {', '.join(f'round_even({c}, 4)::DOUBLE AS {c}' for c in ('mean', 'shortest', 'longest', 'median', 'deviation', 'p95_exclusive', 'p95_index', 'p99_exclusive', 'p99_index'))} FROM per JOIN s USING (scenario)""")
+  SELECT scenario, n, ok, failed, round_even(100 * ok / n, 4) AS success_percent, round_even(CASE WHEN took > 0 THEN n / took ELSE 0.0 END, 6)::DOUBLE AS throughput, {', '.join(f'round_even({c}, 4)::DOUBLE AS {c}' for c in ('mean', 'shortest', 'longest', 'median', 'deviation', 'p95_exclusive', 'p95_index', 'p99_exclusive', 'p99_index'))} FROM per JOIN s USING (scenario)""")
 def a17(spark, d):
-    return R.latency_stats(V.requests(spark, d), ["scenario"])
+    return R.latency_stats(V.requests(spark, d), ["scenario"], "started")
 
 
 @query("a18_error_counts", f"WITH {V.REQUESTS} SELECT error, count(*) AS n FROM requests WHERE NOT success GROUP BY error")
@@ -108,33 +119,32 @@ def a20(spark, d):
 @query("n01_to_events", f"""{_A} SELECT event_id, {_TYPE} AS "eventType", {PRIORITY} AS priority, {TITLE} AS title, client_ip AS source_id, CASE WHEN client_ip = 'system' THEN 'system' ELSE 'client' END AS role, coalesce(model, 'msgloom') AS system_id,
   CASE entry_type WHEN 'prediction' THEN 6 WHEN 'feedback' THEN 6 WHEN 'access_denied' THEN 2 ELSE 3 END AS characteristics FROM audit""")
 def n01(spark, d):
-    a = V.audit(spark, d)
-    e = A.to_events(a.withColumn("model_version", F.lit(None).cast("string")))
-    keys = a.select("event_id", F.concat(F.lit("evt-"), F.sha2(F.concat_ws("|", F.col("timestamp").cast("string"), "entry_type", "client_ip", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("event_id", "label", "feedback_id", "endpoint", "event_type"))).cast("binary"), 256)).alias("id"))
-    return e.join(keys, "id").select("event_id", "eventType", "priority", "title", F.col("source.id").alias("source_id"), F.col("source.role").alias("role"), F.col("reportingSystem.id").alias("system_id"), F.size("characteristic").alias("characteristics"))
+    a = V.logged(spark, d)
+    keys = a.select(F.col("number").alias("event_id"), A.event_key(a).alias("id"))
+    return A.to_events(a).join(keys, "id").select("event_id", "eventType", "priority", "title", F.col("source.id").alias("source_id"), F.col("source.role").alias("role"), F.col("reportingSystem.id").alias("system_id"), F.size("characteristic").alias("characteristics"))
 
 
-@query("n02_event_by_id", f"{_A} SELECT count(*) AS found, 1::BIGINT AS ids FROM audit WHERE event_id = 7")
+@query("n02_event_by_id", f"{_A} SELECT {_TYPE} AS \"eventType\", {PRIORITY} AS priority, {TITLE} AS title, client_ip AS source_id FROM audit WHERE event_id = 7")
 def n02(spark, d):
     """The event of one entry, found by its id among all events."""
-    e = _events(spark, d)
-    own = A.to_events(V.audit(spark, d).filter("event_id = 7")).select("id")
-    return e.join(F.broadcast(own), "id", "left_semi").agg(F.count("*").alias("found"), F.count_distinct("id").alias("ids"))
+    a = V.logged(spark, d)
+    own = a.filter("number = 7").select(A.event_key(a)).first()[0]
+    return A.event_by_id(A.to_events(a), own).select("eventType", "priority", "title", F.col("source.id").alias("source_id"))
 
 
 @query("n03_characteristics_long", f"""{_A}, c AS (SELECT {_TYPE} AS type, unnest(CASE entry_type WHEN 'prediction' THEN [['label', label], ['confidence', ''], ['processing_time_ms', ''], ['text_length', ''], ['text_hash', ''], ['redaction_applied', '']]
   WHEN 'feedback' THEN [['feedback_id', ''], ['original_label', ''], ['user_feedback', ''], ['thumbs_up', thumbs_up::VARCHAR], ['thumbs_down', thumbs_down::VARCHAR], ['text_hash', '']]
   WHEN 'access_denied' THEN [['endpoint', endpoint], ['reason', reason]] ELSE [['event_type', event_type], ['message', message], ['metadata_user', meta_user]] END) AS p FROM audit)
-  SELECT type AS "eventType", p[1] AS name, CASE WHEN p[1] IN ('confidence', 'feedback_id') THEN '' ELSE p[2] END AS value, count(*) AS n FROM c GROUP BY ALL""")
+  SELECT type AS "eventType", p[1] AS name, CASE WHEN p[1] IN ('confidence', 'feedback_id', 'text_hash') THEN '' ELSE p[2] END AS value, count(*) AS n FROM c GROUP BY ALL""")
 def n03(spark, d):
     x = A.characteristics_long(_events(spark, d))
-    value = F.when(F.col("name").isin("confidence", "feedback_id"), "").otherwise(F.col("value"))
+    value = F.when(F.col("name").isin("confidence", "feedback_id", "text_hash"), "").otherwise(F.col("value"))
     return x.groupBy("eventType", "name", value.alias("value")).agg(F.count("*").alias("n"))
 
 
 @query("n04_manual_events", f"{_A} SELECT event_id, 'manual_event' AS entry_type, client_ip, 'Note ' || event_id AS title, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'low' END AS priority FROM audit WHERE entry_type = 'system_event'")
 def n04(spark, d):
-    x = V.audit(spark, d).filter("entry_type = 'system_event'").withColumn("title", F.concat(F.lit("Note "), F.col("event_id").cast("string"))).withColumn("description", F.lit("")).withColumn("priority", F.when(F.col("event_id") % 2 == 0, "high"))
+    x = V.logged(spark, d).filter("entry_type = 'system_event'").withColumn("title", F.concat(F.lit("Note "), F.col("number").cast("string"))).withColumn("description", F.lit("")).withColumn("priority", F.when(F.col("number") % 2 == 0, "high"))
     return A.manual_events(x).select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("event_id"), "entry_type", "client_ip", "title", "priority")
 
 
@@ -197,11 +207,15 @@ def w07(spark, d):
     return x.select("client_ip", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")), "messages")
 
 
-@query("w08_audit_stream_stats", f"{_A} SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, label, model, count(*) AS n, round_even(avg(confidence), 4) AS avg_confidence FROM audit WHERE entry_type = 'prediction' GROUP BY 1, 2, 3")
+@query("w08_audit_stream_stats", f"{_A} SELECT strftime(date_trunc('day', timestamp), '%Y-%m-%d') AS day, label, model, count(*) AS n, round_even(avg(confidence), 4) AS avg_confidence, true AS clients FROM audit WHERE entry_type = 'prediction' GROUP BY 1, 2, 3")
 def w08(spark, d):
     from msgloom.streaming.streams import audit_stats
 
-    return audit_stats(actions(spark, d), "1 day").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "model", "n", F.bround("avg_confidence", 4).alias("avg_confidence"))
+    x = actions(spark, d)
+    exact = x.groupBy(F.window("ts", "1 day")["start"].alias("start"), "label", "model").agg(F.count_distinct("client_ip").alias("exact"))
+    got = audit_stats(x, "1 day").join(exact, ["start", "label", "model"])
+    near = F.abs(F.col("clients") - F.col("exact")) <= F.greatest(F.lit(2), 0.2 * F.col("exact"))  # clients are an estimate
+    return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "model", "n", F.bround("avg_confidence", 4).alias("avg_confidence"), near.alias("clients"))
 
 
 @query("w09_micro_batch_assign")

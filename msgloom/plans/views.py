@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,16 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
 LABELLED = f"""{MESSAGES}, labelled AS (SELECT m.row_id, text, language, category, CASE WHEN toxic = 1 THEN 'phishing' WHEN quality = 0 THEN 'spam' ELSE 'ham' END AS label
   FROM messages m JOIN labels l ON m.row_id = l.doc_id)"""
 
+
+def strata(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled rows, some of them without a label or a language, and a rare label."""
+    r = F.col("row_id")
+    return labelled(spark, d).withColumns({"label": F.when(r % 101 == 3, "other").when(r % 17 != 0, F.col("label")), "language": F.when(r % 13 != 0, F.col("language"))})
+
+
+STRATA = f"""{LABELLED}, strata AS (SELECT row_id, text, category, CASE WHEN row_id % 13 <> 0 THEN language END AS language,
+  CASE WHEN row_id % 101 = 3 THEN 'other' WHEN row_id % 17 <> 0 THEN label END AS label FROM labelled)"""
+
 LABELS = ["ham", "spam", "phishing"]
 
 
@@ -78,6 +90,34 @@ def audit(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder where the session keeps checkpoints (shared by all executors), else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base}/io-{uuid.uuid4().hex}"
+
+
+def write_log(spark: SparkSession, d: str) -> str:
+    """The audit entries as a service logs them: JSON lines with times whose zone is written twice, and two broken lines.
+
+    ``text_hash`` carries the number of the entry, by which a test can tell entries apart.
+    """
+    path = new_folder(spark)
+    stamp = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00Z'")
+    entry = audit(spark, d).withColumns({"timestamp": stamp, "text_hash": F.concat(F.lit("sha256:"), F.col("event_id").cast("string"))}).drop("event_id")
+    lines = entry.select(F.to_json(F.struct(*entry.columns)).alias("value"))
+    broken = spark.createDataFrame([("{\"timestamp\": \"2024-01-",), ("no json",)], "value string")
+    lines.unionByName(broken).write.text(path)
+    return path
+
+
+def logged(spark: SparkSession, d: str) -> DataFrame:
+    """The audit entries read back from a log, with their ``number``."""
+    from msgloom.sources.readers import read_audit
+
+    rows = read_audit(spark, write_log(spark, d)).filter("_corrupt_record is null")
+    return rows.withColumn("number", F.substring("text_hash", 8, 20).cast("long"))
+
+
 _KIND = "CASE WHEN event_type IN ('view', 'click') THEN 'prediction' WHEN event_type = 'purchase' THEN 'feedback' WHEN event_type = 'error' THEN 'access_denied' ELSE 'system_event' END"
 
 
@@ -101,10 +141,10 @@ AUDIT = f"""raw_audit AS (SELECT *, {_KIND} AS entry_type FROM events), audit AS
 def requests(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     ok = F.col("event_type") != "error"
-    return e.select(F.col("event_id").alias("request_index"), (F.col("user_id") % 10).alias("scenario"), ok.alias("success"), F.when(ok, F.col("value")).alias("response_time"), F.when(ok, F.get(F.array(*map(F.lit, LABELS)), (F.col("event_id") % 3).cast("int"))).alias("label"), F.when(~ok, F.concat(F.lit("HTTP "), (500 + F.col("event_id") % 4).cast("string"))).alias("error"))
+    return e.select(F.col("event_id").alias("request_index"), F.col("ts").cast("timestamp").alias("started"), (F.col("user_id") % 10).alias("scenario"), ok.alias("success"), F.when(ok, F.col("value")).alias("response_time"), F.when(ok, F.get(F.array(*map(F.lit, LABELS)), (F.col("event_id") % 3).cast("int"))).alias("label"), F.when(~ok, F.concat(F.lit("HTTP "), (500 + F.col("event_id") % 4).cast("string"))).alias("error"))
 
 
-REQUESTS = """requests AS (SELECT event_id AS request_index, user_id % 10 AS scenario, event_type <> 'error' AS success, CASE WHEN event_type <> 'error' THEN value END AS response_time,
+REQUESTS = """requests AS (SELECT event_id AS request_index, ts AS started, user_id % 10 AS scenario, event_type <> 'error' AS success, CASE WHEN event_type <> 'error' THEN value END AS response_time,
   CASE WHEN event_type <> 'error' THEN ['ham', 'spam', 'phishing'][event_id % 3 + 1] END AS label, CASE WHEN event_type = 'error' THEN 'HTTP ' || (500 + event_id % 4) END AS error FROM events)"""
 
 

@@ -7,20 +7,39 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from msgloom.operators.audit import AUDIT_SCHEMA
+from msgloom.operators.audit import AUDIT_SCHEMA, audit_rows
 from msgloom.operators.quality import LABELS
 
 EVAL_COLUMNS = ["text", "gold", "category", "language"]
 
 
+#: Columns of :func:`_placed`.
+_PLACE = ["_file", "_block", "_place"]
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows of a file source with where each stands: its file, the start of the split, and the row in it."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_place"))
+
+
 def _numbered(df: DataFrame) -> DataFrame:
-    """Rows with ``row_id`` in file order (files by path, lines by place)."""
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    """Rows of :func:`_placed` with ``row_id`` in file order: files by path, lines by place.
+
+    Splits are few, so their numbers come from a window over one row a split; rows keep their place in it.
+    """
+    splits = df.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_place").alias("_first"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(F.col("_file").alias("_f"), F.col("_block").alias("_s"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_place")) - 1
+    rows = df.withColumn("_rank", rank).join(splits, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_s")))
+    return rows.withColumn("row_id", (F.col("_before") + F.col("_rank")).cast("long")).drop(*_PLACE, "_f", "_s", "_first", "_before", "_rank")
 
 
-def _csv(spark: SparkSession, path: str, **options) -> DataFrame:
-    return spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", **options).csv(path)
+def _csv(spark: SparkSession, path: str | list[str], multi_line: bool = True, **options) -> DataFrame:
+    """``multi_line`` allows line breaks inside quotes, for which a file must be read by one task."""
+    return spark.read.options(header=True, multiLine=multi_line, escape='"', mode="PERMISSIVE", **options).csv(path)
 
 
 def _empty_if_missing(df: DataFrame, name: str) -> Column:
@@ -28,15 +47,16 @@ def _empty_if_missing(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(f"`{found}`").cast("string"), F.lit("")) if found else F.lit("")
 
 
-def read_labelled(spark: SparkSession, path: str, dialect: str = "lastcomma") -> DataFrame:
-    """``row_id, text, label``. ``lastcomma`` splits lines at their last comma by hand, keeps quotes and drops labels that are not valid; ``csv`` reads quoted fields and keeps all rows.
+def read_labelled(spark: SparkSession, path: str, dialect: str = "lastcomma", multi_line: bool = True) -> DataFrame:
+    """``row_id, text, label`` in file order. ``lastcomma`` splits lines at their last comma by hand, keeps quotes and drops labels that are not valid; ``csv`` reads quoted fields and keeps all rows.
 
-    Bytes that are not UTF-8 disappear.
+    Bytes that are not UTF-8 disappear. Line breaks inside quotes need ``multi_line``; without it, large files are split.
     """
     if dialect == "csv":
-        df = _csv(spark, path)
-        return _numbered(df.select(_dropped(_empty_if_missing(df, "text")).alias("text"), F.lower(F.trim(_empty_if_missing(df, "label"))).alias("label")))
-    lines = _numbered(spark.read.text(path)).withColumn("value", _dropped(F.col("value")))
+        df = _csv(spark, path, multi_line)
+        text, label = _dropped(_empty_if_missing(df, "text")), F.lower(F.trim(_empty_if_missing(df, "label")))
+        return _numbered(_placed(df).select(text.alias("text"), label.alias("label"), *_PLACE)).select("row_id", "text", "label")
+    lines = _numbered(_placed(spark.read.text(path))).withColumn("value", _dropped(F.col("value")))
     parts = lines.select("row_id", F.trim(F.regexp_extract("value", r"^(.*),([^,]*)$", 1)).alias("text"), F.lower(F.trim(F.regexp_extract("value", r"^(.*),([^,]*)$", 2))).alias("label"))
     return parts.filter(F.col("label").isin(LABELS)).select("row_id", "text", "label")
 
@@ -117,6 +137,26 @@ def union_datasets(*parts: DataFrame) -> DataFrame:
     return x.filter((F.trim("text") != "") & F.col("label").isin(LABELS))
 
 
+def catalog_files(spark: SparkSession, path: str) -> DataFrame:
+    """CSV files with their sizes: ``dataset`` (the path), ``size_mb, columns, rows, labels`` (counts by label, if there is such a column).
+
+    Only one row a file comes to the driver: its header, by which files are read together.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("dataset"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("place"))
+    heads = lines.groupBy("dataset").agg(F.min_by("value", F.struct("block", "place")).alias("columns"), F.bround(F.max("bytes") / (1 << 20), 2).alias("size_mb"))
+    files: dict[str, list[str]] = {}
+    for r in heads.select("dataset", "columns").collect():
+        files.setdefault(r["columns"], []).append(r["dataset"])
+    counts = spark.createDataFrame([], "dataset string, label string, n long")
+    for own in files.values():
+        df = _csv(spark, own)
+        label = next((F.col(f"`{c}`").cast("string") for c in df.columns if c == "label"), F.lit(None).cast("string"))
+        counts = counts.unionByName(df.select(F.col("_metadata.file_path").alias("dataset"), label.alias("label")).groupBy("dataset", "label").agg(F.count("*").alias("n")))
+    named = F.when(F.col("label").isNotNull(), F.concat_ws("=", "label", F.col("n").cast("string")))
+    per = counts.groupBy("dataset").agg(F.sum("n").alias("rows"), F.array_join(F.array_sort(F.collect_list(named)), ",").alias("labels"))
+    return heads.join(per, "dataset", "left").select("dataset", "size_mb", "columns", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("labels", F.lit("")).alias("labels"))
+
+
 def read_with_fallback(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files (``path, line``), each file in UTF-8 if it is valid, else in Latin-1."""
     files = spark.read.format("binaryFile").load(path)
@@ -125,14 +165,17 @@ def read_with_fallback(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audit(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Audit entries of JSON lines files; a line that is no JSON has only ``_corrupt_record``."""
+    """Audit entries of JSON lines files, with times and ids as :func:`msgloom.operators.audit.audit_rows` gives them.
+
+    A line that is no JSON has only ``_corrupt_record`` and an id.
+    """
     reader = spark.readStream if stream else spark.read
-    return reader.schema(AUDIT_SCHEMA + ", _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return audit_rows(reader.schema(AUDIT_SCHEMA + ", _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
 
 
 def malformed(audit: DataFrame) -> DataFrame:
     """How many lines were no JSON."""
-    return audit.agg(F.count("_corrupt_record").alias("malformed"))
+    return audit.agg(F.count(F.when(F.col("event_id").isNotNull(), F.col("_corrupt_record"))).alias("malformed"))  # Spark reads no broken lines without another column
 
 
 def read_feedback(spark: SparkSession, path: str) -> DataFrame:

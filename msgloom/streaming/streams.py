@@ -49,10 +49,9 @@ def client_sessions(stream: DataFrame, gap: str = "120 seconds", late: str = "5
     return traffic.client_sessions(stream.withWatermark("ts", late), gap)
 
 
-def audit_stats(rows: DataFrame, span: str = "1 minute", late: str | None = None) -> DataFrame:
-    """Running counts, mean confidence and about how many clients, by window, label and model."""
-    x = rows.withWatermark("ts", late) if late else rows
-    x = x.groupBy(F.window("ts", span).alias("w"), "label", "model").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), F.approx_count_distinct("client_ip").alias("clients"))
+def audit_stats(rows: DataFrame, span: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Running counts, mean confidence and about how many clients, by window, label and model; windows end ``late`` after their time."""
+    x = rows.withWatermark("ts", late).groupBy(F.window("ts", span).alias("w"), "label", "model").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), F.approx_count_distinct("client_ip").alias("clients"))
     return x.select(F.col("w.start").alias("start"), "label", "model", "n", "avg_confidence", "clients")
 
 
