@@ -208,7 +208,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
     keyed = _keyed(docs, id_col)
     with passing() as keep:
         found = keep(_overlaps(keyed, benchmark, "item_id"))
-    leaks = found.select("key", "id").distinct()
-    inside = holds(leaks.select("key"))
-    suspects = keyed.filter(inside("__key")).join(leaks, (F.col("__key") == F.col("key")) & F.col("__id").eqNullSafe(F.col("id")), "left_anti")
+    leaks = found.select(F.col("key").alias("__leak"), F.col("id").alias("__leak_id")).distinct()
+    inside = holds(leaks.select("__leak"))
+    suspects = keyed.filter(inside("__key")).join(leaks, (F.col("__key") == F.col("__leak")) & F.col("__id").eqNullSafe(F.col("__leak_id")), "left_anti")
     return keyed.filter(~inside("__key")).unionByName(suspects).select(*docs.columns)
