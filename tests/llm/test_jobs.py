@@ -193,6 +193,30 @@ def test_repeats(spark, odd, none, monkeypatch, hot):
     assert cut.columns == odd.columns and cut.count() == odd.count() and suffix_dedup.repeat_report(odd).count() == odd.count()
 
 
+def test_repeats_of_the_test_table(spark, monkeypatch):
+    """Every document of sf0.01, in bytes and in words; without the shards' suffix arrays nothing is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    got = {r["doc_id"]: r for r in queries.op3_suffix_array_repeats(spark, "/root/testdata/sf0.01").collect()}
+    want = dict(zip([k for k, _ in rows], brute_repeats([t.encode() for _, t in rows], 400)))
+    assert all((g["n_bytes"], g["n_removed"], g["n_spans"], g["kept_sha256"]) == want[k] for k, g in got.items()) and len(got) == len(rows)
+    left = brute_word_repeats([t for _, t in rows], 51)
+    assert all(got[k]["passage_bytes"] == len(t.encode()) - len(x.encode()) and (got[k]["n_passages"] > 0) == (t != x) for (k, t), x in zip(rows, left))
+    assert sum(g["n_removed"] > 0 for g in got.values()) > 10 and sum(g["n_passages"] > 0 for g in got.values()) > 10
+    none = lambda *a: tuple(np.zeros(0, np.int64) for _ in range(3))
+    monkeypatch.setattr(suffix_dedup, "_shard", lambda what: _shard_without(none))
+    assert suffix_dedup.repeat_report(docs.limit(300)).agg(F.sum("n_removed"), F.sum("n_passages")).first() == (0, 0)
+
+
+def _shard_without(found):
+    def shard(rows):
+        import pyarrow as pa
+
+        return pa.table({x: pa.array([], pa.int64()) for x in ("id", "key", "g", "s", "n", "first", "a", "b")})
+
+    return shard
+
+
 def brute_word_repeats(texts, m):
     """Texts without the bytes of any run of ``m`` words between white space that occurs twice."""
     runs = []
@@ -240,7 +264,7 @@ def test_pipeline_cuts_short_words(spark):
 
 def test_decontamination(spark, odd, none):
     r = random.Random(3)
-    items = [r.choices(WORDS, k=k) for k in (40, 25, 14, 9, 6, 4)]
+    items = [r.choices(WORDS, k=k) for k in (40, 25, 14, 9, 6, 4)]  # the last in a document, too: short items are looked for whole
     changed = list(items[0])
     for k in (5, 13, 22, 31, 38):
         changed[k] = "other"
@@ -249,13 +273,115 @@ def test_decontamination(spark, odd, none):
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string"))
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(9, None), (0, " ".join(items[0]))], "item_id long, text string")
     got = {(x["doc_id"], x["item_id"]): x for x in decontaminate.overlaps(docs, bench).collect()}
-    assert set(got) == {(100, 0), (101, 0), (102, 1), (104, 2), (105, 3), (106, 4)}
+    assert set(got) == {(100, 0), (101, 0), (102, 1), (104, 2), (105, 3), (106, 4), (107, 5)}
     assert got[(101, 0)]["n_same"] >= 33 and got[(102, 1)]["start"] == 30 and got[(102, 1)]["n_words"] == 25
     left = {x["doc_id"] for x in decontaminate.decontaminate(docs, bench).collect()}
-    assert left == {k for k, _ in docs_of(docs)} - {100, 101, 102, 104, 105, 106}
+    assert left == {k for k, _ in docs_of(docs)} - {100, 101, 102, 104, 105, 106, 107}
     assert decontaminate.overlaps(none, bench).count() == 0 and decontaminate.overlaps(docs, bench.filter("false")).count() == 0
 
 
+def brute_overlaps(docs, items):
+    """Pairs of ids with an overlap on any diagonal."""
+    vocabulary: dict = {}
+    code = lambda t: np.asarray([vocabulary.setdefault(w, len(vocabulary)) for w in re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", (t or "").lower())], np.int64)
+    own = [(k, code(t)) for k, t in items]
+    places, out = defaultdict(list), set()
+    for n, (_, words) in enumerate(own):
+        for p, w in enumerate(words.tolist()):
+            places[w].append((n, p))
+    for d, t in docs:
+        words, hits = code(t), Counter()
+        for q, w in enumerate(words.tolist()):
+            hits.update((n, q - p) for n, p in places.get(w, ()))
+        for (n, diagonal), c in hits.items():
+            k, item = own[n]
+            if len(item) < 12:
+                out |= {(d, k)} if c == len(item) else set()
+                continue
+            lo, hi = max(0, -diagonal), min(len(item), len(words) - diagonal)
+            at = np.flatnonzero(item[lo:hi] == words[lo + diagonal : hi + diagonal])
+            if len(at) >= 9 and any(at[j] - at[i] >= 11 and j - i + 1 >= 0.75 * (at[j] - at[i] + 1) for i in range(len(at)) for j in range(len(at) - 1, i, -1)):
+                out.add((d, k))
+    return out
+
+
+def test_no_overlap_is_lost(spark):
+    r = random.Random(5)
+    words = [f"v{i}" for i in range(60)]
+    items = [(i, " ".join(r.choices(words, k=r.choice([1, 2, 3, 4, 5, 7, 9, 11, 12, 13, 20, 30, 60])))) for i in range(50)]
+    docs = []
+    for d in range(250):
+        w = r.choice(items)[1].split()
+        a = r.randrange(len(w))
+        rate = r.choice([0, 0.1, 0.2, 0.25, 0.3])
+        part = [r.choice(words) + "q" if r.random() < rate else y for y in w[a : r.randrange(a, len(w)) + 1]]
+        docs.append((d, " ".join(r.choices(words, k=r.randint(0, 30)) + part + r.choices(words, k=r.randint(0, 30)))))
+    head, tail = [f"z{i}" for i in range(12)], [f"y{i}" for i in range(140)]
+    items.append((77, " ".join(head + tail)))
+    docs.append((900, " ".join(head + ["no" if k % 7 < 2 else w for k, w in enumerate(tail)])))  # a good run before a mediocre one
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.overlaps(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute_overlaps(docs, items) and (900, 77) in got
+    table = lambda name, key: [(x[key], x["text"]) for x in spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet").select(key, "text").collect()]
+    got = {(x["doc_id"], x["item_id"]) for x in queries.op5_spaced_seed_overlaps(spark, "/root/testdata/sf0.01").collect()}
+    assert got == brute_overlaps(table("documents", "doc_id"), table("benchmark", "item_id")) and got
+
+
+def test_overlaps_tell_rows_of_one_id_apart(spark):
+    bench = spark.createDataFrame([(1, " ".join(WORDS[:20]))], "item_id long, text string")
+    docs = spark.createDataFrame([(None, " ".join(WORDS[:20]), "a"), (None, " ".join(WORDS[30:50]), "b"), (7, " ".join(WORDS[5:20]), "c"), (7, "clean", "d"), (7, "clean", "d")], "doc_id long, text string, key string")
+    assert sorted(x["key"] for x in decontaminate.decontaminate(docs, bench).collect()) == ["b", "d", "d"]
+    assert sorted((x["doc_id"] or 0, x["n_words"]) for x in decontaminate.overlaps(docs, bench).collect()) == [(0, 20), (7, 15)]
+
+
+@pytest.mark.parametrize("sigma", [0.0, 0.25, 1.0])
+def test_recall_of_inner_products(spark, sigma):
+    """Norms that differ, in full shards: the nearest by inner product, against brute force."""
+    r = np.random.default_rng(11)
+    x = r.standard_normal((6000, 48))
+    x = x / np.linalg.norm(x, axis=1)[:, None] * np.exp(sigma * r.standard_normal(6000))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = ann_graph.usable(df)
+    got = defaultdict(set)
+    for n in ann_graph.nearest(v, v.filter("vec_id % 60 = 0")).collect():
+        got[n["query_id"]].add(n["vec_id"])
+    hits = 0
+    for q in range(0, 6000, 60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits / (20 * 100) > 0.95
+
+
+def test_recall_of_the_test_table(spark):
+    x = {r["vec_id"]: np.asarray(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r["embedding"] is not None}
+    ids = np.asarray(sorted(k for k, v in x.items() if np.isfinite(v).all() and (v != 0).any()))
+    all_ = np.stack([x[k] for k in ids])
+    got = defaultdict(set)
+    for n in queries.op2_ann_graph_search(spark, "/root/testdata/sf0.01").collect():
+        got[n["query_id"]].add(n["vec_id"])
+    asked, hits = [k for k in ids if k % 20 == 0], 0
+    for q in asked:
+        order = [k for k in ids[np.lexsort((ids, -(all_ @ x[q])))].tolist() if k != q][:20]
+        hits += len(got[q] & set(order))
+    assert hits / (20 * len(asked)) > 0.95 and set(got) == set(asked)
+
+
+def test_neighbours_of_any_size(spark):
+    """Components from 1e-150 to 1e150 take part; scores are those of the original vectors."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((60, 6)) * 10.0 ** r.choice([-150, -20, 0, 20, 150], 60)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    v = ann_graph.usable(df)
+    got = defaultdict(list)
+    for n in ann_graph.nearest(v, v.filter("vec_id % 20 = 0"), k=10).orderBy("query_id", "rank").collect():
+        got[n["query_id"]].append((n["vec_id"], n["score"]))
+    for q in (0, 20, 40):
+        with np.errstate(all="ignore"):
+            want = sorted((-float(x[q] @ x[i]), i) for i in range(60) if i != q)[:10]
+        assert [s for _, s in got[q]] == pytest.approx([-s for s, _ in want], rel=1e-9)
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(6)
     x = r.standard_normal((700, 12)).round(2)
@@ -295,6 +421,20 @@ def test_fixity(spark):
     got = {(r["page_id"], r["kind"]) for r in warc_fixity.audit(pages, other).collect()}
     assert got == {(7, "missing"), (9, "changed"), (400, "extra")}
     assert warc_fixity.audit(pages.filter("false"), pages.filter("false")).count() == 0
+    assert {(r["page_id"], r["kind"]) for r in warc_fixity.audit(pages.filter("page_id < 3"), pages.filter("false")).collect()} == {(0, "missing"), (1, "missing"), (2, "missing")}
+
+
+def test_fixity_descends_only_where_digests_differ(spark, monkeypatch):
+    rows = [(i, f"http://x/{i}", "h" * (i % 90)) for i in range(0, 200_000, 9)] + [(None, "u", "null id"), (-1, "u", "minus one"), (77, "long", "é" * 300_000), (77, "long", "é" * 300_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read, within = [], warc_fixity._within
+    monkeypatch.setattr(warc_fixity, "_within", lambda level, suspects, *keys: read.append((tuple(keys), within(level, suspects, *keys).count())) or within(level, suspects, *keys))
+    assert warc_fixity.audit(pages, pages.repartition(5)).count() == 0 and not read  # equal roots end it
+    other = pages.withColumn("html", F.when(F.col("page_id").isin(9, 90_000), "bad").when(F.col("page_id").isNull(), "changed").otherwise(F.col("html")))
+    got = {(r["page_id"], r["warc_file"], r["kind"]) for r in warc_fixity.audit(pages, other).collect()}
+    assert got == {(9, 0, "changed"), (90_000, 21, "changed"), (None, -1, "changed")}
+    records = [n for keys, n in read if keys == ("warc_file", "range")]
+    assert len(records) == 2 and max(records) <= 3 * 64 // 9 + 4
 
 
 def test_pipeline_on_odd_rows(spark, odd, none):

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from msgloom.llm import ann_graph, hilbert_pack, langid_ppm, probminhash, rans_ids, suffix_dedup, url_filter
+from msgloom.llm import ann_graph, decontaminate, hilbert_pack, langid_ppm, probminhash, rans_ids, suffix_dedup, url_filter
 from msgloom.llm._io import buffer_of
 from msgloom.llm.pieces import encoder_for
 from msgloom.llm.queries import tokenizer_path
@@ -186,3 +186,23 @@ def test_bloom_words_never_miss():
     words = np.zeros((16, 8), np.uint32)
     np.bitwise_or.at(words, block, bits)
     assert ((words[block] & bits) == bits).all() and len(url_filter.WORD_SALTS) == 8
+
+
+def test_masks_miss_no_overlap():
+    """All ways to lay substitutions into overlaps of 12 to 18 words that begin and end with a same word."""
+    from itertools import combinations
+
+    ones = [[i for i, x in enumerate(m) if x == "1"] for m in decontaminate.MASKS]
+    for n in range(decontaminate.MIN_WORDS, 19):
+        for changed in combinations(range(1, n - 1), n // 4):
+            assert any(all(at + i not in changed for i in own) for own in ones for at in range(n - own[-1]))
+
+
+def test_longest_overlap_is_the_longest():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        same = r.random(int(r.integers(1, 40))) < r.choice([0.3, 0.6, 0.75, 0.9])
+        at = np.flatnonzero(same)
+        best = max((int(j - i + 1) for i in at for j in at if j >= i and same[i : j + 1].sum() >= 0.75 * (j - i + 1)), default=0)
+        a, b = decontaminate.longest_overlap(same)
+        assert b - a == best and (not best or same[a] and same[b - 1] and same[a:b].sum() >= 0.75 * best)
