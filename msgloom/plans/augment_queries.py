@@ -38,11 +38,11 @@ def _labelled(spark, d):
     return V.labelled(spark, d)
 
 
-@query("g01_generate_from_templates", f"""WITH {V.LABELLED}, k AS (SELECT row_id, label, label || ':' || row_id AS key FROM labelled), t AS (SELECT row_id, label, key, CASE label {' '.join(f'WHEN {_S(a)} THEN {_PICK(b, _S("template"), "key")}' for a, b in G.TEMPLATES.items())} END AS t FROM k)
-  SELECT row_id, label, replace(replace(replace(t, '{{name}}', {_PICK(G.POOLS['name'], _S('name'), 'key')}), '{{time}}', {_PICK(G.POOLS['time'], _S('time'), 'key')}), '{{amount}}', {_PICK(G.POOLS['amount'], _S('amount'), 'key')}) AS text FROM t""")
+@query("g01_generate_from_templates", f"""WITH {V.LABELLED}, k AS (SELECT copy, label, label || ':' || copy AS key FROM range((SELECT count(*) FROM labelled)) r(copy), (VALUES ('ham'), ('spam'), ('phishing')) l(label)), t AS (SELECT copy, label, key, CASE label {' '.join(f'WHEN {_S(a)} THEN {_PICK(b, _S("template"), "key")}' for a, b in G.TEMPLATES.items())} END AS t FROM k)
+  SELECT copy, label, replace(replace(replace(t, '{{name}}', {_PICK(G.POOLS['name'], _S('name'), 'key')}), '{{time}}', {_PICK(G.POOLS['time'], _S('time'), 'key')}), '{{amount}}', {_PICK(G.POOLS['amount'], _S('amount'), 'key')}) AS text FROM t""")
 def g01(spark, d):
-    rows = _labelled(spark, d).select("row_id", "label")
-    return G.with_templates(rows, F.concat_ws(":", "label", F.col("row_id").cast("string")))
+    """As many rows of each label as there are labelled messages."""
+    return G.generate_from_templates(spark, _labelled(spark, d).count())
 
 
 _BUILDER_ROWS = ", ".join(f"('{a}', '{b}', '{c}', '{t}')" for a, own in G.BUILDERS.items() for b, texts in own.items() for c, t in texts.items())
@@ -117,9 +117,13 @@ def g10(spark, d):
 _ALLOCATED = f"""{V.LABELLED}, n AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS total, max(count(*)) OVER () AS top FROM labelled GROUP BY label), f AS (SELECT *, floor((3 * total - total) * n / total)::BIGINT AS part FROM n)"""
 
 
-@query("g11_expand_to", f"""WITH {_ALLOCATED} SELECT label, (n + part + CASE WHEN n = top THEN 2 * total - sum(part) OVER () ELSE 0 END + 2 * n)::BIGINT AS rows FROM f""".replace("AS rows", "AS row_count"))
+_TEMPLATED = f"""replace(replace(replace(t, '{{name}}', {_PICK(G.POOLS['name'], _S('name'), 'key')}), '{{time}}', {_PICK(G.POOLS['time'], _S('time'), 'key')}), '{{amount}}', {_PICK(G.POOLS['amount'], _S('amount'), 'key')})"""
+
+
+@query("g11_expand_to", f"""WITH {_ALLOCATED}, new AS (SELECT label, (part + CASE WHEN n = top THEN 2 * total - sum(part) OVER () ELSE 0 END)::BIGINT AS new FROM f),
+  k AS (SELECT label, label || ':' || copy AS key FROM (SELECT label, unnest(range(1, new + 1)) AS copy FROM new)), t AS (SELECT label, key, CASE label {' '.join(f'WHEN {_S(a)} THEN {_PICK(b, _S("template"), "key")}' for a, b in G.TEMPLATES.items())} END AS t FROM k)
+  SELECT text, label, 'original' AS kind FROM labelled UNION ALL SELECT {_TEMPLATED}, label, 'template' FROM t UNION ALL SELECT NULL, label, 'synonym' FROM labelled, range(2)""")
 def g11(spark, d):
-    """Three times the corpus, and two synonym variants of each row; counted by label."""
+    """Three times the corpus, and two synonym variants of each row (whose texts RE2 can't express: word limits go by Unicode)."""
     x = _labelled(spark, d)
-    total = x.count()
-    return G.expand_to(x, 3 * total).groupBy("label").agg(F.count("*").alias("row_count"))
+    return G.expand_to(x, 3 * x.count()).withColumn("text", F.when(F.col("kind") != "synonym", F.col("text")))

@@ -14,8 +14,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer splits than there are cores is dealt out to all of them: its texts cost more than the move."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("language"), F.col("source").alias("category"))
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("row_id"), "text", F.col("lang").alias("language"), F.col("source").alias("category"))
 
 
 MESSAGES = "messages AS (SELECT doc_id AS row_id, text, lang AS language, source AS category FROM documents)"
