@@ -83,7 +83,8 @@ def decontaminate(eval_: DataFrame, train: DataFrame, threshold: float = 0.8) ->
     """
     own = eval_.select("item_id", "text", words(F.col("text")).alias("own"))
     there = train.select(F.col("row_id").alias("train_id"), words(F.col("text")).alias("there"))
-    postings = there.select("train_id", F.explode("there").alias("word"))
+    asked = own.select(F.explode("own").alias("word")).distinct()  # only these words are counted and moved
+    postings = there.select("train_id", F.explode("there").alias("word")).join(asked, "word", "left_semi")
     rare = own.select("item_id", F.size("own").alias("m"), F.explode("own").alias("word")).join(postings.groupBy("word").agg(F.count("*").alias("df")), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word"))).filter(F.col("r") <= F.col("m") - F.ceil(threshold * F.col("m")) + 1)
     pairs = rare.select("item_id", "word").join(postings, "word").select("item_id", "train_id").distinct()

@@ -218,7 +218,11 @@ def w08(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "model", "n", F.bround("avg_confidence", 4).alias("avg_confidence"), near.alias("clients"))
 
 
-@query("w09_micro_batch_assign")
+@query("w09_micro_batch_assign", """WITH RECURSIVE m AS (SELECT user_id % 4 AS instance, event_id AS message_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+  b AS (SELECT instance, k, us AS first, 1 AS size, 0::BIGINT AS batch FROM m WHERE k = 1 UNION ALL
+    SELECT m.instance, m.k, CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN m.us ELSE b.first END, CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN 1 ELSE b.size + 1 END, b.batch + CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN 1 ELSE 0 END
+    FROM b JOIN m ON m.instance = b.instance AND m.k = b.k + 1)
+  SELECT m.instance, m.message_id, b.batch FROM b JOIN m USING (instance, k)""")
 def w09(spark, d):
     e = V.table(spark, d, "events")
     x = e.select((F.col("user_id") % 4).alias("instance"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
