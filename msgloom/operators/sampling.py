@@ -119,10 +119,10 @@ def balanced_resample(df: DataFrame, label: str = "label", key: str = "row_id",
     return x.filter("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*df.columns, "copy")
 
 
-def with_few(df: DataFrame, few: DataFrame, on: Column, most: int = 10_000) -> DataFrame:
+def with_few(df: DataFrame, few: DataFrame, on: Column | str, how: str = "inner", most: int = 10_000) -> DataFrame:
     """``df`` joined with ``few``, which is broadcast if it is counted to hold ``most`` rows or fewer."""
     small = few.limit(most + 1).count() <= most
-    return df.join(F.broadcast(few) if small else few, on)
+    return df.join(F.broadcast(few) if small else few, on, how)
 
 
 def rehearsal_mix(new: DataFrame, old: DataFrame, n: int = 2500, label: str = "label", key: str = "row_id", seed: int | str = 42) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from msgloom.functions import text as T
 from msgloom.operators.quality import LABELS, class_weights
+from msgloom.operators.sampling import with_few
 
 THRESHOLD = 0.7
 
@@ -64,7 +65,7 @@ def train_classifier(train: DataFrame, validation: DataFrame, features: int = 1
 
     number = F.array_position(F.array(*map(F.lit, LABELS)), F.col("label")) - 1
     weights = class_weights(train).select("label", "weight")
-    rows = train.join(F.broadcast(weights), "label").withColumn("target", number.cast("double"))
+    rows = with_few(train, weights, "label").withColumn("target", number.cast("double"))
     best = None
     for penalty in penalties:
         stages = [RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{N}_]+"), HashingTF(inputCol="tokens", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="x")]
@@ -86,6 +87,6 @@ def apply_policy(df: DataFrame, rules: DataFrame, threshold: float = THRESHOLD)
     known = rules.select(F.col("label").alias("effective_label"), F.col("action").alias("_rule"))
     why = F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty").when(F.col("unclassifiable").isNotNull(), "skipped").when(F.col("error").isNotNull(), "error")
     effective = F.when(why.isNotNull(), None).when(F.col("conf") < threshold, "ham").otherwise(F.col("label"))
-    joined = df.withColumn("_why", why).withColumn("effective_label", effective).join(F.broadcast(known), "effective_label", "left")
+    joined = with_few(df.withColumn("_why", why).withColumn("effective_label", effective), known, "effective_label", "left")
     reason = F.coalesce("_why", F.when(F.col("conf") < threshold, "below_threshold"), F.when(F.col("_rule").isNull(), "no_rule").otherwise("rule"))
     return joined.withColumn("action", F.when(F.col("_why").isNotNull(), "forward").otherwise(F.coalesce("_rule", F.lit("forward")))).withColumn("reason", reason).drop("_why", "_rule")

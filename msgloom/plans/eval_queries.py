@@ -46,15 +46,18 @@ def c02(spark, d):
     return C.score_messages(V.messages(spark, d), length_scorer).select("row_id", "pred")
 
 
-@query("c03_rule_scorer", f"""WITH {FEATURES}, s AS (SELECT *, {SCORE} AS risk FROM features), l AS (SELECT row_id, 1.0 - risk AS h, CASE WHEN emoji_count + len(regexp_extract_all(text, '!')) > 2 THEN 0.6 ELSE 0.1 END + risk / 2 AS s, risk + 0.1 * suspicious_keyword_count AS p FROM s)
-  SELECT row_id, CASE WHEN h >= s AND h >= p THEN 'ham' WHEN s >= p THEN 'spam' ELSE 'phishing' END AS pred, round(1 / (exp(h - greatest(h, s, p)) + exp(s - greatest(h, s, p)) + exp(p - greatest(h, s, p))), 6) AS conf FROM l""")
+RULED = f"""{FEATURES}, s AS (SELECT *, {SCORE} AS risk FROM features), l AS (SELECT row_id, 1.0 - risk AS h, CASE WHEN emoji_count + len(regexp_extract_all(text, '!')) > 2 THEN 0.6 ELSE 0.1 END + risk / 2 AS s, risk + 0.1 * suspicious_keyword_count AS p FROM s),
+  ruled AS (SELECT row_id, CASE WHEN h >= s AND h >= p THEN 'ham' WHEN s >= p THEN 'spam' ELSE 'phishing' END AS pred, 1 / (exp(h - greatest(h, s, p)) + exp(s - greatest(h, s, p)) + exp(p - greatest(h, s, p))) AS conf FROM l)"""
+
+
+@query("c03_rule_scorer", f"WITH {RULED} SELECT row_id, pred, round(conf, 6) AS conf FROM ruled")
 def c03(spark, d):
     return C.rule_scorer(V.noisy(spark, d)).select("row_id", "pred", F.round("conf", 6).alias("conf"))
 
 
 @query("c04_train_classifier")
 def c04(spark, d):
-    rows = P.stratified_split(V.strata(spark, d), {"validation": 0.2}, "train")
+    rows = P.stratified_split(V.labelled(spark, d), {"validation": 0.2}, "train")
     model = C.train_classifier(rows.filter("split = 'train'"), rows.filter("split = 'validation'"))
     return C.classify(model, rows).select("row_id", "label", "split", "pred")
 

@@ -170,6 +170,22 @@ def w03(spark, d):
     return R.stats_per_minute(actions(spark, d)).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+@query("w04_classify_stream", f"""WITH {Q.RULED}, why AS (SELECT r.*, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN r.row_id % 17 = 0 THEN 'skipped' END AS why FROM ruled r JOIN noisy USING (row_id))
+  SELECT row_id, CASE WHEN why IS NULL AND conf >= 0.45 AND pred = 'spam' THEN 'drop' WHEN why IS NULL AND conf >= 0.45 AND pred = 'phishing' THEN 'reject' ELSE 'forward' END AS action,
+    coalesce(why, CASE WHEN conf < 0.45 THEN 'below_threshold' WHEN pred = 'ham' THEN 'no_rule' ELSE 'rule' END) AS reason FROM why""")
+def w04(spark, d):
+    """Messages that arrive as files are scored, policed and written by action as a stream; what the sink holds at its end."""
+    from msgloom.streaming import streams
+
+    path = V.new_folder(spark)
+    x = V.noisy(spark, d).select("row_id", "text", F.when(F.col("row_id") % 17 == 0, "data_coding_0x04").alias("unclassifiable"), F.lit(None).cast("string").alias("error"))
+    x.write.parquet(f"{path}/in")
+    rules = spark.createDataFrame(Q._RULES, "label string, action string")
+    stream = streams.classify_stream(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in"), rules, 0.45)
+    streams.write_by_action(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("row_id", "action", "reason")
+
+
 def submits(spark, d):
     """Messages sent; every third is stored under its number in hex."""
     e = V.table(spark, d, "events").filter("event_type in ('view', 'click')").withColumn("ts", F.col("ts").cast("timestamp"))
