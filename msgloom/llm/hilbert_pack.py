@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, pieces_of, running_start, text_or_empty
+from msgloom.llm._io import buffer_of, materialize, passing, pieces_of, running_start, text_or_empty
 from msgloom.llm.rans_ids import BATCH_BYTES, packed, unpacked
 
 DIMS, BITS, BUCKETS, SEED = 4, 10, 1 << 13, 20231
@@ -85,6 +85,11 @@ def _tokens(df: DataFrame, tokenizer: str, end_id: int | None, batch_bytes: int)
 
 def pack(df: DataFrame, tokenizer: str, width: int = 1024, end_id: int | None = 0, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+    with passing() as keep:
+        return keep(materialize(_pieces(df, tokenizer, width, end_id, batch_bytes), "pack-pieces"))
+
+
+def _pieces(df: DataFrame, tokenizer: str, width: int, end_id: int | None, batch_bytes: int) -> DataFrame:
     tokens = materialize(_tokens(df, tokenizer, end_id, batch_bytes), "pack-tokens")
     dims = [f"v{k}" for k in range(DIMS)]
     scale = tokens.agg(*(F.avg(v) for v in dims), *(F.stddev_pop(v) for v in dims)).first()  # 2 * DIMS numbers

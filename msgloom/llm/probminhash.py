@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, only_keys_of, pieces_of
+from msgloom.llm._io import buffer_of, materialize, only_keys_of, passing, pieces_of
 from msgloom.llm.words import mix, shingles, weighted, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -239,6 +239,14 @@ def _outside_links(shared: DataFrame, comps: DataFrame, texts: DataFrame, thresh
 
 def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``df`` with a row number, and each row number's class."""
+    with passing() as keep:
+        base, named = _classes(df, id_col, threshold)
+        keep(base), keep(named)
+    per = named.groupBy("comp").agg(F.min("__near_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("__near_id").isNull(), "__near_id", "__row"))["__row"].alias("first"))
+    return base, named.join(per, "comp").select("__row", "class_id", "class_size", (F.col("__row") == F.col("first")).alias("kept"))
+
+
+def _classes(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     base = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "near-base")
     lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     digest = F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string")))
@@ -248,6 +256,7 @@ def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame,
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     turn = F.xxhash64("node", F.pmod("band", F.lit(LEADERS)))
     leaders = buckets.groupBy("band").agg(F.min_by("node", turn).alias("b"), F.count("*").alias("size")).filter("size > 1")
+    leaders = materialize(leaders, "near-leaders")  # apart from the join, so that a hot bucket can be split
     shared = materialize(buckets.join(leaders, "band"), "near-buckets")  # only buckets of two nodes or more
     known = materialize(shared.select("node").distinct(), "near-known")
     texts = only_keys_of(base.select(F.col("__row").alias("node"), F.col("text")), "node", known).join(known, "node", "left_semi")
@@ -259,9 +268,7 @@ def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame,
     if more.take(1):
         comps = components(links.unionByName(more))
     of = nodes.select("_digest", "node").join(comps, "node", "left").select("_digest", F.coalesce("comp", "node").alias("comp"))
-    named = materialize(signed.select("__row", "_digest").join(of, "_digest").join(base.select("__row", F.col(id_col).alias("__near_id")), "__row").select("__row", "comp", "__near_id"), "near-classes")
-    per = named.groupBy("comp").agg(F.min("__near_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("__near_id").isNull(), "__near_id", "__row"))["__row"].alias("first"))
-    return base, named.join(per, "comp").select("__row", "class_id", "class_size", (F.col("__row") == F.col("first")).alias("kept"))
+    return base, materialize(signed.select("__row", "_digest").join(of, "_digest").join(base.select("__row", F.col(id_col).alias("__near_id")), "__row").select("__row", "comp", "__near_id"), "near-classes")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize
+from msgloom.llm._io import buffer_of, materialize, passing
 
 MOST_BLOCKS = 1 << 19
 KEYS_PER_BLOCK = 16
@@ -90,6 +90,11 @@ def bloom_filter(keys: DataFrame, blocks: int) -> np.ndarray:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", default: str = "allow") -> DataFrame:
     """``id_col, host, path, rule, verdict`` of every page; ``rules`` has ``host, path, action``."""
+    with passing() as keep:
+        return keep(materialize(_judged(pages, rules, id_col, default), "url-verdicts"))
+
+
+def _judged(pages: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
     spark = pages.sparkSession
     listed = rules.select(F.concat("host", "path").alias("key"), "action", F.length("path").alias("n")).filter("key is not null")
     size = listed.agg(F.count("*"), F.collect_set("n")).first()  # path lengths: as many as the longest path at most
