@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, passing, pieces_of
+from msgloom.llm._io import buffer_of, forget, materialize, passing, pieces_of
 from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix, word_windows
@@ -403,6 +403,7 @@ def _spans(keyed: DataFrame, what: Wanted) -> DataFrame:
     marks = materialize(docs.filter(F.octet_length("text") >= what.least).mapInArrow(_anchor_rows(what), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
     grams = materialize(marks.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "repeat-shared-grams")  # apart from the join, so that a hot gram's anchors can be split
     shared = materialize(marks.join(grams, "g"), "repeat-shared")
+    forget(marks)
     found = _found(docs, _kinds(shared, F.count("*")), what)
     alone = found.filter("n = 1").select("id", "key", "g", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     several = materialize(found.filter("n > 1").select("g", "s", "a", "b"), "repeat-several")
@@ -450,18 +451,20 @@ def repeat_report(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BY
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"])
 
-    joined = _left(keyed, spans)
-    out = joined.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
-    return out.withColumnRenamed("id", id_col)
+    moved, still = _suspects(keyed, spans)
+    columns = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+    found = moved.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(report, columns)
+    zero = F.lit(0).cast("long")
+    whole = still.select(F.col("__id").alias("id"), F.octet_length("__text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("__text").cast("binary"), 256).alias("kept_sha256"), zero.alias("n_passages"), zero.alias("passage_bytes"))
+    return found.unionByName(whole).withColumnRenamed("id", id_col)
 
 
-def _left(keyed: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every row of ``keyed`` with its ``__spans`` or null: only rows that the bitmap names are joined."""
-    marked = keyed.withColumn("__suspect", _bitmap_udf(keyed, spans)("__key"))
+def _suspects(keyed: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``keyed`` that a bitmap names, joined with their ``__spans`` (or null), and the others, which don't move."""
+    inside = _bitmap_udf(keyed, spans)("__key")
     right = spans.select(F.col("id").alias("__i"), F.col("key").alias("__k"), F.col("spans").alias("__spans"))
-    moved = marked.filter("__suspect").join(right, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__i", "__k", "__suspect")
-    still = marked.filter("not __suspect").drop("__suspect").withColumn("__spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    return moved.unionByName(still)
+    moved = keyed.filter(inside).join(right, (F.col("__key") == F.col("__k")) & F.col("__id").eqNullSafe(F.col("__i")), "left").drop("__i", "__k")
+    return moved, keyed.filter(~inside)
 
 
 def _bitmap_udf(docs: DataFrame, found: DataFrame):
@@ -492,6 +495,6 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_
             out.append(x if y is None or not len(y) else _kept(x.encode(), merged(y, bool(min_words))).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = _left(keyed, spans)
+    moved, still = _suspects(keyed, spans)
     text = F.when(F.col("__spans").isNotNull(), cut("__text", "__spans")).otherwise(F.col("text"))
-    return joined.withColumn("text", text).select(*df.columns)
+    return moved.withColumn("text", text).select(*df.columns).unionByName(still.select(*df.columns))
