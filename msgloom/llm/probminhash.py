@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, materialize, only_keys_of, passing, pieces_of
+from msgloom.llm._io import buffer_of, holds, materialize, only_keys_of, passing, pieces_of
 from msgloom.llm.words import mix, shingles, weighted, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -274,7 +274,10 @@ def _classes(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, D
 def one_of_each(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df``, all columns, that are kept: one of each class."""
     base, final = _assigned(df, id_col, threshold)
-    return base.join(final.filter("kept").select("__row"), "__row", "left_semi").select(*df.columns)
+    gone = materialize(final.filter("not kept").select(F.col("__row").alias("__gone")), "near-gone")
+    suspect = holds(gone)  # rows outside the bitmap stay where they are
+    left = base.filter(suspect("__row")).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    return base.filter(~suspect("__row")).unionByName(left).select(*df.columns)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

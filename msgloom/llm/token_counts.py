@@ -6,7 +6,7 @@ memory than one of short texts. Inside a run every text, long or short, is split
 one narrow stage: no shuffle, whatever the sizes of keys or groups.
 
 Defined cases: a null text counts as the empty one (0 bytes, 0 tokens); repeated rows give repeated rows; a null id
-stays null; further columns are ignored; an empty table gives an empty table.
+stays null; further columns are ignored; an empty table gives an empty table. Pieces are looked up by 64-bit hashes.
 """
 
 from __future__ import annotations
