@@ -6,10 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_open: list[list[DataFrame]] = []
+#: The tables of each :func:`passing` that is open in this thread.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -40,8 +44,8 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
-    if _open:
-        _open[-1].append(out)
+    if _open.get():
+        _open.get()[-1].append(out)
     return out
 
 
@@ -56,7 +60,8 @@ def forget(*written: DataFrame) -> None:
 @contextmanager
 def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Within it, tables of :func:`materialize` are intermediate: they go at its end, but for those that the given function is called with."""
-    _open.append([])
+    own: list[DataFrame] = []
+    token = _open.set((*_open.get(), own))
     kept: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
@@ -68,10 +73,10 @@ def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
         done = True
     finally:
-        own = _open.pop()
+        _open.reset(token)
         forget(*(x for x in own if not done or x.written_to not in kept))
-        if done and _open:
-            _open[-1] += [x for x in own if x.written_to in kept]
+        if done and _open.get():
+            _open.get()[-1].extend(x for x in own if x.written_to in kept)
 
 
 def text_or_empty(df: DataFrame, *keys: str) -> DataFrame:
@@ -131,4 +136,42 @@ def running_start(df: DataFrame, part: str, size: str, start: str) -> DataFrame:
     return totals.select(part, F.coalesce(F.sum("_size").over(before), F.lit(0)).cast("long").alias(start))
 
 
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """``df`` (written), with ``index``: a row's place, from 0, among those of its ``group`` in ``order`` (nulls first).
+
+    Rows are dealt by ranges of (group, order), so a large group is many tasks' work. A task numbers its own runs; what a
+    run that began in an earlier partition has to add comes from one row a partition.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, last, at, run = TaskContext.get().partitionId(), 0, None, 0, -1
+        for batch in batches:
+            if not (n := batch.num_rows):
+                continue
+            keys = batch.column(group)
+            a, b = keys.slice(1), keys.slice(0, n - 1)
+            new = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[run < 0 or keys[0].as_py() != last], new])
+            runs = run + np.cumsum(starts)
+            first = np.where(starts, np.arange(n), 0)
+            first[0] = 0 if starts[0] else -at
+            places = np.arange(n) - np.maximum.accumulate(np.where(starts, first, first[0]))
+            columns = [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), pa.array(places), pa.array(runs == 0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_part", "_row", "_at", "_lead"])
+            last, at, run, row = keys[n - 1].as_py(), int(places[-1]) + 1, int(runs[-1]), row + n
+
+    schema = T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_at", T.LongType()), T.StructField("_lead", T.BooleanType())])
+    dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    own = materialize(dealt.mapInArrow(place, schema), name)
+    ends = own.groupBy("_part").agg(F.min_by(group, "_row").alias("first"), F.max_by(group, "_row").alias("last"), F.max_by("_at", "_row").alias("at"), F.max("_row").alias("row"))
+    bases, before, n = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["_part"]):  # a row a partition
+        base = n if before is not None and before["last"] == r["first"] else 0
+        bases += [(r["_part"], base)] if base else []
+        before, n = r, r["at"] + 1 + (base if r["at"] == r["row"] else 0)
+    more = df.sparkSession.createDataFrame(bases, "_part int, _base long")
+    index = F.col("_at") + F.when(F.col("_lead"), F.coalesce("_base", F.lit(0))).otherwise(0)
+    return own.join(F.broadcast(more), "_part", "left").withColumn("index", index).select(*df.columns, "index")
+
+
 LONG, INT, DOUBLE, STRING, BINARY = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType(), T.BinaryType()
