@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from msgloom.llm import ann_graph, conversation_repair, decontaminate, hilbert_pack, langid_ppm, merkle_manifest, probminhash, rans_ids, suffix_dedup, url_filter, warc_fixity
+from msgloom.llm import ann_graph, conversation_repair, decontaminate, divergence, hilbert_pack, langid_ppm, merkle_manifest, probminhash, rans_ids, suffix_dedup, url_filter, warc_fixity
 from msgloom.llm.token_counts import token_counts
 
 
@@ -62,6 +62,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.tampered_proofs(_table(spark, sf_dir, "documents"))
 
@@ -71,8 +75,8 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op3_suffix_array_repeats, op4_url_bloom_filter, op5_spaced_seed_overlaps, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts, op12_merkle_manifest, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_warc_merkle_fixity, op2_ann_graph_search, op3_suffix_array_repeats, op4_url_bloom_filter, op5_spaced_seed_overlaps, op6_hilbert_packing, op7_langid_ppm, op8_rans_token_ids, op9_probminhash_near_duplicates, op10_token_counts, op11_distribution_divergence, op12_merkle_manifest, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_merkle_manifest": merkle_manifest.ORACLE_SQL, "op13_conversation_repair": conversation_repair.ORACLE_SQL, "op1_warc_merkle_fixity": warc_fixity.ORACLE_SQL, "op4_url_bloom_filter": url_filter.ORACLE_SQL}
+    return {"op11_distribution_divergence": divergence.ORACLE_SQL, "op12_merkle_manifest": merkle_manifest.ORACLE_SQL, "op13_conversation_repair": conversation_repair.ORACLE_SQL, "op1_warc_merkle_fixity": warc_fixity.ORACLE_SQL, "op4_url_bloom_filter": url_filter.ORACLE_SQL}
