@@ -116,9 +116,8 @@ def _table(codes: str, alone: bool) -> list[dict]:
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         roles, codes = batch.column("roles").to_pylist(), batch.column("codes").to_pylist()
-        alone = [p == 0 and len(c) < CHUNK for p, c in zip(batch.column("part").to_pylist(), codes)]
         illegal = [sum(r[i : i + 2] not in _LEGAL for i in range(len(r) - 1)) for r in roles]
-        edits = [_table(c, a) for c, a in zip(codes, alone)]
+        edits = [_table(c, a) for c, a in zip(codes, batch.column("alone").to_pylist())]
         own = [pa.array(x, t) for x, t in (([r[0] for r in roles], pa.string()), ([r[-1] for r in roles], pa.string()), (illegal, pa.int64()), (edits, _EDITS))]
         columns = dict(zip(batch.schema.names, batch.columns)) | dict(zip(("first", "last", "illegal", "edits"), own))
         names = [x.split()[0] for x in _RECORD.split(", ")]
@@ -138,7 +137,7 @@ def _joined(a: dict, b: dict) -> dict:
                 edits[key] = min(own, edits.get(key, own))
     out = {k: a[k] + b[k] for k in ("size", "blank", "duplicate", "truncated")}
     turns = [x for x in (a["least"], b["least"], a["most"], b["most"]) if x is not None]
-    out |= {"least": min(turns, default=None), "most": max(turns, default=None), "first": a["first"], "last": b["last"], "part": a["part"] // FAN_IN}
+    out |= {"least": min(turns, default=None), "most": max(turns, default=None), "first": a["first"], "last": b["last"]}
     out["turns"] = a["turns"] + b["turns"] - (a["most"] is not None and a["most"] == b["least"])
     out["illegal"] = a["illegal"] + b["illegal"] + (a["last"] + b["first"] not in _LEGAL)
     return out | {"edits": [{"entry": e, "exit": x, "cost": c, "audit": s} for (e, x), (c, s) in edits.items()]}
@@ -157,7 +156,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
-def repairs(rows: DataFrame) -> DataFrame:
+def repairs(rows: DataFrame, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
     """``conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit`` of rows ``conv_id, turn, role, digest, fault``.
 
     ``fault`` is 1 if the text is blank, 2 if it is truncated, else 0; ``digest`` tells roles and texts apart.
@@ -171,16 +170,16 @@ def repairs(rows: DataFrame) -> DataFrame:
     repeat = F.col("fault").isin(0, 2) & (F.col("index") > F.col("_first"))
     fault = F.when(F.coalesce(repeat, F.lit(False)), 3).otherwise(F.col("fault"))
     code = F.when(fault.isin(1, 3), "D").when(fault == 2, F.upper(role)).otherwise(role)
-    one = own.select("conv_id", F.floor(F.col("index") / CHUNK).cast("long").alias("part"), "index", F.col("turn").cast("long").alias("turn"), role.alias("role"), fault.alias("fault"), code.alias("code"))
+    one = own.select("conv_id", F.floor(F.col("index") / chunk).cast("long").alias("part"), "index", F.col("turn").cast("long").alias("turn"), role.alias("role"), fault.alias("fault"), code.alias("code"))
     of = lambda c: F.array_join(F.transform("rows", lambda x: x[c]), "")
     many = lambda k: F.count_if(F.col("fault") == k).alias(("", "blank", "truncated", "duplicate")[k])
     chunks = one.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("index", "role", "code"))).alias("rows"), F.count("*").alias("size"), F.min("turn").alias("least"), F.max("turn").alias("most"), F.size(F.collect_set("turn")).cast("long").alias("turns"), many(1), many(2), many(3))
     chunks = chunks.select("conv_id", "part", "size", "least", "most", "turns", "blank", "duplicate", "truncated", of("role").alias("roles"), of("code").alias("codes"))
-    found = materialize(chunks.mapInArrow(_solved, kind), "repair-chunks")
-    alone = (F.col("part") == 0) & (F.col("size") < CHUNK)
+    alone = (F.col("part") == 0) & (F.col("size") < chunk)
+    found = materialize(chunks.withColumn("alone", alone).mapInArrow(_solved, kind), "repair-chunks")
     done, parts = found.filter(alone), found.filter(~alone)
     while (parts.agg(F.max("part")).head()[0] or 0) > 0:
-        up = parts.groupBy("conv_id", F.floor(F.col("part") / FAN_IN).cast("long").alias("up")).agg(F.collect_list(F.struct(*(c for c in parts.columns if c != "conv_id"))).alias("parts"))
+        up = parts.groupBy("conv_id", F.floor(F.col("part") / fan_in).cast("long").alias("up")).agg(F.collect_list(F.struct(*(c for c in parts.columns if c != "conv_id"))).alias("parts"))
         parts = materialize(up.mapInArrow(_merged, kind), "repair-parts")
     whole = done.unionByName(parts)
     ends = F.filter("edits", lambda x: (x["entry"] == START) & x["exit"].isin(*WHOLE))
@@ -272,7 +271,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
     return own.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("fate") == 0).alias("lost"), times).drop("time")
 
 
-def repaired(rows: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, chunk: int = CHUNK, fan_in: int = FAN_IN) -> DataFrame:
     """One row a conversation: its faults, the cheapest edits, and the digest of what they lead to.
 
     ``rows`` are ``conv_id, turn, role, text, lost``; of lost rows only the conversation counts.
@@ -281,7 +280,7 @@ def repaired(rows: DataFrame) -> DataFrame:
     there = rows.filter("not lost").select("conv_id", "turn", "role", "text", digest.alias("digest"))
     fault = F.when(~F.col("text").rlike(A_CHARACTER), 1).when(~F.col("text").rlike(SENTENCE_END), 2).otherwise(0)
     with passing() as keep:
-        heads = repairs(there.select("conv_id", "turn", "role", "digest", fault.alias("fault")))
+        heads = repairs(there.select("conv_id", "turn", "role", "digest", fault.alias("fault")), chunk, fan_in)
         stream = heads.withColumn("step", F.lit(0)).unionByName(there.withColumn("step", F.lit(1)), allowMissingColumns=True)
         stream = stream.unionByName(rows.filter("lost").select("conv_id", F.lit(2).alias("step")), allowMissingColumns=True)
         dealt = stream.repartition("conv_id").sortWithinPartitions("conv_id", "step", "turn", "role", "digest")
