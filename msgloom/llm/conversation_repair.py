@@ -3,10 +3,12 @@
 A conversation's role initials must spell ``(s?(ua)+)?``. Each row is kept, given the role that is due, or deleted, and rows
 are inserted; :func:`repairs` finds the cheapest edits, and of equally cheap ones those whose initials (the audit) come first
 in ASCII. A node of the search is (rows done, last role). An explicit stack is searched depth first, cheapest child on top;
-a branch ends where its cost and a lower bound of what the other rows cost exceed the incumbent (cost, audit), or where the
-node's dominance table holds a prefix that is no worse. An empty stack proves the incumbent best. A table entry may replace
-another because edits other than inserting consume a row: of two equally dear prefixes of one node none is the start of the
-other, so the smaller stays smaller whatever follows.
+a branch ends where its cost and a lower bound of what the other rows cost reach the incumbent's, or where the node's
+dominance table holds a prefix that costs no more. An empty stack proves the incumbent's cost least. A second search within
+that cost takes children in ASCII order. It meets a node's prefixes in ASCII order, so its table, too, only compares costs
+(an audit-first table would search everything below a node anew for each of its equally dear prefixes), and its first end
+proves the audit. Of two equally dear prefixes of one node none is the start of the other, as only inserting consumes no
+row, so the smaller stays smaller whatever follows.
 
 Rows are numbered by ranges of (conversation, turn), so a conversation that holds most rows is many tasks' work: it is cut
 into chunks of ``CHUNK`` rows, each solved from every role that may stand before it to every role it may end in, and those
@@ -23,7 +25,7 @@ ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from msgloom.llm import sql
 from msgloom.llm._io import materialize, numbered, passing
 
-CHUNK, FAN_IN = 128, 64
+CHUNK, FAN_IN = 32, 64
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 #: Last role: none yet, system, user, assistant; after each, the one that a new role leads to, and those that a kept one does.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -70,32 +72,43 @@ def cheapest(codes: str, entry: int, exits: frozenset[int]) -> tuple[int, str] |
 
     A row's code is its role's initial (``o``: another), in upper case if its text is truncated; ``D`` if it must go.
     """
-    n = len(codes)
     after, before = _bounds(codes)
-    found: tuple[int, str] | None = None
-    least: dict[tuple[int, int], tuple[int, str]] = {}
-    stack = [(0, "", 0, entry)]
-    while stack:
-        cost, audit, i, last = stack.pop()
-        if found and (cost + (before if last == START else after)[i], audit) > (found[0], found[1][: len(audit)]):
-            continue
-        if (known := least.get((i, last))) and known <= (cost, audit):
-            continue
-        least[i, last] = cost, audit
-        if i == n and last in exits and (not found or (cost, audit) < found):
-            found = cost, audit
-        nodes = [(cost + INSERT, audit + "I", i, DUE[last])]
-        if i < n:
-            c = codes[i]
-            nodes.append((cost + DELETE, audit + "D", i + 1, last))
-            if c != "D":
-                own = cost + TRUNCATED * c.isupper()
-                nodes.append((own + REROLE, audit + "R", i + 1, DUE[last]))
-                if (to := KEPT[last].get(c.lower())) is not None:
-                    nodes.append((own, audit + "K", i + 1, to))
-        nodes = [x for x in nodes if not exits.isdisjoint(REACHES[x[3]])]
-        stack += sorted(nodes, key=lambda x: (x[0] + (before if x[3] == START else after)[x[2]], x[1]), reverse=True)
-    return found
+
+    def bound(node: tuple[int, str, int, int]) -> int:
+        return node[0] + (before if node[3] == START else after)[node[2]]
+
+    def search(most: float, order: Callable, strict: bool) -> Iterator[tuple[int, str]]:
+        """Ends found depth first, the first child in order on top, while they cost at most ``most`` (``strict``: less than those before)."""
+        least: dict[tuple[int, int], int] = {}
+        stack = [(0, "", 0, entry)]
+        while stack:
+            node = stack.pop()
+            cost, audit, i, last = node
+            if bound(node) > most or least.get((i, last), cost + 1) <= cost:
+                continue
+            least[i, last] = cost
+            if i == len(codes) and last in exits:
+                yield cost, audit
+                most = cost - 1 if strict else most
+            nodes = [x for x in _edited(codes, node) if not exits.isdisjoint(REACHES[x[3]])]
+            stack += sorted(nodes, key=order, reverse=True)
+
+    found = list(search(float("inf"), lambda x: (bound(x), x[1]), True))
+    return next(search(found[-1][0], lambda x: x[1], False)) if found else None
+
+
+def _edited(codes: str, node: tuple[int, str, int, int]) -> Iterator[tuple[int, str, int, int]]:
+    """The nodes that one edit more leads to."""
+    cost, audit, i, last = node
+    yield cost + INSERT, audit + "I", i, DUE[last]
+    if i < len(codes):
+        c = codes[i]
+        yield cost + DELETE, audit + "D", i + 1, last
+        if c != "D":
+            own = cost + TRUNCATED * c.isupper()
+            yield own + REROLE, audit + "R", i + 1, DUE[last]
+            if (to := KEPT[last].get(c.lower())) is not None:
+                yield own, audit + "K", i + 1, to
 
 
 WHOLE = frozenset((START, ASSISTANT))

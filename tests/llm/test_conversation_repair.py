@@ -117,7 +117,7 @@ def odd():
     return rows + long + [(78, i, "user", "Same.") for i in range(300)] + [(k, None, "user", None) for k in range(200, 260)]
 
 
-@pytest.mark.parametrize("chunk", [3, 128])
+@pytest.mark.parametrize("chunk", [3, 32])
 def test_against_brute_force(spark, chunk):
     rows = odd()
     df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in ("part", "index", "fault", "lost", "fate", "digest", "step", "edits")})
