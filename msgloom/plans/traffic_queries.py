@@ -187,10 +187,10 @@ def w04(spark, d):
 
 
 def submits(spark, d):
-    """Messages sent; every third is stored under its number in hex."""
+    """Messages sent; two thirds are stored under their number in hex, half of those with a leading 0."""
     e = V.table(spark, d, "events").filter("event_type in ('view', 'click')").withColumn("ts", F.col("ts").cast("timestamp"))
     number = F.col("event_id") + 100000
-    stored = F.when(F.col("event_id") % 3 == 0, F.lower(F.hex(number))).when(F.col("event_id") % 3 == 1, number.cast("string")).otherwise(F.concat(F.lit("0a"), number.cast("string")))
+    stored = F.when(F.col("event_id") % 3 == 0, F.lower(F.hex(number))).when(F.col("event_id") % 3 == 1, number.cast("string")).otherwise(F.concat(F.lit("0"), F.lower(F.hex(number))))
     return e.select(stored.alias("message_id"), "ts")
 
 
@@ -198,11 +198,10 @@ def receipts(spark, d):
     """A receipt of each, 1 to 36 hours later."""
     e = V.table(spark, d, "events").filter("event_type in ('view', 'click')").withColumn("ts", F.col("ts").cast("timestamp"))
     number = F.col("event_id") + 100000
-    named = F.when(F.col("event_id") % 3 == 2, F.concat(F.lit("a"), number.cast("string"))).otherwise(number.cast("string"))
-    return e.select(F.col("event_id").alias("receipt_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), (1 + F.col("event_id") % 36).cast("int"))).alias("ts"), F.lit(4).alias("esm_class"), F.concat(F.lit("id:"), named, F.lit(" sub:001 dlvrd:001 stat:DELIVRD")).alias("report"))
+    return e.select(F.col("event_id").alias("receipt_id"), (F.col("ts") + F.make_dt_interval(F.lit(0), (1 + F.col("event_id") % 36).cast("int"))).alias("ts"), F.lit(4).alias("esm_class"), F.concat(F.lit("id:"), number.cast("string"), F.lit(" sub:001 dlvrd:001 stat:DELIVRD")).alias("report"))
 
 
-@query("w05_correlate_receipts", """SELECT event_id AS receipt_id, CASE event_id % 3 WHEN 0 THEN lower(to_hex(event_id + 100000)) WHEN 1 THEN (event_id + 100000)::VARCHAR ELSE '0a' || (event_id + 100000) END AS message_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS form
+@query("w05_correlate_receipts", """SELECT event_id AS receipt_id, CASE event_id % 3 WHEN 0 THEN lower(to_hex(event_id + 100000)) WHEN 1 THEN (event_id + 100000)::VARCHAR ELSE '0' || lower(to_hex(event_id + 100000)) END AS message_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS form
   FROM events WHERE event_type IN ('view', 'click') AND 1 + event_id % 36 <= 24""")
 def w05(spark, d):
     return R.match_receipts(submits(spark, d), receipts(spark, d)).select("receipt_id", "message_id", "form")
@@ -215,6 +214,30 @@ def w06(spark, d):
     return R.unmatched_receipts(r, R.match_receipts(submits(spark, d), r)).select("receipt_id")
 
 
+def _end(df, columns):
+    """One row two days after all others, so that the watermark passes them."""
+    last = df.agg((F.max("ts") + F.make_dt_interval(F.lit(2))).alias("ts"))
+    return df.unionByName(last.select("ts", *(F.lit(v).alias(c) for c, v in columns.items())), allowMissingColumns=True)
+
+
+def _stream(spark, df, path):
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+@query("w06_settled_stream", """WITH r AS (SELECT event_id AS receipt_id, event_id % 3 AS k, event_id + 100000 AS number, 1 + event_id % 36 AS hours FROM events WHERE event_type IN ('view', 'click'))
+  SELECT receipt_id, CASE WHEN hours <= 24 THEN CASE k WHEN 0 THEN lower(to_hex(number)) WHEN 1 THEN number::VARCHAR ELSE '0' || lower(to_hex(number)) END END AS message_id, CASE WHEN hours <= 24 THEN CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END END AS form FROM r""")
+def w06_stream(spark, d):
+    """All receipts of a stream, matched or not; what the sink holds at its end."""
+    from msgloom.streaming.receipts import settled_receipts
+    from msgloom.streaming.state import write_available
+
+    path = V.new_folder(spark)
+    sent = _stream(spark, _end(submits(spark, d), {"message_id": "end"}), f"{path}/sent")
+    back = _stream(spark, _end(receipts(spark, d), {"receipt_id": -1, "esm_class": 4, "report": "id:end "}), f"{path}/back")
+    return write_available(settled_receipts(sent, back), f"{path}/out", f"{path}/state").select("receipt_id", "message_id", "form")
+
+
 @query("w07_client_sessions", f"""{_A}, a AS (SELECT *, CASE WHEN timestamp >= lag(timestamp) OVER w + INTERVAL 6 HOURS OR lag(timestamp) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM audit WHERE entry_type = 'prediction' WINDOW w AS (PARTITION BY client_ip ORDER BY timestamp)),
   s AS (SELECT *, sum(new) OVER (PARTITION BY client_ip ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS session FROM a)
   SELECT client_ip, strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(timestamp) + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS messages FROM s GROUP BY client_ip, session""")
@@ -234,12 +257,29 @@ def w08(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "model", "n", F.bround("avg_confidence", 4).alias("avg_confidence"), near.alias("clients"))
 
 
-@query("w09_micro_batch_assign", """WITH RECURSIVE m AS (SELECT user_id % 4 AS instance, event_id AS message_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts), event_id) AS k FROM events),
+_BATCHED = """WITH RECURSIVE m AS (SELECT user_id % 4 AS instance, event_id AS message_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id % 4 ORDER BY epoch_us(ts), event_id) AS k FROM events),
   b AS (SELECT instance, k, us AS first, 1 AS size, 0::BIGINT AS batch FROM m WHERE k = 1 UNION ALL
     SELECT m.instance, m.k, CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN m.us ELSE b.first END, CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN 1 ELSE b.size + 1 END, b.batch + CASE WHEN b.size >= 8 OR m.us - b.first > 3600000000 THEN 1 ELSE 0 END
     FROM b JOIN m ON m.instance = b.instance AND m.k = b.k + 1)
-  SELECT m.instance, m.message_id, b.batch FROM b JOIN m USING (instance, k)""")
-def w09(spark, d):
+  SELECT m.instance, m.message_id, b.batch FROM b JOIN m USING (instance, k)"""
+
+
+def _arrivals(spark, d):
     e = V.table(spark, d, "events")
-    x = e.select((F.col("user_id") % 4).alias("instance"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
-    return R.micro_batch_assign(x, 8, 3_600_000.0)
+    return e.select((F.col("user_id") % 4).alias("instance"), F.col("event_id").alias("message_id"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("w09_micro_batch_assign", _BATCHED)
+def w09(spark, d):
+    return R.micro_batch_assign(_arrivals(spark, d), 8, 3_600_000.0)
+
+
+@query("w09_micro_batch_stream", _BATCHED)
+def w09_stream(spark, d):
+    """The same of a stream; what the sink holds at its end."""
+    from msgloom.streaming.batcher import micro_batches
+    from msgloom.streaming.state import write_available
+
+    path = V.new_folder(spark)
+    x = _stream(spark, _end(_arrivals(spark, d), {"instance": 99, "message_id": -1}), f"{path}/in")
+    return write_available(micro_batches(x, 8, 3_600_000.0), f"{path}/out", f"{path}/state")

@@ -37,14 +37,6 @@ def write_by_action(stream: DataFrame, path: str, checkpoint: str, trigger: dict
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def correlate_receipts(submits: DataFrame, receipts: DataFrame, hours: int = 24) -> DataFrame:
-    """Receipts within ``hours`` of their message: an interval join whose state the watermarks bound; one receipt a message."""
-    s = submits.select("message_id", F.col("ts").alias("submit_ts")).withWatermark("submit_ts", "10 minutes")
-    c = traffic.receipt_candidates(receipts.withWatermark("ts", "10 minutes")).withColumnRenamed("message_id", "candidate")
-    near = F.expr(f"message_id = candidate AND receipt_ts >= submit_ts AND receipt_ts <= submit_ts + INTERVAL {hours} HOURS")
-    return s.join(c, near).select("message_id", "receipt_id", "receipt_ts", "form").dropDuplicatesWithinWatermark(["message_id"])
-
-
 def client_sessions(stream: DataFrame, gap: str = "120 seconds", late: str = "5 minutes") -> DataFrame:
     return traffic.client_sessions(stream.withWatermark("ts", late), gap)
 

@@ -125,13 +125,6 @@ def test_audit_stats_stream(spark, tmp_path):
     assert {tuple(r) for r in got.select(*pick).collect()} == {tuple(r) for r in streams.audit_stats(x, "1 day").select(*pick).collect()}
 
 
-def test_receipts_stream(spark, tmp_path):
-    s, r = traffic_queries.submits(spark, SF), traffic_queries.receipts(spark, SF)
-    got = collected(spark, streams.correlate_receipts(as_stream(spark, s, tmp_path, "s"), as_stream(spark, r, tmp_path, "r")), tmp_path, "append")
-    want = {(x["message_id"], x["receipt_id"]) for x in traffic.match_receipts(s, r).collect()}
-    assert {(x["message_id"], x["receipt_id"]) for x in got.collect()} == want and want
-
-
 def test_classify_stream_writes_by_action(spark, tmp_path):
     x = views.labelled(spark, SF).select("row_id", "text", F.lit(None).cast("string").alias("unclassifiable"), F.lit(None).cast("string").alias("error"))
     rules = spark.createDataFrame([("spam", "drop"), ("phishing", "reject")], "label string, action string")
