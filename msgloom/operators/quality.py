@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from msgloom.functions import text as T
+from msgloom.operators.sampling import with_few
+from msgloom.sources.scratch import written
 
 LABELS = ["ham", "spam", "phishing"]
 #: What corrupted rows look like; the last drops every one-word text.
@@ -40,29 +42,61 @@ def fix_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("label", fixed_label(F.col("text"), F.col("label")))
 
 
+def digest_of(keys: list[str]) -> Column:
+    """A SHA-256 of the keys' values, 32 bytes however long they are; null is a value of its own."""
+    texts = [F.col(k).cast("string") for k in keys]
+    return F.unhex(F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)), 256))
+
+
 def dedup_keep_first(df: DataFrame, keys: list[str], order: str = "row_id") -> DataFrame:
-    """The first row by ``order`` of each key: an aggregate that combines before the shuffle, so hot keys stay small."""
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
-    return first.select(*keys, "_first.*").select(*df.columns)
+    """The first row by ``order`` of each key; of rows that are equal in both, one.
+
+    ``df`` is written once, with digests. Only digests and orders are shuffled, combined before they are, so a hot key stays
+    small and no text moves; the surplus rows' numbers then leave the table by a join that broadcasts them if they are few.
+    """
+    own = written(df.select(*df.columns, digest_of(keys).alias("_digest"), F.monotonically_increasing_id().alias("_row")), "texts")
+    slim = own.select("_digest", F.col(order).alias("_order"), "_row")
+    several = slim.groupBy("_digest").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    several = slim.join(several, "_digest")
+    kept = several.filter(F.col("_order").eqNullSafe(F.col("_first"))).groupBy("_digest").agg(F.min("_row").alias("_kept"))
+    surplus = written(several.join(kept, "_digest").filter("_row <> _kept").select("_row"), "surplus")
+    return with_few(own, surplus, "_row", "left_anti").select(*df.columns)
 
 
 def dedup_pairs(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["text", "label"])
 
 
-def duplicate_texts(df: DataFrame) -> DataFrame:
-    return df.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1")
+def text_counts(df: DataFrame) -> DataFrame:
+    """How often each text occurs, by its digest."""
+    return df.groupBy(digest_of(["text"]).alias("digest")).agg(F.count("*").alias("n"))
 
 
 def duplicate_report(df: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` texts that occur most, with a preview."""
-    return duplicate_texts(df).orderBy(F.desc("n"), "text").limit(k).select(F.substring("text", 1, 50).alias("preview"), "n")
+    """The ``k`` texts that occur most, with a preview; of equally frequent ones, the first in order.
+
+    Counted by digest. Texts are read again only for digests that are as frequent as the ``k``-th, and one of each is kept.
+    """
+    n = written(text_counts(df).filter("n > 1"), "duplicates")
+    least = n.orderBy(F.desc("n")).limit(k).agg(F.min("n")).head()[0]
+    top = n.filter(F.col("n") >= F.lit(least))
+    texts = with_few(df.select("text", digest_of(["text"]).alias("digest")), top, "digest").dropDuplicates(["digest"])
+    return texts.orderBy(F.desc("n"), "text").limit(k).select(F.substring("text", 1, 50).alias("preview"), "n")
 
 
 def clean_dataset(df: DataFrame) -> DataFrame:
-    """Clean, drop corrupted rows, relabel, keep the first of equal texts: one shuffle."""
-    return dedup_keep_first(fix_labels(valid_entries(df.withColumn("text", T.clean_text(F.col("text"))))), ["text"])
+    """Clean, drop corrupted rows, relabel, keep the first of equal texts.
+
+    The three text rules are one generator over the cleaned text: as columns and filters they would be pushed down to the
+    scan, and each would clean the text for itself.
+    """
+
+    def ruled(text: Column) -> Column:
+        return F.when(is_valid(text), F.array(F.struct(text.alias("text"), fixed_label(text, F.col("label")).alias("label"))))
+
+    rest = [c for c in df.columns if c not in ("text", "label")]
+    cleaned = df.select(*rest, F.inline_outer(T.let(T.clean_text(F.col("text")), ruled))).filter("text is not null")
+    return dedup_keep_first(cleaned.select(*df.columns), ["text"])
 
 
 def contamination_rate(eval_: DataFrame, train: DataFrame) -> DataFrame:
@@ -76,22 +110,38 @@ def words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1))
 
 
+def _word_sets(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``key, word`` of every text's different words (an outer generator: Spark would tokenise twice to skip empty ones)."""
+    return df.select(F.col(key).alias(name), F.explode_outer(words(F.col("text"))).alias("word")).filter("word is not null")
+
+
 def decontaminate(eval_: DataFrame, train: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Rows of ``eval_`` (item_id, text) of which no train text holds ``threshold`` of the words, or the whole text.
 
-    Prefix filter: of m words, a text with enough of them holds one of the ``m - ceil(threshold * m) + 1`` rarest.
+    Words that both sides have get integers in one order of rarity. Of m words a text must hold ``c = ceil(threshold * m)``,
+    so it has one of the ``m - c + 1`` rarest; where they first meet, at the item's p-th and the text's q-th word in that
+    order, at most ``min(m - p, size - q)`` can be shared. Pairs that pass are verified on the sorted integers.
     """
-    own = eval_.select("item_id", "text", words(F.col("text")).alias("own"))
-    there = train.select(F.col("row_id").alias("train_id"), words(F.col("text")).alias("there"))
-    asked = own.select(F.explode("own").alias("word")).distinct()  # only these words are counted and moved
-    postings = there.select("train_id", F.explode("there").alias("word")).join(asked, "word", "left_semi")
-    rare = own.select("item_id", F.size("own").alias("m"), F.explode("own").alias("word")).join(postings.groupBy("word").agg(F.count("*").alias("df")), "word", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = rare.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("df", "word"))).filter(F.col("r") <= F.col("m") - F.ceil(threshold * F.col("m")) + 1)
-    pairs = rare.select("item_id", "word").join(postings, "word").select("item_id", "train_id").distinct()
-    shared = F.size(F.array_intersect("own", "there"))
-    hits = pairs.join(own.select("item_id", "own"), "item_id").join(there, "train_id").filter(shared >= threshold * F.size("own")).select("item_id").distinct()
-    same = own.select("item_id", "text").join(train.select("text").distinct(), "text", "left_semi").select("item_id")
-    return eval_.join(hits.unionByName(same).distinct(), "item_id", "left_anti")
+    own = written(_word_sets(eval_, "item_id", "item_id"), "words")
+    asked = own.select("word").distinct()  # only these words are counted and moved
+    seen = written(with_few(_word_sets(train, "row_id", "train_id"), asked, "word", "left_semi"), "postings")
+    rarity = seen.groupBy("word").agg(F.count("*").alias("df")).repartitionByRange("df", "word").sortWithinPartitions("df", "word")
+    rarity = written(rarity.select("word", F.monotonically_increasing_id().alias("id")), "rarity")
+    sets = with_few(seen, rarity, "word").groupBy("train_id").agg(F.sort_array(F.collect_list("id")).alias("there"))
+    sets = written(sets.withColumn("size", F.size("there")), "sets")
+    items = with_few(own, rarity, "word", "left").groupBy("item_id").agg(F.count("*").cast("int").alias("m"), F.sort_array(F.collect_list("id")).alias("own"))
+    items = items.withColumn("c", F.ceil(threshold * F.col("m")).cast("int")).withColumn("unseen", F.col("m") - F.size("own"))
+    items = written(items.filter(F.size("own") >= F.col("c")), "items")  # words that no train text has are its rarest
+    rare = items.select("item_id", "m", "c", F.posexplode(F.slice("own", F.lit(1), F.greatest(F.col("m") - F.col("c") + 1 - F.col("unseen"), F.lit(0)))).alias("p", "id"), "unseen")
+    rare = rare.withColumn("rest", F.col("m") - F.col("p") - F.col("unseen")).select("item_id", "c", "rest", "id")
+    least = items.agg(F.min("c")).head()[0]
+    posted = sets.filter(F.col("size") >= F.lit(least)).select("train_id", "size", F.posexplode("there").alias("q", "id"))
+    pairs = with_few(posted, rare, "id").filter(F.least(F.col("rest"), F.col("size") - F.col("q")) >= F.col("c")).select("item_id", "train_id").distinct()
+    verified = pairs.join(items.select("item_id", "own", "c"), "item_id").join(sets.select("train_id", "there"), "train_id")
+    hits = verified.filter(F.size(F.array_intersect("own", "there")) >= F.col("c")).select("item_id")
+    exact = eval_.select("item_id", digest_of(["text"]).alias("digest"), "text").filter("text is not null")
+    same = with_few(train.filter("text is not null").select(digest_of(["text"]).alias("digest")), exact.select("digest", "item_id"), "digest").select("item_id")
+    return eval_.join(written(hits.unionByName(same).distinct(), "leaks"), "item_id", "left_anti")
 
 
 # -- statistics ----------------------------------------------------------------------------------------------------------
@@ -157,7 +207,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     """100 less 0.1 a duplicated text, 0.5 an empty one and 0.2 an encoding defect; 0 to 100."""
     flags = text_quality(df).select("empty_text", "encoding_issues")
     score = 100 - 0.1 * F.col("duplicates") - 0.5 * F.col("empty_text") - 0.2 * F.col("encoding_issues")
-    return duplicate_texts(df).agg(F.count("*").alias("duplicates")).crossJoin(flags).select("duplicates", "empty_text", "encoding_issues", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4).alias("score"))
+    return text_counts(df).filter("n > 1").agg(F.count("*").alias("duplicates")).crossJoin(flags).select("duplicates", "empty_text", "encoding_issues", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 4).alias("score"))
 
 
 def validate(df: DataFrame, most: int = 20) -> DataFrame:
@@ -173,7 +223,7 @@ def validate(df: DataFrame, most: int = 20) -> DataFrame:
     counts = x.agg(F.count("*").alias("rows"), null("text").alias("null_text"), null("label").alias("null_label"), F.count_if(F.length("text") == 0).alias("empty_text"), F.count_if(odd).alias("n_invalid"))
     worst = x.filter(odd).groupBy(F.substring("label", 1, 50).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most)
     worst = worst.agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("invalid_labels"))
-    surplus = x.filter("text is not null").groupBy("text").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("surplus"))
+    surplus = text_counts(x.filter("text is not null")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
     fine = (F.col("rows") > 0) & (F.col("null_text") + F.col("null_label") + F.col("n_invalid") == 0) & (F.col("missing") == "")
     return counts.crossJoin(worst).crossJoin(surplus).withColumn("missing", F.lit(",".join(missing))).withColumn("passed", fine)
 

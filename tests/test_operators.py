@@ -1,5 +1,9 @@
 """Operators on small tables: metrics, determinism under repartitioning, policy, streams against batch, sources."""
 
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +179,53 @@ def test_dataset_round_trip(spark, tmp_path):
     writers.write_dataset(x, str(tmp_path / "d"), "csv")
     back = readers.read_labelled(spark, str(tmp_path / "d"), "csv")
     assert {(r["text"], r["label"]) for r in back.collect()} == {('a "quoted", text', "ham"), ("line\nbreak", "spam")}
+
+
+# -- exact duplicates and leaks by digests and word numbers ----------------------------------------------------------------
+
+
+def test_first_of_equal_texts(spark):
+    """Ties of the order, null orders and null texts, hot texts; the same at any partitioning."""
+    rows = [(i, f"text {i % 7}" if i % 11 else None, "x") for i in range(200)] + [(None, "text 1", "late"), (None, "alone", "y"), (3, "text 3", "x"), (5, "hot", "a"), (5, "hot", "a")]
+    df = spark.createDataFrame(rows, "row_id long, text string, label string")
+    for n in (1, 5):
+        got = quality.dedup_keep_first(df.repartition(n), ["text"]).collect()
+        first = {}
+        for i, text, _ in rows:
+            first[text] = min((x for x in (first.get(text), i) if x is not None), default=None)
+        assert sorted(map(str, ((r["text"], r["row_id"]) for r in got))) == sorted(map(str, first.items()))
+    assert quality.dedup_keep_first(df.limit(0), ["text"]).count() == 0
+    pairs = quality.dedup_keep_first(df, ["text", "label"]).count()
+    assert pairs == len({r[1:] for r in rows})
+
+
+def test_digests_tell_columns_apart(spark):
+    df = spark.createDataFrame([("a", "b1"), ("ab", "1"), (None, "x"), ("-", "x"), ("", None), (None, "")], "a string, b string")
+    assert df.select(quality.digest_of(["a", "b"]).alias("d")).distinct().count() == 6
+
+
+def test_text_counts_move_no_text(spark, capsys):
+    df = spark.createDataFrame([("a",), ("a",), ("b",)], "text string")
+    quality.text_counts(df).explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def brute_leaks(items, texts, threshold):
+    sets = [set(re.findall(r"\w+", (t or "").lower())) for _, t in texts]
+    gone = set()
+    for key, text in items:
+        own = set(re.findall(r"\w+", (text or "").lower()))
+        if own and any(len(own & s) >= math.ceil(threshold * len(own)) for s in sets) or text is not None and any(text == t for _, t in texts):
+            gone.add(key)
+    return {k for k, _ in items} - gone
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_leaks_against_brute_force(spark, threshold):
+    r = random.Random(8)
+    vocabulary = [f"w{int(r.paretovariate(0.7)) % 90}" for _ in range(400)]
+    texts = [(i, " ".join(r.choices(vocabulary, k=r.choice([3, 10, 40])))) for i in range(80)] + [(90, None), (91, ""), (92, "!!!"), (93, "All New words")]
+    items = [(i, " ".join(r.choices(vocabulary + ["unseen", "other"], k=r.choice([1, 2, 4, 9, 12])))) for i in range(120)] + [(200, None), (201, ""), (202, "!!!"), (203, "all NEW words, words")]
+    got = quality.decontaminate(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "row_id long, text string"), threshold)
+    assert {x["item_id"] for x in got.collect()} == brute_leaks(items, texts, threshold)
+    assert quality.decontaminate(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([], "row_id long, text string"), threshold).count() == len(items)
