@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
-from msgloom.operators.audit import apply_retention
 from msgloom.operators.evaluate import summary
 from msgloom.plans import eval_queries as Q
 from msgloom.plans import views as V
 from msgloom.plans.registry import query
+from msgloom.sources import audit_store
 from msgloom.sources import readers as S
 from msgloom.sources import writers as K
 
@@ -182,5 +184,7 @@ def k05(spark, d):
 
 @query("k06_apply_retention", f"WITH {V.AUDIT} SELECT event_id AS number, timestamp < '2024-01-21'::TIMESTAMP AS old FROM audit")
 def k06(spark, d):
-    keep, old = apply_retention(V.logged(spark, d), F.lit("2024-01-31").cast("timestamp"), 10)
-    return keep.select("number", F.lit(False).alias("old")).unionByName(old.select("number", F.lit(True).alias("old")))
+    """Entries left in the store, and those in the archive."""
+    path, archive = V.stored(spark, d), V.new_folder(spark)
+    audit_store.retain(spark, path, datetime(2024, 1, 31, tzinfo=UTC), 10, archive)
+    return spark.read.parquet(path).select("number", F.lit(False).alias("old")).unionByName(spark.read.parquet(archive).select("number", F.lit(True).alias("old")))

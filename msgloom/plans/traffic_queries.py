@@ -10,6 +10,7 @@ from msgloom.plans import eval_queries as Q
 from msgloom.plans import views as V
 from msgloom.plans.registry import query
 from msgloom.plans.text_queries import PRIORITY, TITLE
+from msgloom.sources import audit_store
 
 _A = f"WITH {V.AUDIT}"
 _TYPE = "CASE entry_type WHEN 'prediction' THEN 'PredictionEvent' WHEN 'feedback' THEN 'FeedbackEvent' WHEN 'access_denied' THEN 'SecurityEvent' ELSE 'SystemEvent' END"
@@ -17,7 +18,7 @@ _TYPE = "CASE entry_type WHEN 'prediction' THEN 'PredictionEvent' WHEN 'feedback
 
 @query("f09_query_audit", f"{_A} SELECT event_id AS number, entry_type, client_ip FROM audit WHERE entry_type = 'prediction' AND timestamp BETWEEN '2024-01-05' AND '2024-01-20' ORDER BY timestamp DESC LIMIT 100")
 def f09(spark, d):
-    return A.query_audit(V.logged(spark, d), "prediction", "2024-01-05", "2024-01-20", limit=100).select("number", "entry_type", "client_ip")
+    return audit_store.query(spark, V.stored(spark, d), "prediction", "2024-01-05", "2024-01-20", limit=100).select("number", "entry_type", "client_ip")
 
 
 def _events(spark, d):
@@ -31,6 +32,16 @@ def f10(spark, d):
     return page.select(F.date_format("eventTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "title", "priority", "total", "has_more")
 
 
+@query("f10_next_page", f"""{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type FROM audit WHERE timestamp >= '2024-01-10'), hit AS (SELECT *, count(*) OVER () AS total FROM e WHERE type = 'SecurityEvent')
+  SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS at, {TITLE} AS title, priority, total > 40 AS has_more FROM hit ORDER BY timestamp DESC LIMIT 20 OFFSET 20""")
+def f10_next(spark, d):
+    """The second page of the days from a bound on, by the key of the first page's last row."""
+    events = A.to_events(audit_store.read(spark, V.stored(spark, d), "2024-01-10")).filter("eventType = 'SecurityEvent'")
+    last = audit_store.event_page(events).orderBy("eventTime", F.desc("id")).select("eventTime", "id").first()
+    page = audit_store.event_page(events, after=tuple(last) if last else None)
+    return page.select(F.date_format("eventTime", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "title", "priority", "has_more")
+
+
 @query("a12_audit_statistics", f"""{_A} SELECT count(*) AS total, count(*) FILTER (entry_type = 'prediction') AS predictions, count(*) FILTER (entry_type = 'feedback') AS feedback, count(*) FILTER (entry_type = 'access_denied') AS denied,
   count(*) FILTER (label = 'ham') AS label_ham, count(*) FILTER (label = 'spam') AS label_spam, count(*) FILTER (label = 'phishing') AS label_phishing, round_even(avg(confidence) FILTER (entry_type = 'prediction'), 4) AS avg_confidence, count(DISTINCT client_ip) FILTER (client_ip <> 'system') AS clients FROM audit""")
 def a12(spark, d):

@@ -124,6 +124,15 @@ def logged(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("number", F.substring("text_hash", 8, 20).cast("long"))
 
 
+def stored(spark: SparkSession, d: str) -> str:
+    """The path of an audit store that holds the log."""
+    from msgloom.sources import audit_store
+
+    path = new_folder(spark)
+    audit_store.append(logged(spark, d), path)
+    return path
+
+
 _KIND = "CASE WHEN event_type IN ('view', 'click') THEN 'prediction' WHEN event_type = 'purchase' THEN 'feedback' WHEN event_type = 'error' THEN 'access_denied' ELSE 'system_event' END"
 
 
