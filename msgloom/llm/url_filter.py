@@ -47,14 +47,15 @@ def _rest(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """``host + path`` keys of all rules that could fit: each parent domain with each path prefix."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidate_keys(host: Column, path: Column, hosts: list[int], lengths: list[int]) -> Column:
+    """``host + path`` keys of all rules that could fit: the host and its parent domains as long as a rule's host, each with the path prefixes as long as a rule's path."""
     if not lengths:
         return F.array().cast("array<string>")
+    size = F.length(host)
+    parent = lambda n: (size > n) & (F.substring(host, size - n, F.lit(1)) == ".")
+    ends = F.array_compact(F.array(*(F.when((size == n) | parent(n), F.right(host, F.lit(n))) for n in hosts)))
     prefixes = F.array_compact(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)))
-    return F.flatten(F.transform(hosts, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
+    return F.flatten(F.transform(ends, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
 
 
 def _hashes(keys: pa.Array) -> np.ndarray:
@@ -96,8 +97,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", def
 
 def _judged(pages: DataFrame, rules: DataFrame, id_col: str, default: str) -> DataFrame:
     spark = pages.sparkSession
-    listed = rules.select(F.concat("host", "path").alias("key"), "action", F.length("path").alias("n")).filter("key is not null")
-    size = listed.agg(F.count("*"), F.collect_set("n")).first()  # path lengths: as many as the longest path at most
+    listed = rules.select(F.concat("host", "path").alias("key"), "action", F.length("path").alias("n"), F.length("host").alias("h")).filter("key is not null")
+    size = listed.agg(F.count("*"), F.collect_set("n"), F.collect_set("h")).first()  # lengths: as many as the longest path and host at most
     blocks = 1
     while blocks * KEYS_PER_BLOCK < size[0] and blocks < MOST_BLOCKS:
         blocks *= 2
@@ -119,7 +120,7 @@ def _judged(pages: DataFrame, rules: DataFrame, id_col: str, default: str) -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, "host", "path")), hits], [id_col, "host", "path", "hits"])
 
     parsed = pages.select(id_col, url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    keyed = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted(size[1])))
+    keyed = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), sorted(size[2]), sorted(size[1])))
     kind = pages.schema[id_col].dataType.simpleString()
     tested = keyed.mapInArrow(possible, f"`{id_col}` {kind}, host string, path string, hits array<string>").withColumn("row", F.monotonically_increasing_id())
     tested = materialize(tested, "url-hits")
