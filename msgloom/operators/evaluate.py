@@ -65,16 +65,24 @@ def one_vs_rest(df: DataFrame) -> DataFrame:
 
 
 def calibration_grid(df: DataFrame, top: float = 2.0, steps: int = 9) -> DataFrame:
-    """Metrics of ``logits`` under every (spam, phishing) bias: one pass, 81 counts tables of nine cells.
+    """Metrics of ``logits`` under every (spam, phishing) bias.
 
-    ``df`` has ``gold`` and ``logits``. The grid is ``steps`` squared rows by parameter, and is multiplied on each row.
+    ``df`` has ``gold`` and ``logits``. A row falls into one cell between the grid's thresholds: how many biases leave ham
+    before spam, how many leave it before phishing, and, for each bias of spam, how many of phishing stay behind it. Rows are
+    counted by cell and gold label, some thousand of them whatever the table, and only these meet the grid.
     """
     values = [-top + 2 * top * k / (steps - 1) for k in range(steps)]
-    grid = F.explode(F.array(*(F.struct(F.lit(i * steps + j).alias("at"), F.lit(a).alias("spam"), F.lit(b).alias("phishing")) for i, a in enumerate(values) for j, b in enumerate(values))))
-    x = df.select("gold", F.get("logits", 0).alias("h"), F.get("logits", 1).alias("s"), F.get("logits", 2).alias("p"), grid.alias("b"))
-    s, p = F.col("s") + F.col("b.spam"), F.col("p") + F.col("b.phishing")
-    pred = F.when((F.col("h") >= s) & (F.col("h") >= p), "ham").when(s >= p, "spam").otherwise("phishing")
-    cells = x.select("gold", "b.*", pred.alias("pred")).groupBy("at", "spam", "phishing", "gold", "pred").agg(F.count("*").alias("n"))
+    h, s, p = (F.get("logits", k) for k in range(3))
+    below = lambda x, y: sum((F.when(x + b <= y, 1).otherwise(0) for b in values), F.lit(0))
+    x = df.select("gold", h.alias("h"), s.alias("s"), p.alias("p"))
+    h, s, p = F.col("h"), F.col("s"), F.col("p")
+    x = x.select("gold", below(s, h).alias("over_spam"), below(p, h).alias("over_phishing"), F.array(*(below(p, s + a) for a in values)).alias("spam_over"))
+    x = x.groupBy("gold", "over_spam", "over_phishing", "spam_over").agg(F.count("*").alias("n"))
+    grid = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(i * steps + j).alias("at"), F.lit(a).alias("spam"), F.lit(b).alias("phishing")) for i, a in enumerate(values) for j, b in enumerate(values))))
+    x = x.select("*", grid.alias("b"))
+    ham = (F.col("b.i") < F.col("over_spam")) & (F.col("b.j") < F.col("over_phishing"))
+    pred = F.when(ham, "ham").when(F.col("b.j") < F.get("spam_over", F.col("b.i")), "spam").otherwise("phishing")
+    cells = x.select("gold", "b.at", "b.spam", "b.phishing", pred.alias("pred"), "n").groupBy("at", "spam", "phishing", "gold", "pred").agg(F.sum("n").alias("n"))
     by = ["at", "spam", "phishing"]
     c = _counts(cells, by)
     prec, rec = _over(F.col("tp"), F.col("tp") + F.col("fp")), _over(F.col("tp"), F.col("tp") + F.col("fn"))

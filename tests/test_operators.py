@@ -229,3 +229,19 @@ def test_leaks_against_brute_force(spark, threshold):
     got = quality.decontaminate(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "row_id long, text string"), threshold)
     assert {x["item_id"] for x in got.collect()} == brute_leaks(items, texts, threshold)
     assert quality.decontaminate(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([], "row_id long, text string"), threshold).count() == len(items)
+
+
+@pytest.mark.parametrize("steps", [3, 9])
+def test_calibration_cells_equal_every_bias(spark, steps):
+    """Ties on thresholds, equal and missing logits: the cells' counts are those of each bias applied to each row."""
+    r = random.Random(4)
+    pick = lambda: r.choice([0.0, 0.5, 1.0, -1.5, 2.0, r.uniform(-3, 3), 0.1, 0.30000000000000004])
+    rows = [(r.choice(["ham", "spam", "phishing"]), [pick(), pick(), pick()]) for _ in range(250)]
+    got = {(x["spam"], x["phishing"]): x for x in evaluate.calibration_grid(spark.createDataFrame(rows, "gold string, logits array<double>"), 2.0, steps).collect()}
+    values = [-2.0 + 4.0 * k / (steps - 1) for k in range(steps)]
+    assert len(got) == steps**2
+    for a in values:
+        for b in values:
+            preds = [(g, "ham" if h >= s + a and h >= p + b else "spam" if s + a >= p + b else "phishing") for g, (h, s, p) in rows]
+            assert got[a, b]["accuracy_3class"] == pytest.approx(sum(g == x for g, x in preds) / len(preds), abs=6e-5)
+            assert got[a, b]["accuracy_block"] == pytest.approx(sum((g == "ham") == (x == "ham") for g, x in preds) / len(preds), abs=6e-5)
