@@ -57,6 +57,29 @@ def audit_statistics(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+#: A sketch of 2^14 registers is off by 0.8 % (one deviation), and exact for few clients.
+SKETCH_BITS = 14
+
+
+def clients_of(client_ip: Column) -> Column:
+    """An aggregate: a sketch of the different clients (but the system), in at most 16 KB, that others can be united with."""
+    return F.hll_sketch_agg(F.when(client_ip != "system", client_ip), SKETCH_BITS)
+
+
+def client_sketches(df: DataFrame) -> DataFrame:
+    """``date, entry_type, n, sketch``: what is kept of a day's clients. New entries of a day make another row of it."""
+    return audit_rows(df).groupBy(F.to_date("timestamp").alias("date"), "entry_type").agg(F.count("*").alias("n"), clients_of(F.col("client_ip")).alias("sketch"))
+
+
+def clients_between(sketches: DataFrame, start: str | None = None, end: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Entries and about how many different clients from one day to another (included), without reading an entry."""
+    if start is not None:
+        sketches = sketches.filter(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        sketches = sketches.filter(F.col("date") <= F.lit(end).cast("date"))
+    return sketches.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("clients"))
+
+
 def model_counts(df: DataFrame) -> DataFrame:
     return df.filter("entry_type = 'prediction'").groupBy("model").agg(F.count("*").alias("n"))
 

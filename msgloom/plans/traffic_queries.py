@@ -61,6 +61,17 @@ def _statistics(x):
     return x.select("kind", "key", "n", "sources", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first", "last")), "confidence")
 
 
+@query("a12_clients_between", f"{_A} SELECT entry_type, count(*) AS n, true AS near FROM audit WHERE timestamp >= '2024-01-05' AND timestamp < '2024-01-21' GROUP BY entry_type")
+def a12_between(spark, d):
+    """Clients of a range of days from the days' sketches, each within 3 % of the exact count."""
+    path = V.new_folder(spark)
+    A.client_sketches(V.audit(spark, d).withColumn("event_id", F.col("event_id").cast("string"))).write.parquet(path)
+    got = A.clients_between(spark.read.parquet(path), "2024-01-05", "2024-01-20", ["entry_type"])
+    own = V.audit(spark, d).filter("timestamp >= '2024-01-05' and timestamp < '2024-01-21'")
+    exact = own.groupBy("entry_type").agg(F.count_distinct(F.when(F.col("client_ip") != "system", F.col("client_ip"))).alias("exact"))
+    return got.join(exact, "entry_type").select("entry_type", "n", (F.abs(F.col("clients") - F.col("exact")) <= 0.03 * F.col("exact")).alias("near"))
+
+
 @query("a13_event_statistics", f"{_A}, e AS (SELECT *, {PRIORITY} AS priority, {_TYPE} AS type, coalesce(model, 'msgloom') AS system FROM audit), g AS ({_KINDS}) {_STATISTICS}")
 def a13(spark, d):
     return _statistics(A.event_statistics(_events(spark, d)))
@@ -264,7 +275,7 @@ def w08(spark, d):
     x = actions(spark, d)
     exact = x.groupBy(F.window("ts", "1 day")["start"].alias("start"), "label", "model").agg(F.count_distinct("client_ip").alias("exact"))
     got = audit_stats(x, "1 day").join(exact, ["start", "label", "model"])
-    near = F.abs(F.col("clients") - F.col("exact")) <= F.greatest(F.lit(2), 0.2 * F.col("exact"))  # clients are an estimate
+    near = F.abs(F.col("clients") - F.col("exact")) <= 0.03 * F.col("exact")  # clients are an estimate
     return got.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "label", "model", "n", F.bround("avg_confidence", 4).alias("avg_confidence"), near.alias("clients"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from msgloom.operators import scoring, traffic
+from msgloom.operators import audit, scoring, traffic
 
 
 def minute_counters(actions: DataFrame, late: str = "5 minutes") -> DataFrame:
@@ -42,9 +42,12 @@ def client_sessions(stream: DataFrame, gap: str = "120 seconds", late: str = "5
 
 
 def audit_stats(rows: DataFrame, span: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Running counts, mean confidence and about how many clients, by window, label and model; windows end ``late`` after their time."""
-    x = rows.withWatermark("ts", late).groupBy(F.window("ts", span).alias("w"), "label", "model").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), F.approx_count_distinct("client_ip").alias("clients"))
-    return x.select(F.col("w.start").alias("start"), "label", "model", "n", "avg_confidence", "clients")
+    """Running counts, mean confidence and about how many clients, by window, label and model; windows end ``late`` after their time.
+
+    ``sketch`` can be united over windows and with the batch's (:func:`audit.clients_between`).
+    """
+    x = rows.withWatermark("ts", late).groupBy(F.window("ts", span).alias("w"), "label", "model").agg(F.count("*").alias("n"), F.avg("confidence").alias("avg_confidence"), audit.clients_of(F.col("client_ip")).alias("sketch"))
+    return x.select(F.col("w.start").alias("start"), "label", "model", "n", "avg_confidence", F.hll_sketch_estimate("sketch").alias("clients"), "sketch")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from msgloom.operators import augment, evaluate, quality, sampling, scoring, traffic
+from msgloom.operators import audit, augment, evaluate, quality, sampling, scoring, traffic
 from msgloom.plans import traffic_queries, views
 from msgloom.sources import readers, writers
 from msgloom.streaming import streams
@@ -245,3 +245,17 @@ def test_calibration_cells_equal_every_bias(spark, steps):
             preds = [(g, "ham" if h >= s + a and h >= p + b else "spam" if s + a >= p + b else "phishing") for g, (h, s, p) in rows]
             assert got[a, b]["accuracy_3class"] == pytest.approx(sum(g == x for g, x in preds) / len(preds), abs=6e-5)
             assert got[a, b]["accuracy_block"] == pytest.approx(sum((g == "ham") == (x == "ham") for g, x in preds) / len(preds), abs=6e-5)
+
+
+def test_sketches_unite_over_days_and_streams(spark):
+    """Any range within 3 % of the exact count, from rows of days, however the entries came."""
+    days = [(f"2024-01-{1 + k % 9:02d} 10:00:00", f"10.{k % 40000 // 250}.0.{k % 250}" if k % 5 else "system", "prediction") for k in range(60_000)]
+    df = spark.createDataFrame(days, "timestamp string, client_ip string, entry_type string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    kept = audit.client_sketches(df.limit(20_000)).unionByName(audit.client_sketches(df.exceptAll(df.limit(20_000)))).cache()
+    for first, last in (("2024-01-01", "2024-01-09"), ("2024-01-03", "2024-01-04"), ("2024-01-05", "2024-01-05")):
+        exact = len({ip for t, ip, _ in days if first <= t[:10] <= last and ip != "system"})
+        got = audit.clients_between(kept, first, last).first()
+        assert got["n"] == sum(first <= t[:10] <= last for t, _, _ in days) and abs(got["clients"] - exact) <= 0.03 * exact
+    stream = streams.audit_stats(df.selectExpr("timestamp as ts", "'ham' as label", "'m' as model", "0.5 as confidence", "client_ip"), "1 day")
+    united = stream.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch"))).first()[0]
+    assert abs(united - len({ip for _, ip, _ in days if ip != "system"})) <= 0.03 * 32_000
