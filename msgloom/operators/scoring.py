@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from msgloom.functions import text as T
 from msgloom.operators.quality import LABELS, class_weights
@@ -32,16 +33,64 @@ def decide(df: DataFrame, logits: str = "logits", bias: list[float] | None = Non
     return df.withColumn("_d", decision(F.col(logits), bias)).select("*", "_d.*").drop("_d")
 
 
-def score_messages(df: DataFrame, scorer: Callable[[], Callable[[pd.Series], list]], text: str = "text") -> DataFrame:
-    """``df`` with ``logits``, ``pred`` and ``conf``. ``scorer()`` is called once per worker task and maps a batch of texts to rows of three logits."""
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = scorer()
-        for batch in batches:
-            yield pd.Series([[float(v) for v in row] for row in model(batch.fillna(""))], dtype=object)
-
-    logits = F.pandas_udf(run, ArrayType(DoubleType()))
-    return decide(df.withColumn("logits", logits(T.normalize_fast(F.col(text)))))
+#: The last scorers that this worker process has loaded, by the name each use of :func:`score_messages` gives its own.
+_loaded: dict[str, Callable] = {}
+
+
+def _model(name: str, scorer: Callable[[], Callable]) -> Callable:
+    if name not in _loaded:
+        _loaded[name] = scorer()
+        for old in list(_loaded)[:-4]:
+            del _loaded[old]
+    return _loaded[name]
+
+
+def _by_length(texts: pd.Series, batch: int) -> Iterator[list[int]]:
+    """Positions of texts of like length, ``batch`` at a time, so that none is padded to a much longer one."""
+    order = texts.str.len().to_numpy().argsort(kind="stable")
+    for at in range(0, len(order), batch):
+        yield order[at : at + batch].tolist()
+
+
+def _scored(model: Callable, texts: pd.Series) -> list[tuple[list[float] | None, str | None]]:
+    """Logits or an error of each text; a batch that fails is halved until the rows that fail are alone."""
+    try:
+        found = [[float(v) for v in row] for row in model(texts)]
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} rows of logits for {len(texts)} texts")
+        return [(row, None) for row in found]
+    except Exception as e:  # whatever a scorer raises is its rows' error
+        if len(texts) == 1:
+            return [(None, f"{type(e).__name__}: {e}"[:500])]
+        half = len(texts) // 2
+        return _scored(model, texts.iloc[:half]) + _scored(model, texts.iloc[half:])
+
+
+def score_messages(df: DataFrame, scorer: Callable[[], Callable[[pd.Series], list]], text: str = "text", batch: int = 64, guarded: bool = False) -> DataFrame:
+    """``df`` with ``logits``, ``pred`` and ``conf``.
+
+    ``scorer()`` is called once per worker process, and what it gives maps texts to rows of three logits; it sees up to
+    ``batch`` of them at a time, of like length. An error fails the job, unless ``guarded``: then rows that fail have it in
+    ``error`` (where there was none) and no logits, and all others are scored. A stream is scored like a table.
+    """
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = _model(name, scorer)
+        for texts in batches:
+            texts, found = texts.fillna(""), [(None, None)] * len(texts)
+            for own in _by_length(texts, batch):
+                part = texts.iloc[own]
+                rows = _scored(model, part) if guarded else [([float(v) for v in row], None) for row in model(part)]
+                for at, row in zip(own, rows, strict=True):
+                    found[at] = row
+            yield pd.DataFrame({"logits": pd.Series([x for x, _ in found], dtype=object), "error": pd.Series([e for _, e in found], dtype=object)})
+
+    score = F.pandas_udf(run, StructType([StructField("logits", ArrayType(DoubleType())), StructField("error", StringType())]))
+    out = df.withColumn("_s", score(T.normalize_fast(F.col(text)))).withColumn("logits", F.col("_s.logits"))
+    if guarded:
+        out = out.withColumn("error", F.coalesce(*(["error"] if "error" in df.columns else []), "_s.error"))
+    return decide(out.drop("_s"))
 
 
 def rule_logits(c: Column) -> Column:

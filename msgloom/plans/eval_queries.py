@@ -40,6 +40,18 @@ def length_scorer():
     return lambda texts: [[min(len(x), 2000) / 1000, sum(c in "0123456789" for c in x) / 10, x.count("!") / 5] for x in texts]
 
 
+def picky_scorer():
+    """The same, but it fails on any batch with a text of which the second character is ``e``."""
+    score = length_scorer()
+
+    def run(texts):
+        if any(x[1:2] == "e" for x in texts):
+            raise ValueError("cannot read this")
+        return score(texts)
+
+    return run
+
+
 @query("c02_score_messages", f"""WITH {V.MESSAGES}, x AS (SELECT row_id, least(length(text), 2000) / 1000 AS a, len(regexp_extract_all(text, '[0-9]')) / 10 AS b, len(regexp_extract_all(text, '!')) / 5 AS c FROM messages)
   SELECT row_id, CASE WHEN a >= b AND a >= c THEN 'ham' WHEN b >= c THEN 'spam' ELSE 'phishing' END AS pred FROM x""")
 def c02(spark, d):

@@ -208,6 +208,24 @@ def w04(spark, d):
     return spark.read.parquet(f"{path}/out").select("row_id", "action", "reason")
 
 
+@query("w04_scored_stream", f"""WITH {V.MESSAGES}, x AS (SELECT row_id, text, least(length(text), 2000) / 1000 AS a, len(regexp_extract_all(text, '[0-9]')) / 10 AS b, len(regexp_extract_all(text, '!')) / 5 AS c FROM messages),
+  s AS (SELECT row_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' WHEN substr(text, 2, 1) = 'e' THEN 'error' END AS why, CASE WHEN a >= b AND a >= c THEN 'ham' WHEN b >= c THEN 'spam' ELSE 'phishing' END AS pred,
+    1 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))) AS conf FROM x)
+  SELECT row_id, CASE WHEN why IS NULL AND conf >= 0.45 AND pred = 'spam' THEN 'drop' WHEN why IS NULL AND conf >= 0.45 AND pred = 'phishing' THEN 'reject' ELSE 'forward' END AS action,
+    coalesce(why, CASE WHEN conf < 0.45 THEN 'below_threshold' WHEN pred = 'ham' THEN 'no_rule' ELSE 'rule' END) AS reason FROM s""")
+def w04_scored(spark, d):
+    """A model in the stream that fails on some messages; what the sink holds at its end."""
+    from msgloom.streaming import streams
+
+    path = V.new_folder(spark)
+    x = V.messages(spark, d).select("row_id", "text", *(F.lit(None).cast("string").alias(c) for c in ("unclassifiable", "error")))
+    x.write.parquet(f"{path}/in")
+    rules = spark.createDataFrame(Q._RULES, "label string, action string")
+    stream = streams.classify_stream(spark.readStream.schema(x.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in"), rules, 0.45, Q.picky_scorer)
+    streams.write_by_action(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("row_id", "action", "reason")
+
+
 def submits(spark, d):
     """Messages sent; two thirds are stored under their number in hex, half of those with a leading 0."""
     e = V.table(spark, d, "events").filter("event_type in ('view', 'click')").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -22,10 +22,14 @@ def rolling_counts(batches: DataFrame, span: str = "60 seconds", step: str = "5
     return x.select(F.col("w.start").alias("start"), "instance", "messages")
 
 
-def classify_stream(messages: DataFrame, rules: DataFrame, threshold: float = scoring.THRESHOLD) -> DataFrame:
-    """Messages (``text``, ``unclassifiable``, ``error``) scored by rule and run through the policy."""
-    scored = scoring.rule_scorer(messages).withColumnRenamed("pred", "label")
-    return scoring.apply_policy(scored, rules, threshold)
+def classify_stream(messages: DataFrame, rules: DataFrame, threshold: float = scoring.THRESHOLD, scorer: Callable | None = None) -> DataFrame:
+    """Messages (``text``, ``unclassifiable``, ``error``) scored and run through the policy.
+
+    Any scorer of :func:`scoring.score_messages` will do; none is the rule scorer. A row that it fails on is forwarded as an
+    error, and the others of its batch are scored.
+    """
+    scored = scoring.score_messages(messages, scorer, guarded=True) if scorer else scoring.rule_scorer(messages)
+    return scoring.apply_policy(scored.withColumnRenamed("pred", "label"), rules, threshold)
 
 
 def write_by_action(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:

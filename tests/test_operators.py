@@ -259,3 +259,40 @@ def test_sketches_unite_over_days_and_streams(spark):
     stream = streams.audit_stats(df.selectExpr("timestamp as ts", "'ham' as label", "'m' as model", "0.5 as confidence", "client_ip"), "1 day")
     united = stream.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch"))).first()[0]
     assert abs(united - len({ip for _, ip, _ in days if ip != "system"})) <= 0.03 * 32_000
+
+
+def test_guarded_scoring(spark, tmp_path):
+    """Batches hold texts of like length, the scorer is loaded once a process, and only rows that fail are errors."""
+    log = str(tmp_path / "log")
+
+    def scorer():
+        import os
+
+        with open(f"{log}-loads", "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+        def run(texts):
+            with open(f"{log}-{os.getpid()}", "a") as f:
+                f.write(" ".join(str(len(t)) for t in texts) + "\n")
+            if any("bad" in t for t in texts):
+                raise ValueError("no")
+            return [[len(t) / 10, 0.5, 0.1] for t in texts]
+
+        return run
+
+    r = random.Random(6)
+    rows = [(i, "bad one" if i % 13 == 0 else None if i % 31 == 1 else "x" * r.randrange(1, 200), "known" if i == 5 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, text string, error string").repartition(4)
+    scored = scoring.score_messages(df, scorer, batch=8, guarded=True)
+    got = {x["row_id"]: x for _ in range(2) for x in scored.collect()}
+    assert len(got) == 200
+    for i, text, error in rows:
+        bad = text == "bad one"
+        assert got[i]["error"] == (error or ("ValueError: no" if bad else None)) and (got[i]["logits"] is None) == bad
+        assert bad or got[i]["logits"] == [len(text or "") / 10, 0.5, 0.1]
+    loads = (tmp_path / "log-loads").read_text().split()
+    assert len(loads) == len(set(loads))
+    batches = [[int(n) for n in line.split()] for f in tmp_path.glob("log-[0-9]*") for line in f.read_text().splitlines()]
+    assert max(map(len, batches)) <= 8 and all(b == sorted(b) for b in batches)
+    with pytest.raises(Exception, match="no"):
+        scoring.score_messages(df, scorer, batch=8).collect()
