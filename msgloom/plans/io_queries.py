@@ -157,8 +157,8 @@ def k01(spark, d):
 @query("k02_write_audit", f"WITH {V.AUDIT} SELECT strftime(timestamp, '%Y-%m-%d') AS date, event_id, entry_type, client_ip, label FROM audit")
 def k02(spark, d):
     path = _path(spark)
-    K.write_audit(V.audit(spark, d), path)
-    return spark.read.schema("event_id long, entry_type string, client_ip string, label string, date string").json(path)
+    K.write_audit(V.audit(spark, d), path, 100_000)
+    return spark.read.schema("event_id long, entry_type string, client_ip string, label string, date string").json(path).drop("part")
 
 
 @query("k03_write_predictions", f"{Q._LB} SELECT row_id, pred, round_even(conf, 4) AS conf FROM p2")

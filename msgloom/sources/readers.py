@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from msgloom.operators.audit import AUDIT_SCHEMA, audit_rows
 from msgloom.operators.quality import LABELS
+from msgloom.operators.sampling import with_few
 
 EVAL_COLUMNS = ["text", "gold", "category", "language"]
 
@@ -158,10 +159,17 @@ def catalog_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with_fallback(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files (``path, line``), each file in UTF-8 if it is valid, else in Latin-1."""
-    files = spark.read.format("binaryFile").load(path)
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1"))
-    return files.select("path", F.posexplode(F.split(text, r"\r?\n")).alias("at", "line")).filter("line <> ''").select("path", "at", "line")
+    """Lines of text files (``path, at, line``), each file in UTF-8 if it is valid, else in Latin-1; ``at`` counts empty lines, too.
+
+    No character's bytes hold a line feed, in either charset, so a file is valid where all its lines are: splits of a file
+    are judged apart, joined a file, and each line is then decoded by its file's charset. Only one line is ever whole.
+    """
+    rows = _placed(spark.read.option("lineSep", "\n").text(path)).withColumn("path", F.col("_file"))
+    rows = _numbered(rows.withColumn("value", F.col("value").cast("binary")))
+    files = rows.groupBy(F.col("path").alias("_path")).agg(F.min("row_id").alias("_first"), F.bool_and(F.is_valid_utf8(F.col("value").cast("string"))).alias("_utf8"))
+    rows = with_few(rows, files, F.col("path") == F.col("_path"))
+    text = F.when(F.col("_utf8"), F.col("value").cast("string")).otherwise(F.decode("value", "ISO-8859-1"))
+    return rows.select("path", (F.col("row_id") - F.col("_first")).alias("at"), F.regexp_replace(text, r"\r$", "").alias("line")).filter("line <> ''")
 
 
 def read_audit(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -170,7 +178,8 @@ def read_audit(spark: SparkSession, path: str, stream: bool = False) -> DataFram
     A line that is no JSON has only ``_corrupt_record`` and an id.
     """
     reader = spark.readStream if stream else spark.read
-    return audit_rows(reader.schema(AUDIT_SCHEMA + ", _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    rows = reader.schema(AUDIT_SCHEMA + ", _corrupt_record STRING").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    return audit_rows(rows.drop("date", "part"))  # the folders are no part of an entry, nor of its id
 
 
 def malformed(audit: DataFrame) -> DataFrame:

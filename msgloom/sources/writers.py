@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from datetime import date
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from msgloom.operators.audit import apply_retention
@@ -14,10 +21,51 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     out.parquet(path) if fmt == "parquet" else out.options(header=True, quoteAll=True, escape='"').csv(path)
 
 
-def write_audit(df: DataFrame, path: str, most_rows: int = 1_000_000) -> None:
-    """Appended JSON lines in a folder per day; files are capped by rows."""
-    dated = df.withColumn("date", F.to_date("timestamp"))
-    dated.write.mode("append").partitionBy("date").option("maxRecordsPerFile", most_rows).json(path)
+#: Bytes of an audit file.
+MOST_BYTES = 100 << 20
+
+
+def write_audit(df: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> None:
+    """Appended JSON lines, ``date=``/``part=`` folders of one file each, none over ``most_bytes`` (but a single longer line)."""
+    lines = df.select(F.to_date("timestamp").alias("date"), F.to_json(F.struct(*df.columns)).alias("value"))
+    _write_lines(lines.repartitionByRange("date", F.xxhash64("value")), path, most_bytes)
+
+
+def _write_lines(lines: DataFrame, path: str, most_bytes: int) -> None:
+    """Each task fills a day's files in turn by the bytes of its lines; a task that is run again gives them the same names."""
+    run = uuid.uuid4().hex[:12]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, filled = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            sizes = (pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False) + 1).tolist()
+            names = []
+            for day, size in zip(batch.column("date").to_pylist(), sizes):
+                part, used = filled.get(day, (0, 0))
+                if used and used + size > most_bytes:
+                    part, used = part + 1, 0
+                filled[day] = part, used + size
+                names.append(f"{run}-{task}-{part}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], [*batch.schema.names, "part"])
+
+    lines.mapInArrow(cut, "date date, value string, part string").write.mode("append").partitionBy("date", "part").text(path)
+
+
+def compact_audit(spark: SparkSession, path: str, day: date, most_bytes: int = MOST_BYTES) -> None:
+    """The files of a day that are not half full, written anew as few full ones.
+
+    New files come first, then the old ones go; a run that is cut short between leaves lines twice, which have one ``event_id``.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/date={day.isoformat()}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    small = [x.getPath() for x in files.listStatus(folder) if 2 * files.getContentSummary(x.getPath()).getLength() < most_bytes]
+    if len(small) < 2:
+        return
+    lines = spark.read.text([str(x) for x in small]).select(F.lit(day).alias("date"), "value")
+    whole = sum(files.getContentSummary(x).getLength() for x in small)
+    _write_lines(lines.coalesce(max(1, whole // most_bytes)), path, most_bytes)
+    for x in small:
+        files.delete(x, True)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

@@ -296,3 +296,46 @@ def test_guarded_scoring(spark, tmp_path):
     assert max(map(len, batches)) <= 8 and all(b == sorted(b) for b in batches)
     with pytest.raises(Exception, match="no"):
         scoring.score_messages(df, scorer, batch=8).collect()
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Characters across the borders of splits, in files of either charset; line numbers run on through the splits."""
+    texts = {"a": ["é" * (k % 9) + f"ñ{k}" if k % 5 else "" for k in range(900)], "b": [f"ü{k}€" for k in range(700)]}
+    (tmp_path / "a.txt").write_bytes("\r\n".join(texts["a"]).encode("latin-1"))
+    (tmp_path / "b.txt").write_bytes("\n".join(texts["b"]).encode("utf-8"))
+    was = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in was:
+        spark.conf.set(k, "401")
+    try:
+        got = readers.read_with_fallback(spark, str(tmp_path / "*.txt")).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for name, lines in texts.items():
+        own = sorted((r["at"], r["line"]) for r in got if r["path"].endswith(f"{name}.txt"))
+        assert own == [(k, line) for k, line in enumerate(lines) if line]
+
+
+def test_audit_files_are_capped_by_bytes(spark, tmp_path):
+    from datetime import date
+
+    path, r = str(tmp_path / "log"), random.Random(2)
+    rows = [(f"2024-01-0{1 + k % 3} 01:00:00", "prediction", "x" * r.choice([1, 10, 500, 3000, 9000])) for k in range(200)]
+    df = spark.createDataFrame(rows, "timestamp string, entry_type string, text string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    for part in (df.limit(90), df.exceptAll(df.limit(90))):
+        writers.write_audit(part, path, 8000)
+
+    def sizes():
+        return [f.stat().st_size for f in (tmp_path / "log").rglob("part-*")]
+
+    def held():
+        return sorted((x["text"], str(x["timestamp"])) for x in spark.read.json(path).select("text", "timestamp").collect())
+
+    before, lines = len(sizes()), held()
+    assert len(lines) == 200 and max(s for s in sizes() if s < 9000) <= 8000 and all(s < 9200 for s in sizes())
+    writers.write_audit(df.limit(0), path, 8000)
+    for day in (1, 2, 3):
+        writers.compact_audit(spark, path, date(2024, 1, day), 40_000)
+    assert held() == lines and len(sizes()) < before / 2 and max(sizes()) <= 40_000
+    entries = readers.read_audit(spark, path)
+    assert entries.select("event_id").distinct().count() == len({(t, x) for t, _, x in rows}) and "part" not in entries.columns
