@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,13 +105,13 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def holds(found: DataFrame, bits: int = 26) -> Callable:
-    """A function of a key column that tells whether the key can be in ``found``'s only column, by a bitmap: no row moves.
+    """A function of key columns that tells whether the key can be in ``found`` (its columns), by a bitmap: no row moves.
 
     The bitmap is ``2**bits`` bits whatever the input (a fuller one only lets more rows through), so what follows must
     still join with ``found``.
     """
-    key, top = F.xxhash64(found.columns[0]), 64 - bits
-    rows = found.select(F.shiftrightunsigned(key, top + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(xxhash64(`{found.columns[0]}`), {top}) & 63 as int))").alias("mask"))
+    top = 64 - bits
+    rows = found.select(F.xxhash64(*found.columns).alias("key")).select(F.shiftrightunsigned("key", top + 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {top}) & 63 as int))").alias("mask"))
     rows = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(1 << (bits - 6), np.int64)
     words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
@@ -121,7 +122,7 @@ def holds(found: DataFrame, bits: int = 26) -> Callable:
         at = (keys.to_numpy(np.int64).astype(np.uint64) >> np.uint64(top)).astype(np.int64)
         return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return lambda column: inside(F.xxhash64(column))
+    return lambda *columns: inside(F.xxhash64(*columns))
 
 
 def only_keys_of(df: DataFrame, column: str, found: DataFrame, bits: int = 26) -> DataFrame:
@@ -129,6 +130,24 @@ def only_keys_of(df: DataFrame, column: str, found: DataFrame, bits: int = 26) -
     return df.filter(holds(found, bits)(column))
 
 
+def placed(df: DataFrame, *needed: str) -> DataFrame:
+    """``whole, file, at``: each row's columns as a struct, under any names, and its place, by which later reads tell it apart.
+
+    A Parquet table is read where it lies. Anything else is written first (``needed`` columns alone, if any are named),
+    since rows that are computed again need not come in the same order.
+    """
+    table = df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in df.columns
+    try:
+        table = table and "row_index" in df.select("_metadata").schema[0].dataType.names
+    except AnalysisException:  # a relation that isn't made of files
+        table = False
+    if table:
+        base, whole = df, F.struct("*")
+    else:
+        base, whole = materialize(df.select(F.struct(*(needed or "*")).alias("whole")), "placed"), F.col("whole")
+    return base.select(whole.alias("whole"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def running_start(df: DataFrame, part: str, size: str, start: str) -> DataFrame:
     """``part`` with the sum of ``size`` over all smaller parts: a window over one row per partition."""
     totals = df.groupBy(part).agg(F.sum(size).alias("_size"))

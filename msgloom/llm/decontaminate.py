@@ -176,8 +176,8 @@ def _lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` with ``__id``, ``__text``, and ``__key``, which tells rows of one id with different texts apart."""
-    df = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
+    """The columns of ``docs``, under any names, as ``__whole``, with ``__id``, ``__text``, and ``__key``, which tells rows of one id with different texts apart."""
+    df = docs.select(F.struct("*").alias("__whole"), F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     return df.withColumn("__key", F.xxhash64("__id", "__text"))
 
 
@@ -211,4 +211,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id")
     leaks = found.select(F.col("key").alias("__leak"), F.col("id").alias("__leak_id")).distinct()
     inside = holds(leaks.select("__leak"))
     suspects = keyed.filter(inside("__key")).join(leaks, (F.col("__key") == F.col("__leak")) & F.col("__id").eqNullSafe(F.col("__leak_id")), "left_anti")
-    return keyed.filter(~inside("__key")).unionByName(suspects).select(*docs.columns)
+    return keyed.filter(~inside("__key")).unionByName(suspects).select("__whole.*")

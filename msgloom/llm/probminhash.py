@@ -4,7 +4,8 @@
    arrivals fall on random registers; a register keeps the shingle that arrives first. Two texts agree in a register
    with the probability Jaccard similarity of their weighted shingles. Arrivals are generated only up to a time by which
    all registers are expected to be filled (early termination), and further where some are not.
-2. Registers are banded (``BANDS`` of ``ROWS``): at a similarity of 0.8 a pair shares no band with probability 3e-6.
+2. Registers are banded (``BANDS`` of ``ROWS``): at a similarity of 0.8 a pair shares no band with probability 3e-6. A text
+   that repeats shingles gets a second signature with weights of 1, so that the same holds of plain Jaccard similarity.
 3. Inside a bucket no pairs are listed: every member is compared with the bucket's leader, and links are verified on the
    exact shingles. Where a bucket still holds more than one class, those outside its largest class are the query set:
    in blocks, they are compared with all members of other classes by exact set overlaps (a product of 0/1 matrices per
@@ -30,8 +31,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from msgloom.llm._io import buffer_of, holds, materialize, only_keys_of, passing, pieces_of
+from msgloom.llm._io import buffer_of, holds, materialize, only_keys_of, passing, pieces_of, placed
 from msgloom.llm.words import mix, shingles, weighted, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -101,16 +103,34 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(plain, float((1 / (from_here[at] / v + up_to_here[at] / w)).sum()))
 
 
+def signatures(items: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' band keys in order, and how many each text has.
+
+    A text that repeats shingles is signed twice, by its weights and with weights of 1, so that it shares bands with those
+    that it resembles in either way; of the second signature only what differs from the first is given.
+    """
+    doc = np.repeat(np.arange(len(counts)), counts)
+    own = np.flatnonzero(counts > 0)
+    keys = band_keys(probminhash(items, weights, counts, BANDS * ROWS))[own]
+    row, keys = np.repeat(own, BANDS), keys.reshape(-1)
+    twice = np.unique(doc[weights > 1])
+    if len(twice):
+        some = np.isin(doc, twice)
+        plain = band_keys(probminhash(items[some], np.ones(int(some.sum())), counts[twice], BANDS * ROWS)).reshape(-1)
+        other = plain != keys[np.isin(row, twice)]
+        row, keys = np.concatenate([row, np.repeat(twice, BANDS)[other]]), np.concatenate([keys, plain[other]])
+        keys = keys[np.argsort(row, kind="stable")]
+    return keys, np.bincount(row, minlength=len(counts))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = buffer_of(batch.column("_text"))
-        for start, end in pieces_of(batch, "_text", BATCH_BYTES):
-            found, counts = shingles(*word_hashes(data, offsets[start : end + 1]), SHINGLE)
-            items, weights, different = weighted(found, counts)
-            keys = band_keys(probminhash(items, weights, different, BANDS * ROWS))
-            sizes = np.where(different > 0, BANDS, 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys[different > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("__row").slice(start, end - start), batch.column("_digest").slice(start, end - start), lists], ["__row", "_digest", "bands"])
+        data, offsets = buffer_of(batch.column("text"))
+        for start, end in pieces_of(batch, "text", BATCH_BYTES):
+            keys, sizes = signatures(*weighted(*shingles(*word_hashes(data, offsets[start : end + 1]), SHINGLE)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys))
+            names = ["file", "at", "id", "digest"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(start, end - start) for c in names), lists], [*names, "bands"])
 
 
 def _verify(threshold: float):
@@ -237,50 +257,55 @@ def _outside_links(shared: DataFrame, comps: DataFrame, texts: DataFrame, thresh
     return materialize(work.groupBy("band", "o", "i").applyInPandas(_compare_blocks(threshold), "a long, b long"), "near-more")
 
 
-def _assigned(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a row number, and each row number's class."""
+def _assigned(base: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    """``file, at, id, class_id, class_size, kept`` of each row of a :func:`placed` table."""
     with passing() as keep:
-        base, named = _classes(df, id_col, threshold)
-        keep(base), keep(named)
-    per = named.groupBy("comp").agg(F.min("__near_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("__near_id").isNull(), "__near_id", "__row"))["__row"].alias("first"))
-    return base, named.join(per, "comp").select("__row", "class_id", "class_size", (F.col("__row") == F.col("first")).alias("kept"))
-
-
-def _classes(df: DataFrame, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    base = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "near-base")
-    lower = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    digest = F.when(F.length("text") > 0, F.sha2(F.col("text").cast("binary"), 256)).otherwise(F.concat(F.lit("row "), F.col("__row").cast("string")))
-    signed = base.select("__row", digest.alias("_digest"), lower.alias("_text")).mapInArrow(_sign, "__row long, _digest string, bands array<long>")
-    signed = materialize(signed, "near-signatures")
-    nodes = materialize(signed.groupBy("_digest").agg(F.min("__row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
+        named = keep(_classes(base, id_col, threshold))
+    per = named.groupBy("comp").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("first"))
+    return named.join(per, "comp").select("file", "at", "id", "class_id", "class_size", (F.col("row") == F.col("first")).alias("kept"))
+
+
+def _classes(base: DataFrame, id_col: str, threshold: float) -> DataFrame:
+    whole = F.col("whole")
+    text, id_ = whole.getField("text").cast("string"), whole.getField(id_col)
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    digest = F.when(F.length(text) > 0, F.sha2(text.cast("binary"), 256)).otherwise(F.concat_ws(" ", F.lit("row"), "at", "file"))
+    read = base.select("file", "at", id_.alias("id"), digest.alias("digest"), lower.alias("text"))
+    kinds = [T.StructField("digest", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    signed = read.mapInArrow(_sign, T.StructType([*(read.schema[c] for c in ("file", "at", "id")), *kinds]))
+    signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "near-signatures")
+    nodes = materialize(signed.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     turn = F.xxhash64("node", F.pmod("band", F.lit(LEADERS)))
     leaders = buckets.groupBy("band").agg(F.min_by("node", turn).alias("b"), F.count("*").alias("size")).filter("size > 1")
     leaders = materialize(leaders, "near-leaders")  # apart from the join, so that a hot bucket can be split
     shared = materialize(buckets.join(leaders, "band"), "near-buckets")  # only buckets of two nodes or more
     known = materialize(shared.select("node").distinct(), "near-known")
-    texts = only_keys_of(base.select(F.col("__row").alias("node"), F.col("text")), "node", known).join(known, "node", "left_semi")
-    texts = materialize(texts.select("node", lower.alias("_text")), "near-texts")
+    places = only_keys_of(signed.select(F.col("row").alias("node"), "file", "at"), "node", known).join(known, "node", "left_semi")
+    places = materialize(places, "near-places")
+    inside = holds(places.select("file", "at"))
+    texts = base.filter(inside("file", "at")).select("file", "at", lower.alias("_text")).join(places, ["file", "at"])
+    texts = materialize(texts.select("node", "_text"), "near-texts")
     pairs = shared.filter("node <> b").select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
     links = _links(pairs, texts, threshold)
     comps = components(links)
     more = _outside_links(shared.filter("size > 2"), comps, texts, threshold)
     if more.take(1):
         comps = components(links.unionByName(more))
-    of = nodes.select("_digest", "node").join(comps, "node", "left").select("_digest", F.coalesce("comp", "node").alias("comp"))
-    return base, materialize(signed.select("__row", "_digest").join(of, "_digest").join(base.select("__row", F.col(id_col).alias("__near_id")), "__row").select("__row", "comp", "__near_id"), "near-classes")
+    of = nodes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("comp"))
+    return materialize(signed.select("row", "file", "at", "id", "digest").join(of, "digest").select("row", "file", "at", "id", "comp"), "near-classes")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``df``, all columns, that are kept: one of each class."""
-    base, final = _assigned(df, id_col, threshold)
-    gone = materialize(final.filter("not kept").select(F.col("__row").alias("__gone")), "near-gone")
+    base = placed(df)
+    gone = materialize(_assigned(base, id_col, threshold).filter("not kept").select("file", "at"), "near-gone")
     suspect = holds(gone)  # rows outside the bitmap stay where they are
-    left = base.filter(suspect("__row")).join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-    return base.filter(~suspect("__row")).unionByName(left).select(*df.columns)
+    left = base.filter(suspect("file", "at")).join(gone, ["file", "at"], "left_anti")
+    return base.filter(~suspect("file", "at")).unionByName(left).select("whole.*")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col, class_id, class_size, kept``: one row per row of ``df``."""
-    base, final = _assigned(df.select(id_col, "text"), id_col, threshold)
-    return base.select("__row", id_col).join(final, "__row").drop("__row")
+    final = _assigned(placed(df, id_col, "text"), id_col, threshold)
+    return final.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")

@@ -352,8 +352,9 @@ def _finer(what: Wanted, level: int):
 
 
 def _keyed(df: DataFrame, id_col: str) -> DataFrame:
+    """The columns of ``df``, under any names, as ``__whole``, with ``__id``, ``__text`` and ``__key``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.withColumns({"__id": F.col(id_col).cast("long"), "__text": text}).withColumn("__key", F.xxhash64("__id", "__text"))
+    return df.select(F.struct("*").alias("__whole"), F.col(id_col).cast("long").alias("__id"), text.alias("__text")).withColumn("__key", F.xxhash64("__id", "__text"))
 
 
 def _kinds(segments: DataFrame, members: Column) -> DataFrame:
@@ -496,5 +497,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_
         return pd.Series(out, dtype=object)
 
     moved, still = _suspects(keyed, spans)
-    text = F.when(F.col("__spans").isNotNull(), cut("__text", "__spans")).otherwise(F.col("text"))
-    return moved.withColumn("text", text).select(*df.columns).unionByName(still.select(*df.columns))
+    whole = F.col("__whole")
+    text = F.when(F.col("__spans").isNotNull(), cut("__text", "__spans")).otherwise(whole.getField("text"))
+    moved = moved.select(*(text.alias(c) if c == "text" else whole.getField(c).alias(c) for c in df.columns))
+    return moved.unionByName(still.select("__whole.*"))

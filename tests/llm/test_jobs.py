@@ -176,6 +176,70 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert probminhash.near_duplicates(none).count() == 0
 
 
+def probability_jaccard(a, b):
+    """By its definition, over counted shingles."""
+    return sum(1 / sum(max(a[y] / a[x], b[y] / b[x]) for y in {*a, *b}) for x in {*a} & {*b})
+
+
+def test_near_duplicates_that_repeat_lines(spark):
+    """Texts that say a line many times are linked by weights or by plain similarity, as brute force over all pairs finds."""
+    r, texts = random.Random(21), []
+    for _ in range(20):
+        w = r.choices(WORDS, k=300)
+        line = w[100:114]
+        texts += [" ".join(w), " ".join(w[:114] + line * 60 + w[114:])]
+    for _ in range(6):  # alike in weights alone: the repeated line outweighs what differs
+        line = r.choices(WORDS, k=12)
+        texts += [" ".join(line * 40 + r.choices(WORDS, k=20)) for _ in range(3)]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append(Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    edges = set()
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            common = len({*a} & {*b})
+            if common and max(common / len({*a, *b}), probability_jaccard(a, b)) >= 0.8:
+                edges.add((j, i))
+    assert {(2 * k, 2 * k + 1) for k in range(20)} <= edges and len(edges) > 20
+    labels = list(range(len(texts)))
+    for j, i in sorted(edges):
+        old, new = max(labels[i], labels[j]), min(labels[i], labels[j])
+        labels = [new if x == old else x for x in labels]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in probminhash.near_duplicates(df).collect()}
+    assert partition_of([got[i] for i in range(len(texts))]) == partition_of(labels)
+
+
+def test_near_duplicates_of_the_test_table(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs_of(df)
+    got = {x["doc_id"]: x["class_id"] for x in probminhash.near_duplicates(df).collect()}
+    assert partition_of([got[i] for i, _ in rows]) == partition_of(brute_classes([t for _, t in rows]))
+
+
+NAMES = ["__row", "__id", "__key", "__text", "__whole", "__spans", "__gone", "__leak", "__near_id", "whole", "file", "at", "row", "id", "key", "begin", "words", "digest", "bands", "node", "comp", "a b", "c.d"]
+
+
+@pytest.mark.parametrize("written", [False, True])
+def test_stages_keep_columns_of_any_name(spark, odd, written, tmp_path):
+    import corpus_pipeline
+
+    df = odd.select("*", *(F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for n in NAMES if n not in odd.columns))
+    if written:
+        df.repartition(3).write.parquet(f"{tmp_path}/odd")
+        df = spark.read.parquet(f"{tmp_path}/odd")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows
+        for x in rows:
+            d = x.asDict()
+            assert all(d[n] == f"{n} of {'none' if x['doc_id'] is None else x['doc_id']}" for n in NAMES if n not in odd.columns)
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_repeats(spark, odd, none, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
