@@ -7,6 +7,8 @@
    near directions are large inner products, whatever the norms of the table.
 3. In each shard a graph of out-degree ``DEGREE`` is built over the directions: greedy searches propose neighbours, relaxed
    distance pruning keeps diverse edges, and reverse edges are added and pruned alike.
+   The last points to come are first put to the graph as queries, with beams from ``BEAM`` on, doubled until ``RECALL`` of
+   their exact nearest are found; that beam is kept with the shard, so it follows the dimension and the data.
 4. Distinct query vectors go to the shards of their dimension and pass one loaded graph there, some hundred at a time. A
    beam search by inner product finds the nearest; their scores are inner products in double precision over the original
    components. Only each query's best of a shard leave it.
@@ -33,6 +35,7 @@ from pyspark.sql.window import Window
 from msgloom.llm._io import materialize, passing
 
 SHARD_ROWS, SHARD_VALUES, BAND, DEGREE, BEAM, ALPHA, WIDTH, BLOCK = 8192, 1 << 22, 1.25, 32, 80, 1.2, 4, 512
+RECALL, ASKED, NEAREST = 0.97, 128, 20
 
 
 # -- one shard -----------------------------------------------------------------------------------------------------------
@@ -104,8 +107,23 @@ def robust_prune(points: np.ndarray, norms: np.ndarray, own: np.ndarray, candida
     return out
 
 
-def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, batch: int = 512) -> tuple[np.ndarray, int]:
-    """The graph's neighbours (-1: none) and entry point over the rows of ``vectors``."""
+def wide_enough(points: np.ndarray, norms: np.ndarray, graph: np.ndarray, asked: np.ndarray, entry: int, beam: int) -> int:
+    """``beam``, doubled until a search finds ``RECALL`` of the nearest of the nodes ``asked`` that are not in the graph yet."""
+    far = norms - 2 * points[asked] @ points.T
+    far[np.arange(len(asked)), asked] = np.inf
+    nearest = np.argpartition(far, NEAREST, axis=1)[:, :NEAREST]
+    while beam < len(points):
+        found, _, _ = beam_search(points, norms, graph, points[asked], entry, beam)
+        found[found == asked[:, None]] = -1
+        found = found[np.arange(len(asked))[:, None], np.argsort(np.where(found < 0, np.inf, np.take_along_axis(far, found, 1)), axis=1)[:, :NEAREST]]
+        if np.mean([np.isin(a, b).mean() for a, b in zip(nearest, found)]) >= RECALL:
+            break
+        beam *= 2
+    return beam
+
+
+def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, batch: int = 512) -> tuple[np.ndarray, int, int]:
+    """The graph's neighbours (-1: none) and entry point over the rows of ``vectors``, and the beam that searches need."""
     n = len(vectors)
     norm = (vectors.astype(np.float64) ** 2).sum(axis=1)
     points = np.concatenate([vectors, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1).astype(np.float32)
@@ -116,9 +134,10 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
     if n > 1:
         graph[:, : degree // 2] = random.integers(0, n, (n, degree // 2))
         graph[graph == np.arange(n)[:, None]] = -1
-    order = random.permutation(n)
-    for start in range(0, n, batch):
-        own = order[start : start + batch]
+    wide, parts = beam, np.array_split(random.permutation(n), -(-n // batch))
+    for turn, own in enumerate(parts):
+        if 0 < turn == len(parts) - 1:
+            wide = wide_enough(points, norms, graph, own[:ASKED], entry, beam)
         near, _, path = beam_search(points, norms, graph, points[own], entry, beam)
         graph[own] = robust_prune(points, norms, own, np.concatenate([near, path, graph[own]], 1), alpha, degree)
         source, target = np.repeat(own, degree), graph[own].reshape(-1)
@@ -138,7 +157,7 @@ def build_graph(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alp
             if (~room).any():
                 kept[~room] = robust_prune(points, norms, part[~room], full[~room], alpha, degree)
             graph[part] = kept
-    return graph.astype(np.int32), entry
+    return graph.astype(np.int32), entry, wide
 
 
 # -- Spark jobs ----------------------------------------------------------------------------------------------------------
@@ -172,16 +191,16 @@ def _log_norm(v: Column) -> Column:
     return F.log(most) + F.log(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x / most) * (x / most))) / 2
 
 
-_GRAPH = "shard long, dids binary, least binary, vectors binary, graph binary, entry long"
+_GRAPH = "shard long, dids binary, least binary, vectors binary, graph binary, entry long, wide long"
 
 
 def _build(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("did").combine_chunks()
     vectors = _matrix(rows.column("v").chunk(0))
-    graph, entry = build_graph(directions(vectors)[0])
+    graph, entry, wide = build_graph(directions(vectors)[0])
     return pa.table({
         "shard": rows.column("shard").slice(0, 1), "dids": [rows.column("did").to_numpy().astype("<i8").tobytes()], "least": [rows.column("least").to_numpy().astype("<i8").tobytes()],
-        "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry],
+        "vectors": [vectors.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()], "entry": [entry], "wide": [wide],
     })
 
 
@@ -193,8 +212,8 @@ def _matrix(lists: pa.Array) -> np.ndarray:
 class Shard:
     """A loaded graph that queries are put to."""
 
-    def __init__(self, dids: bytes, least: bytes, vectors: bytes, graph: bytes, entry: int):
-        self.dids, self.least, self.entry = np.frombuffer(dids, "<i8"), np.frombuffer(least, "<i8"), entry
+    def __init__(self, dids: bytes, least: bytes, vectors: bytes, graph: bytes, entry: int, wide: int):
+        self.dids, self.least, self.entry, self.wide = np.frombuffer(dids, "<i8"), np.frombuffer(least, "<i8"), entry, wide
         self.vectors = np.frombuffer(vectors, "<f8").reshape(len(self.dids), -1)
         self.graph = np.frombuffer(graph, "<i4").reshape(len(self.dids), -1).astype(np.int64)
         unit, norm = directions(self.vectors)
@@ -202,7 +221,7 @@ class Shard:
 
     def search(self, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row of the query, node and score of the ``k`` best that the beam finds."""
-        found, _, _ = beam_search(self.points, np.zeros(len(self.points), np.float32), self.graph, directions(queries)[0].astype(np.float32), self.entry, max(beam, k))
+        found, _, _ = beam_search(self.points, np.zeros(len(self.points), np.float32), self.graph, directions(queries)[0].astype(np.float32), self.entry, max(beam, self.wide, k))
         with np.errstate(over="ignore", invalid="ignore"):
             score = np.einsum("bcd,bd->bc", self.vectors[found], queries)
         score[found < 0] = -np.inf
@@ -227,7 +246,7 @@ def _search(k: int, beam: int):
                     row, node, score = shard.search(_matrix(part.column("v")), k, beam)
                     yield pa.RecordBatch.from_arrays([part.column("qid").take(pa.array(row)), pa.array(shard.dids[node]), pa.array(shard.least[node]), pa.array(score)], names)
                 if end < batch.num_rows:
-                    shard = Shard(*(batch.column(c)[int(end)].as_py() for c in ("dids", "least", "vectors", "graph", "entry")))
+                    shard = Shard(*(batch.column(c)[int(end)].as_py() for c in ("dids", "least", "vectors", "graph", "entry", "wide")))
 
     return search
 

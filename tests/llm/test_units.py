@@ -168,7 +168,7 @@ def test_shingles_of_short_and_repeated_texts():
 def test_graph_recall_and_copies():
     r = np.random.default_rng(8)
     x = r.standard_normal((3000, 24)) + 2 * r.standard_normal((3000, 1))
-    graph, entry = ann_graph.build_graph(x)
+    graph, entry, _ = ann_graph.build_graph(x)
     q = x[:150]
     found, _, _ = ann_graph.beam_search(x.astype(np.float32), np.zeros(3000, np.float32), graph.astype(np.int64), q.astype(np.float32), entry, 80)
     best = np.argsort(-(q @ x.T), axis=1)[:, :20]
