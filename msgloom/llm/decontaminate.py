@@ -6,8 +6,8 @@ found where all of its words stand in a row.
 
 1. ``MASKS`` select token positions of a short span; the words they ignore may differ. They are chosen so that every
    overlap of 12 to 22 words has a span where one of them sees only same words, however the substitutions lie. All spans
-   of the benchmark are hashed under each mask. A bitmap of fixed size (``BITMAP_BITS``; 4 MB whatever the benchmark)
-   marks the hashes.
+   of the benchmark are hashed under each mask. A bitmap, sized by the counted hashes (``SEED_BITS`` for each, 128 MB at
+   most), marks them at ``PROBES`` places each, so that about one unrelated word in a thousand passes.
 2. Training texts are hashed in one narrow pass. Hits in the bitmap that lie close together form a region, which is kept
    with its words (``REACH`` words more on either side).
 3. Regions' seed hashes are joined with the benchmark's (which removes the bitmap's false positives). Each
@@ -39,7 +39,9 @@ from msgloom.llm.words import mix, word_hashes
 #: Positions that count (1) and are ignored (0); together they miss no overlap of 12 to 22 words (see the tests).
 MASKS = ["1111011", "1101111", "110010111", "1101000111", "1010101011", "11011000101", "11100010011", "10000101111", "101011010001"]
 SPAN = max(map(len, MASKS))
-BITMAP_BITS, REACH, MIN_WORDS, MIN_SAME = 25, 64, 12, 0.75
+REACH, MIN_WORDS, MIN_SAME = 64, 12, 0.75
+#: Bits of the bitmap for each seed, its least and largest size (as powers of two), and places that a seed marks.
+SEED_BITS, LEAST_BITS, MOST_BITS, PROBES = 32, 20, 30, 4
 BATCH_BYTES = 1 << 20
 _STEP = np.uint64(0xE7037ED1A0B428DB)
 
@@ -57,8 +59,9 @@ def seeds(words: np.ndarray, counts: np.ndarray, lengths: list[int]) -> Iterator
         yield at, mix(h)
 
 
-def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64), (h & np.uint64((1 << BITMAP_BITS) - 1)).astype(np.int64)
+def _spot(h: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    """The bit that seeds mark at one of their places in a bitmap of ``2**bits``."""
+    return ((h + np.uint64(probe) * (h * _STEP | np.uint64(1))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def longest_overlap(same: np.ndarray) -> tuple[int, int]:
@@ -103,18 +106,26 @@ def _items(benchmark: DataFrame, item_col: str) -> tuple[DataFrame, DataFrame]:
     return own, materialize(own.select("item", "item_words").mapInArrow(spans, "h long, item long, item_at long"), "leak-seeds")
 
 
-def _bitmap(marks: DataFrame) -> np.ndarray:
-    """``2**BITMAP_BITS`` bits, eight to a byte; every seed sets two. Words are joined by OR, so at most 2**19 rows arrive."""
-    low = F.col("h").bitwiseAND((1 << BITMAP_BITS) - 1)
-    high = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
-    bits = marks.select(F.explode(F.array(low, high)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-    rows = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+def _bitmap(marks: DataFrame) -> tuple[np.ndarray, int]:
+    """The bitmap of the seeds, eight bits to a byte, and its size as a power of two; words are joined by OR before they arrive."""
+    bits = min(max(LEAST_BITS, int(np.ceil(np.log2(max(1, SEED_BITS * marks.count()))))), MOST_BITS)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h").to_numpy().astype(np.uint64)
+            at = np.concatenate([_spot(h, j, bits) for j in range(PROBES)])
+            word, own = np.unique(at >> 6, return_inverse=True)
+            mask = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(mask, own, np.int64(1) << (at & 63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask)], ["word", "mask"])
+
+    rows = marks.select("h").mapInArrow(mark, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    return out.view(np.uint8)
+    return out.view(np.uint8), bits
 
 
-def _regions(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
+def _regions(docs: DataFrame, shared, bits: int, lengths: list[int]) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
 
@@ -126,9 +137,9 @@ def _regions(docs: DataFrame, shared, lengths: list[int]) -> DataFrame:
             for start, end, words, counts in _words_of(batch, "text"):
                 ats, hs = [], []
                 for k, (at, h) in enumerate(seeds(words, counts, lengths)):
-                    high, low = _spots(h)
-                    hit = np.flatnonzero(marked(high))
-                    hit = hit[marked(low[hit])]
+                    hit = np.arange(len(h))
+                    for j in range(PROBES):
+                        hit = hit[marked(_spot(h[hit], j, bits))]
                     if k >= len(MASKS):  # whole short items: the first place in each document
                         own = np.searchsorted(np.cumsum(counts), at[hit], "right")
                         hit = hit[np.unique(np.stack([own.astype(np.uint64), h[hit]]), axis=1, return_index=True)[1]]
@@ -184,9 +195,10 @@ def _keyed(docs: DataFrame, id_col: str) -> DataFrame:
 def _overlaps(keyed: DataFrame, benchmark: DataFrame, item_col: str) -> DataFrame:
     items, marks = _items(benchmark, item_col)
     lengths = [r["n"] for r in items.filter(F.col("n") < MIN_WORDS).select("n").distinct().collect()]
-    shared = keyed.sparkSession.sparkContext.broadcast(_bitmap(marks))
+    bitmap, bits = _bitmap(marks)
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
     text = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.lower("__text").alias("text"))
-    regions = materialize(_regions(text, shared, sorted(lengths)).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
+    regions = materialize(_regions(text, shared, bits, sorted(lengths)).withColumn("region", F.monotonically_increasing_id()), "leak-regions")
     hits = regions.select("region", F.explode("hits").alias("x")).select("region", F.col("x.h").alias("h"), F.col("x.at").alias("at"))
     candidates = hits.join(marks, "h").select("region", "item", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct()
     laid = candidates.join(regions.select("region", "id", "key", "begin", "words"), "region").join(items.select("item", "item_id", "item_words"), "item")

@@ -391,6 +391,18 @@ def test_no_overlap_is_lost(spark):
     assert got == brute_overlaps(table("documents", "doc_id"), table("benchmark", "item_id")) and got
 
 
+def test_a_large_benchmark_leaves_unrelated_texts_alone(spark):
+    """The bitmap grows with the benchmark: next to no region of texts that share nothing with 4,000 items."""
+    items = spark.range(4000).select(F.col("id").alias("item_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(80)), lambda k: F.hex(F.xxhash64("id", k)))).alias("text"))
+    texts = spark.range(200).select("id", F.col("id").alias("key"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda k: F.hex(F.xxhash64("id", k, F.lit(5))))).alias("text"))
+    with decontaminate.passing():
+        _, marks = decontaminate._items(items, "item_id")
+        bitmap, bits = decontaminate._bitmap(marks)
+        assert 2**bits >= 32 * marks.count()
+        regions = decontaminate._regions(texts, spark.sparkContext.broadcast(bitmap), bits, []).select(F.sum(F.size("hits"))).first()[0] or 0
+    assert regions < 200 * 500 / 500
+
+
 def test_overlaps_tell_rows_of_one_id_apart(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS[:20]))], "item_id long, text string")
     docs = spark.createDataFrame([(None, " ".join(WORDS[:20]), "a"), (None, " ".join(WORDS[30:50]), "b"), (7, " ".join(WORDS[5:20]), "c"), (7, "clean", "d"), (7, "clean", "d")], "doc_id long, text string, key string")
@@ -417,6 +429,24 @@ def test_recall_of_inner_products(spark, sigma):
     assert hits / (20 * 100) > 0.95
 
 
+def test_recall_of_long_vectors(spark):
+    """384 independent components: the beam widens itself. Queries are rows, and rows that the graphs don't hold."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(3100, 384))
+    rows = ann_graph.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    for asked, held in ((range(0, 3000, 60), 3000), (range(3000, 3100), 3000)):
+        got = defaultdict(list)
+        for row in ann_graph.nearest(rows.filter(F.col("vec_id") < held), rows.filter(F.col("vec_id").isin(*asked))).collect():
+            got[row["query_id"]].append(row["vec_id"])
+        score = x[list(asked)] @ x[:held].T
+        hits = 0
+        for k, q in enumerate(asked):
+            if q < held:
+                score[k, q] = -np.inf
+            hits += len(set(np.argsort(-score[k])[:20].tolist()) & set(got[q]))
+        assert hits >= 0.95 * 20 * len(asked)
+
+
 def test_recall_of_the_test_table(spark):
     x = {r["vec_id"]: np.asarray(r["embedding"], float) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect() if r["embedding"] is not None}
     ids = np.asarray(sorted(k for k, v in x.items() if np.isfinite(v).all() and (v != 0).any()))
