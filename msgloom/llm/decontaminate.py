@@ -7,7 +7,8 @@ found where all of its words stand in a row.
 1. ``MASKS`` select token positions of a short span; the words they ignore may differ. They are chosen so that every
    overlap of 12 to 22 words has a span where one of them sees only same words, however the substitutions lie. All spans
    of the benchmark are hashed under each mask. A bitmap, sized by the counted hashes (``SEED_BITS`` for each, 128 MB at
-   most), marks them at ``PROBES`` places each, so that about one unrelated word in a thousand passes.
+   most), marks them at ``PROBES`` places each, so that two unrelated words in a thousand pass at most
+   (more only where the seeds outgrow the largest bitmap).
 2. Training texts are hashed in one narrow pass. Hits in the bitmap that lie close together form a region, which is kept
    with its words (``REACH`` words more on either side).
 3. Regions' seed hashes are joined with the benchmark's (which removes the bitmap's false positives). Each
