@@ -305,6 +305,22 @@ def event_priority(entry_type: Column, label: Column, thumbs_down: Column, event
     return F.when(entry_type == "access_denied", "high").when(entry_type == "system_event", system).when(medium, "medium").otherwise("low")
 
 
+def two_places(x: Column) -> Column:
+    """A double with two decimals, rounded by its exact binary value (ties to even), as SQL engines and C libraries print it.
+
+    ``format_string`` rounds the shortest decimal up instead: 1.005 is a little less than that, and 0.125 is a tie. From
+    1e9 on, nan and infinities print as ``format_string`` has them.
+    """
+    size = F.abs(x)
+    cents = F.floor(size * 100)
+    wide = size * 134217729.0  # halves of 26 bits, whose products with 1000 are exact
+    high = wide - (wide - size)
+    over = (high * 1000 - (cents * 10 + 5).cast("double")) + (size - high) * 1000
+    near = cents + F.when((over > 0) | ((over == 0) & (cents % 2 == 1)), 1).otherwise(0)
+    plain = F.concat(F.when(x < 0, "-").otherwise(""), F.floor(near / 100).cast("string"), F.lit("."), F.lpad((near % 100).cast("string"), 2, "0"))
+    return F.when(size < 1e9, plain).when(x.isNotNull(), F.format_string("%.2f", x))
+
+
 def event_title_description(e: dict[str, Column]) -> Column:
     """Struct of an audit entry's title and description; ``e`` maps field names to columns."""
     of = lambda name, default: F.coalesce(e[name], F.lit(default)) if name in e else F.lit(default)
@@ -312,7 +328,7 @@ def event_title_description(e: dict[str, Column]) -> Column:
     kind = e["entry_type"]
     title = F.when(kind == "prediction", F.concat(F.lit("Text Classification: "), of("label", "unknown"))).when(kind == "feedback", F.concat(F.lit("User Feedback: "), mood))
     title = title.when(kind == "access_denied", F.concat(F.lit("Access Denied: "), of("endpoint", "unknown"))).when(kind == "system_event", F.concat(F.lit("System Event: "), of("event_type", "unknown"))).otherwise("Audit Event")
-    said = F.format_string("Message classified as '%s' by %s with %.2f%% confidence", of("label", "unknown"), of("model", "Unknown"), of("confidence", 0.0) * 100)
+    said = F.concat(F.lit("Message classified as '"), of("label", "unknown"), F.lit("' by "), of("model", "Unknown"), F.lit(" with "), two_places(of("confidence", 0.0) * 100), F.lit("% confidence"))
     text = F.when(kind == "prediction", said).when(kind == "feedback", F.concat(F.lit("User submitted "), mood, F.lit(" feedback (ID: "), of("feedback_id", ""), F.lit(")")))
     text = text.when(kind == "access_denied", F.concat(F.lit("Access denied to "), of("endpoint", "unknown"), F.lit(": "), of("reason", "Unknown reason")))
     message = of("message", "")

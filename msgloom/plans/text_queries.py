@@ -192,11 +192,11 @@ DESCRIPTION = f"""CASE entry_type WHEN 'prediction' THEN 'Message classified as
   ELSE CASE WHEN message <> '' THEN message ELSE 'System event of type ' || event_type END END"""
 
 
-@query("t23_event_title_description", f"WITH {V.AUDIT} SELECT event_id, {TITLE} AS title, CASE WHEN entry_type = 'prediction' THEN NULL ELSE {DESCRIPTION} END AS description FROM audit")
+@query("t23_event_title_description", f"WITH {V.AUDIT} SELECT event_id, {TITLE} AS title, {DESCRIPTION} AS description FROM audit")
 def t23(spark, d):
     a = V.audit(spark, d)
-    x = a.select("event_id", "entry_type", T.event_title_description({c: F.col(c) for c in a.columns}).alias("x"))
-    return x.select("event_id", "x.title", F.when(F.col("entry_type") != "prediction", F.col("x.description")).alias("description"))
+    x = a.select("event_id", T.event_title_description({c: F.col(c) for c in a.columns}).alias("x"))
+    return x.select("event_id", "x.title", "x.description")
 
 
 _plain("t24_message_structure", lambda: T.message_structure(_c()), f"CASE WHEN {' OR '.join(f'starts_with({_LOW}, {_q(w)})' for w in T.GREETINGS)} THEN 'greeting' WHEN {' OR '.join(f'contains({_LOW}, {_q(w)})' for w in T.QUESTIONS)} THEN 'question' WHEN {_LOW} LIKE '%!' OR {_LOW} LIKE '%.' THEN 'statement' WHEN {' OR '.join(f'contains({_LOW}, {_q(w)})' for w in T.COMMANDS)} THEN 'command' ELSE 'other' END")

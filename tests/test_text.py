@@ -1,5 +1,8 @@
 """Goldens of the text functions."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +78,15 @@ def test_validate_request(spark):
 def test_event_times_with_two_zones(spark):
     for written in ("2026-03-03T23:54:04+00:00Z", "2026-03-03T23:54:04Z", "2026-03-03T23:54:04"):
         assert str(one(spark, written, T.parse_event_time)) == "2026-03-03 23:54:04"
+
+
+def test_two_places_go_by_the_exact_value(spark):
+    rng = random.Random(23)
+    ties = [n / 8 for n in range(0, 2000)] + [(10 * n + 5) / 1000 for n in range(0, 12000)]
+    values = [*ties, *(rng.random() * 10 ** rng.randint(-8, 8) for _ in range(5000)), 0.0, 1e-300, 0.29 * 100, 999999999.995, 1e12]
+    values += [math.nextafter(v, way) for v in ties[::7] for way in (-1.0, 1e9)]
+    values += [-v for v in values[1:3000]]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", T.two_places(F.col("v")).alias("out"))
+    wrong = [(r["v"], r["out"]) for r in df.collect() if r["out"] != f"{r['v']:.2f}"]
+    assert not wrong, wrong[:10]
+    assert [r[0] for r in spark.createDataFrame([(None,), (float("nan"),)], "v double").select(T.two_places(F.col("v"))).collect()] == [None, "NaN"]
