@@ -1,5 +1,6 @@
 """Operators on small tables: metrics, determinism under repartitioning, policy, streams against batch, sources."""
 
+import hashlib
 import math
 import random
 import re
@@ -339,3 +340,26 @@ def test_audit_files_are_capped_by_bytes(spark, tmp_path):
     assert held() == lines and len(sizes()) < before / 2 and max(sizes()) <= 40_000
     entries = readers.read_audit(spark, path)
     assert entries.select("event_id").distinct().count() == len({(t, x) for t, _, x in rows}) and "part" not in entries.columns
+
+
+def test_synonym_variants_against_brute_force(spark):
+    synonyms = {**augment.SYNONYMS, "café": ["bar"], "pay": ["spend $1", "a\\b"], "e.g": ["say"]}
+
+    def picked(values, *parts):
+        return values[int(hashlib.md5("|".join(parts).encode()).hexdigest()[:8], 16) % len(values)]
+
+    def expected(text, key, synonyms=synonyms):
+        for word, values in synonyms.items():
+            text = re.sub(rf"\b{re.escape(word)}\b", lambda _, v=picked(values, word, key): v, text, flags=re.IGNORECASE)
+        return text
+
+    odd = ["", "THE gift", "théthe the_ the-the", "Café cafés CAFÉ", "pay Pay payé", "e.g this, eXg that", "quick\nquick", "the " * 2000]
+    x = views.labelled(spark, SF).select("row_id", "text", "label").unionByName(spark.createDataFrame([(-1 - i, t, "ham") for i, t in enumerate(odd)], "row_id long, text string, label string"))
+    key = F.concat(F.col("row_id").cast("string"), F.lit(":1"))
+    rows = x.select("row_id", "text", augment.synonym_variant(F.col("text"), key, synonyms).alias("out")).collect()
+    assert [r for r in rows if r["out"] != expected(r["text"], f"{r['row_id']}:1")] == []
+    assert sum(r["out"] != r["text"] for r in rows) > 20
+    given = x.collect()
+    wanted = sorted((expected(r["text"], f"{r['row_id']}:{copy}", augment.SYNONYMS), r["label"]) for r in given for copy in (1, 2))
+    made = augment.expand_to(x, 2 * len(given)).filter("kind = 'synonym'").collect()
+    assert sorted((r["text"], r["label"]) for r in made) == wanted
