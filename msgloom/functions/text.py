@@ -6,6 +6,7 @@ are Arrow-batched and only reached by the rows that need them.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -95,8 +96,8 @@ def normalize_fast(c: Column) -> Column:
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of white space to one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, _U + r"\s+", " "))
+    """Runs of white space (separators of files to units too) to one space; none at the ends."""
+    return F.trim(F.regexp_replace(c, _U + r"[\s\x1C-\x1F]+", " "))
 
 
 def clean_for_model(c: Column) -> Column:
@@ -108,10 +109,16 @@ def clean_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(squeeze(c), r"\\+$", ""), r"^\s*\d+\|", "")
 
 
+def ascii_edges(pattern: str) -> str:
+    """``pattern`` with ``\\b`` by ASCII letters, digits and underscores, as RE2 has it; Java's takes the letters of all scripts."""
+    pattern = re.sub(r"(\\d\{[0-9,]+\})\\b", r"\1(?!\\w)", pattern.replace(r"\b\d", r"(?<!\w)\d"))
+    return pattern.replace(r"\b", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))")
+
+
 def mask_entities(c: Column) -> Column:
     """URLs, long numbers and addresses to tokens; runs of sentence ends to one mark."""
     for pattern, token in ((URL, "[URL]"), (r"\b\d{10,15}\b", "[PHONE]"), (REDACTIONS["email_addresses"], "[EMAIL]"), (r"[!?.]{2,}", "!")):
-        c = F.regexp_replace(squeeze(c) if token == "[URL]" else c, pattern, token)
+        c = F.regexp_replace(squeeze(c) if token == "[URL]" else c, ascii_edges(pattern), token)
     return F.trim(c)
 
 
@@ -126,7 +133,7 @@ def url_features(c: Column) -> Column:
         F.size(urls).alias("url_count"),
         F.size(F.filter(urls, lambda u: _any_of(u, SHORTENERS))).alias("shortener_count"),
         F.size(F.filter(urls, lambda u: _any_of(u, SUSPICIOUS_DOMAINS))).alias("suspicious_domain_count"),
-        F.regexp_count(c, F.lit(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b")).alias("ip_address_count"),
+        F.regexp_count(c, F.lit(ascii_edges(r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"))).alias("ip_address_count"),
     ))
 
 
