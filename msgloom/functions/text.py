@@ -185,7 +185,7 @@ def redact(c: Column, names: list[str]) -> Column:
     def step(text: Column, hits: Column, left: list[str]) -> Column:
         if not left:
             return F.struct(text.alias("text"), (F.size(hits) > 0).alias("redaction_applied"), F.when(F.size(hits) > 0, hits).alias("redacted_entities"))
-        changed = F.regexp_replace(text, REDACTIONS[left[0]], "[REDACTED]")
+        changed = F.regexp_replace(text, ascii_edges(REDACTIONS[left[0]]), "[REDACTED]")
         if left[0] in _NEEDED:
             changed = F.when(text.contains(_NEEDED[left[0]]), changed).otherwise(text)
         return let(changed, lambda now: step(now, F.when(now != text, F.array_append(hits, F.lit(left[0]))).otherwise(hits), left[1:]))
