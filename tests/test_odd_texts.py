@@ -27,7 +27,7 @@ def odd(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["t05_mask_entities", "t06_url_features", "t11_redact"])
+@pytest.mark.parametrize("name", ["t05_mask_entities", "t06_url_features", "t11_redact", "t12_text_storage"])
 def test_query(spark, odd, name):
     got, want = same(spark, odd, registry.queries()[name], registry.oracle_sql()[name])
     assert got == want
