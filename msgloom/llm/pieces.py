@@ -27,7 +27,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's multiplier, and of its inverse modulo 2**64, for ``n`` positions."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 20 if n <= 1 << 20 else 1 << 21)
         for k, base in enumerate((_MULTIPLIER, _INVERSE)):
             p = np.full(n, base, np.uint64)
             p[0] = 1

@@ -186,13 +186,13 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
     its left neighbour's less one.
     """
     n = len(data)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    at = np.arange(n)
+    at = np.arange(n, dtype=np.int32)
     left_same = np.zeros(n, bool)
     left_same[1:] = (before[1:] > 0) & (data[:-1] == data[before[1:] - 1])
     irreducible = np.flatnonzero(~left_same)
-    value = np.zeros(len(irreducible), np.int64)
+    value = np.zeros(len(irreducible), np.int32)
     live = np.flatnonzero(before[irreducible] >= 0)
     block = sliding_window_view(np.concatenate([data, np.zeros(8, data.dtype)]), 8)
     while len(live):
@@ -203,7 +203,7 @@ def permuted_lcp(data: np.ndarray, sa: np.ndarray) -> np.ndarray:
         same = np.minimum(same, n - np.maximum(i, j))
         value[live] += same
         live = live[same == 8]
-    last = np.zeros(n, np.int64)
+    last = np.zeros(n, np.int32)
     last[irreducible] = np.arange(len(irreducible))
     last = np.maximum.accumulate(last)
-    return np.maximum(value[last] - (at - irreducible[last]), 0)
+    return np.maximum(value[last] - (at - irreducible.astype(np.int32)[last]), 0)

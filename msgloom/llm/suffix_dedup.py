@@ -47,7 +47,7 @@ from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix, word_windows
 
 MIN_BYTES, MIN_WORDS, MOST_GRAM, SHARD_BYTES, FEW, HOT, RANGES, BITMAP_BITS = 400, 51, 64, 1 << 19, 32, 512, 8, 26
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19  # texts that a worker hashes at once: some 100 bytes of arrays a byte
 
 
 @dataclass(frozen=True)
@@ -300,8 +300,9 @@ def _finer(what: Wanted, level: int):
     step = -(-(what.min_words or 1) // 4)  # words of a range
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(start, end - start) for whole in batches for start, end in pieces_of(whole, "text", BATCH_BYTES)):
             data, offsets = buffer_of(batch.column("text"))
+            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
             wanted = batch.column("wanted")
             flat = wanted.flatten()
             col = {x: flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("g", "s", "n", "first", "at", "last")}
@@ -376,7 +377,7 @@ def _found(docs: DataFrame, kinds: DataFrame, what: Wanted, level: int = 0) -> D
     grams = kinds.groupBy("g").agg(F.count("*").alias("m"), F.sum("n").alias("places"), F.min_by("key", "row").alias("top"), F.min_by("at", "row").alias("top_at")).filter("places > 1").drop("places")
     kinds = materialize(kinds.join(materialize(grams, "repeat-grams"), "g"), "repeat-kinds")
     total = kinds.agg(F.coalesce(F.sum(F.when(F.col("m") <= HOT, F.col("last") - F.col("first"))), F.lit(0)), F.max("m")).first()
-    shards = max(1, -(-total[0] // (2 * SHARD_BYTES)))
+    shards = max(1, -(-total[0] // SHARD_BYTES))
     bits = F.when(F.col("m") <= FEW, int(np.log2(SHARD_BYTES // FEW))).otherwise(int(np.log2(SHARD_BYTES // HOT)))  # kinds times a block of places make a shard at most
     shard = F.pmod(F.xxhash64("top", bits, F.expr(f"shiftright(top_at, if(m <= {FEW}, {int(np.log2(SHARD_BYTES // FEW))}, {int(np.log2(SHARD_BYTES // HOT))}))")), F.lit(shards))
     cold = kinds.filter(F.col("m") <= HOT).withColumn("shard", shard)
@@ -413,15 +414,19 @@ def _spans(keyed: DataFrame, what: Wanted) -> DataFrame:
     return materialize(places.groupBy("id", "key").agg(F.collect_list("x").alias("spans")), "repeat-spans")
 
 
-def merged(spans: list[dict], words: bool = False) -> list[tuple[int, int]]:
-    """Maximal runs covered by ``spans``, of bytes or of words."""
-    out: list[list[int]] = []
-    for a, b in sorted((x["a"], x["b"]) for x in spans if x["words"] == words):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+def _runs(own: pa.Array, words: bool = False) -> Iterator[list[tuple[int, int]]]:
+    """Maximal runs covered by each row's spans, of bytes or of words; a batch can hold millions of spans, so they stay arrays."""
+    flat, ends = own.values, own.offsets.to_numpy()
+    kind, a, b = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("words", "a", "b"))
+    for start, end in zip(ends[:-1], ends[1:]):
+        k = start + np.flatnonzero(kind[start:end] == words)
+        if not len(k):
+            yield []
+            continue
+        k = k[np.argsort(a[k])]
+        far = np.maximum.accumulate(b[k])
+        new = np.flatnonzero(np.append(True, a[k[1:]] > far[:-1]))
+        yield list(zip(a[k[new]].tolist(), far[np.append(new[1:], len(k)) - 1].tolist()))
 
 
 def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -444,9 +449,8 @@ def repeat_report(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BY
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, own in zip(batch.column("text"), batch.column("spans").to_pylist()):
+            for text, runs, passages in zip(batch.column("text"), _runs(batch.column("spans")), _runs(batch.column("spans"), True)):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs, passages = merged(own or []), merged(own or [], True)
                 kept = _kept(raw, runs)
                 out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), len(passages), sum(b - a for a, b in passages)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
@@ -489,12 +493,9 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_
     keyed = _keyed(df, id_col)
     spans = repeated_spans(keyed, Wanted(None if min_words else min_bytes, min_words))
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(text, own):
-            out.append(x if y is None or not len(y) else _kept(x.encode(), merged(y, bool(min_words))).decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, own: pa.Array) -> pa.Array:
+        return pa.array((_kept(x.as_buffer().to_pybytes(), y).decode("utf-8", "ignore") if y else x.as_py() for x, y in zip(text, _runs(own, bool(min_words)))), pa.string())
 
     moved, still = _suspects(keyed, spans)
     whole = F.col("__whole")
