@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +87,31 @@ def text_or_empty(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the system; allocators else keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def lean(task: Callable) -> Callable:
+    """``task`` (of Arrow batches), by a worker that gives memory back before and after it.
+
+    Workers live on from task to task and from stage to stage, and would keep the most that any of their tasks took.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def pieces_of(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[tuple[int, int]]:
     """Row ranges of ``batch`` whose ``column`` holds about ``most_bytes`` bytes (one row at least)."""
     _, offsets = buffer_of(batch.column(column))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from msgloom.llm._io import buffer_of, holds, materialize, only_keys_of, passing, pieces_of, placed
+from msgloom.llm._io import buffer_of, holds, lean, materialize, only_keys_of, passing, pieces_of, placed
 from msgloom.llm.words import mix, shingles, weighted, word_hashes
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -190,7 +190,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Those of ``pairs`` (a, b: different nodes) that the exact shingles confirm."""
     a, b = texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b"))
-    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(threshold), "a long, b long"), "near-links")
+    return materialize(pairs.join(a, "a").join(b, "b").mapInArrow(lean(_verify(threshold)), "a long, b long"), "near-links")
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +249,7 @@ def _outside_links(shared: DataFrame, comps: DataFrame, texts: DataFrame, thresh
     mixed = counts.groupBy("band").agg(F.count("*").alias("classes"), F.sum("c").alias("n"), F.max(F.struct("c", "comp")).alias("top")).filter("classes > 1")
     mixed = mixed.select("band", F.col("top.comp").alias("top"), F.ceil(F.col("n") / IN_BLOCK).cast("int").alias("ins"), F.ceil((F.col("n") - F.col("top.c")) / OUT_BLOCK).cast("int").alias("outs"))
     rows = materialize(named.join(mixed, "band"), "near-mixed")
-    items = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(_items, "node long, items binary, weights binary")
+    items = texts.join(rows.select("node").distinct(), "node", "left_semi").mapInArrow(lean(_items), "node long, items binary, weights binary")
     spread = F.xxhash64("node")
     out = rows.filter("comp <> top").select("band", "node", "comp", F.lit(True).alias("out"), F.pmod(spread, F.col("outs")).cast("int").alias("o"), F.explode(F.sequence(F.lit(0), F.col("ins") - 1)).alias("i"))
     own = rows.select("band", "node", "comp", F.lit(False).alias("out"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("o"), F.pmod(spread, F.col("ins")).cast("int").alias("i"))
@@ -272,7 +272,7 @@ def _classes(base: DataFrame, id_col: str, threshold: float) -> DataFrame:
     digest = F.when(F.length(text) > 0, F.sha2(text.cast("binary"), 256)).otherwise(F.concat_ws(" ", F.lit("row"), "at", "file"))
     read = base.select("file", "at", id_.alias("id"), digest.alias("digest"), lower.alias("text"))
     kinds = [T.StructField("digest", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    signed = read.mapInArrow(_sign, T.StructType([*(read.schema[c] for c in ("file", "at", "id")), *kinds]))
+    signed = read.mapInArrow(lean(_sign), T.StructType([*(read.schema[c] for c in ("file", "at", "id")), *kinds]))
     signed = materialize(signed.withColumn("row", F.monotonically_increasing_id()), "near-signatures")
     nodes = materialize(signed.groupBy("digest").agg(F.min("row").alias("node"), F.any_value("bands").alias("bands")), "near-nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from msgloom.llm._io import buffer_of, forget, materialize, passing, pieces_of
+from msgloom.llm._io import buffer_of, forget, lean, materialize, passing, pieces_of
 from msgloom.llm.pieces import Spans
 from msgloom.llm.suffix_array import permuted_lcp, suffix_array
 from msgloom.llm.words import mix, word_windows
@@ -381,12 +381,12 @@ def _found(docs: DataFrame, kinds: DataFrame, what: Wanted, level: int = 0) -> D
     bits = F.when(F.col("m") <= FEW, int(np.log2(SHARD_BYTES // FEW))).otherwise(int(np.log2(SHARD_BYTES // HOT)))  # kinds times a block of places make a shard at most
     shard = F.pmod(F.xxhash64("top", bits, F.expr(f"shiftright(top_at, if(m <= {FEW}, {int(np.log2(SHARD_BYTES // FEW))}, {int(np.log2(SHARD_BYTES // HOT))}))")), F.lit(shards))
     cold = kinds.filter(F.col("m") <= HOT).withColumn("shard", shard)
-    cut = _of_documents(docs, cold, "shard", "g", "s", "n", "first", "last").mapInArrow(_cut, "id long, key long, shard long, begin long, bytes binary, kinds binary")
+    cut = _of_documents(docs, cold, "shard", "g", "s", "n", "first", "last").mapInArrow(lean(_cut), "id long, key long, shard long, begin long, bytes binary, kinds binary")
     found = materialize(cut.groupBy("shard").applyInArrow(_shard(what), _FOUND), "repeat-found")
     if (total[1] or 0) <= HOT:
         return found
     hot = kinds.filter(F.col("m") > HOT)
-    finer = _of_documents(docs, hot, "g", "s", "n", "first", "at", "last").mapInArrow(_finer(what, level + 1), "id long, key long, up_g long, up_s long, up_first long, g long, s long, n long, first int, at int, last int")
+    finer = _of_documents(docs, hot, "g", "s", "n", "first", "at", "last").mapInArrow(lean(_finer(what, level + 1)), "id long, key long, up_g long, up_s long, up_first long, g long, s long, n long, first int, at int, last int")
     finer = materialize(finer, "repeat-finer")
     below = _found(docs, _kinds(finer, F.sum("n")), what, level + 1).select("g", "s", "a", "b")
     places = finer.select("g", "s", F.col("up_g"), F.col("up_s"), (F.col("first") - F.col("up_first")).alias("by")).join(below, ["g", "s"])
@@ -402,7 +402,7 @@ def repeated_spans(keyed: DataFrame, what: Wanted = Wanted()) -> DataFrame:
 
 def _spans(keyed: DataFrame, what: Wanted) -> DataFrame:
     docs = keyed.select(F.col("__id").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))
-    marks = materialize(docs.filter(F.octet_length("text") >= what.least).mapInArrow(_anchor_rows(what), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
+    marks = materialize(docs.filter(F.octet_length("text") >= what.least).mapInArrow(lean(_anchor_rows(what)), "id long, key long, g long, s long, first int, at int, last int"), "repeat-anchors")
     grams = materialize(marks.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1").select("g"), "repeat-shared-grams")  # apart from the join, so that a hot gram's anchors can be split
     shared = materialize(marks.join(grams, "g"), "repeat-shared")
     forget(marks)
@@ -458,7 +458,7 @@ def repeat_report(df: DataFrame, id_col: str = "doc_id", min_bytes: int = MIN_BY
 
     moved, still = _suspects(keyed, spans)
     columns = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
-    found = moved.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(report, columns)
+    found = moved.select(F.col("__id").alias("id"), F.col("__text").alias("text"), F.col("__spans").alias("spans")).mapInArrow(lean(report), columns)
     zero = F.lit(0).cast("long")
     whole = still.select(F.col("__id").alias("id"), F.octet_length("__text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("__text").cast("binary"), 256).alias("kept_sha256"), zero.alias("n_passages"), zero.alias("passage_bytes"))
     return found.unionByName(whole).withColumnRenamed("id", id_col)

@@ -1,12 +1,15 @@
 """What a worker holds at once while it looks for repeats does not grow with its batch."""
 
 import random
+import subprocess
+import sys
 import tracemalloc
 
 import pyarrow as pa
 import pytest
 
 from msgloom.llm import suffix_dedup as S
+from tests.conftest import ROOT
 
 
 def batch(n, size):
@@ -52,3 +55,22 @@ def test_spans_stay_arrays():
         else:
             runs.append([a, b])
     assert got[3] == [tuple(x) for x in runs]
+
+
+def test_workers_give_memory_back():
+    code = """
+import numpy as np, pyarrow as pa, psutil
+from msgloom.llm._io import lean
+held = []
+def task(batches):
+    for batch in batches:
+        many = [np.ones(8_000) for _ in range(4_000)]  # 256 MB in pieces
+        held.append(np.ones(1_000))  # stays, behind them
+        del many
+        yield batch
+rss = lambda: psutil.Process().memory_info().rss
+run, before = lean(task), rss()
+for _ in run(iter([pa.record_batch({'x': pa.array([1])})])): pass
+assert rss() - before < 60e6, (rss() - before) / 1e6
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
